@@ -14,13 +14,13 @@ def daily_offset_fit(anchors: DataFrame, date: str = "date", y: str = "y_true",
     n = residual.groupBy(date).agg(F.count("_r").alias("n"))
     median = exact_quantiles(residual, [date], "_r", {"_m": 0.5})
     return n.join(median, date, "left").select(
-        date, "n", F.when(F.col("n") >= min_rows, F.col("_m")).otherwise(0.0).alias("offset")
+        date, "n", F.when(F.col("n") >= min_rows, F.col("_m")).otherwise(0.0).alias("day_offset")
     )
 
 
 def daily_offset_apply(df: DataFrame, offsets: DataFrame, date: str = "date", p: str = "y_pred", out: str = "calibrated"):
-    joined = df.join(offsets.select(date, "offset"), date, "left")
-    return joined.withColumn(out, F.col(p) + F.coalesce("offset", F.lit(0.0))).drop("offset")
+    joined = df.join(offsets.select(date, "day_offset"), date, "left")
+    return joined.withColumn(out, F.col(p) + F.coalesce("day_offset", F.lit(0.0))).drop("day_offset")
 
 
 def daily_line_fit(anchors: DataFrame, date: str = "date", y: str = "y_true", p: str = "y_pred", min_rows: int = 5) -> DataFrame:
@@ -42,7 +42,7 @@ def daily_affine_fit(
     p: str = "y_pred",
     min_rows: int = 5,
     epsilon: float = 1.35,
-    iterations: int = 12,
+    iterations: int = 8,
 ) -> DataFrame:
     """Robust (Huber) line per day, identity for days with fewer anchors than ``min_rows``.
 

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from ..constants import GRID_COLS, GRID_LAT_MAX, GRID_LON_MIN, GRID_RES, GRID_ROWS, KM_PER_DEG_SPLAT
 from ..functions.geo import haversine_km
 from ..functions.ids import cell_id
-from .quantile import exact_quantiles
 
 
 @dataclass(frozen=True)
@@ -64,8 +63,8 @@ def nearest_grid_cell(points: DataFrame, lat_axis: Axis, lon_axis: Axis, lat: st
 def nearest_axis_value(df: DataFrame, axis: DataFrame, axis_col: str, value: str, out: str) -> DataFrame:
     """Nearest value of an irregular axis; an axis is one grid dimension, a few hundred numbers."""
     values = axis.agg(F.sort_array(F.collect_set(axis_col))).scalar()
-    pairs = F.transform(values, lambda a: F.struct(F.abs(a - F.col(value)), a))
-    return df.withColumn(out, F.array_min(pairs)["col2"])
+    pairs = F.transform("_axis", lambda a: F.struct(F.abs(a - F.col(value)).alias("d"), a.alias("a")))
+    return df.withColumn("_axis", values).withColumn(out, F.array_min(pairs)["a"]).drop("_axis")
 
 
 def valid_cell_mask(cube: DataFrame, time: str, variables: Sequence[str]) -> DataFrame:
@@ -91,7 +90,8 @@ def snap_to_valid(
     is final, everything else moves on to larger buckets, the last of which spans the globe.  ``cells``
     has columns ``cell_lat`` and ``cell_lon``.
     """
-    middle = exact_quantiles(cells, [], "cell_lat", {"m": 0.5}).select("m").scalar()
+    # percentile counts distinct values: as many as the grid has rows
+    middle = cells.agg(F.percentile("cell_lat", 0.5)).scalar()
     scale = F.greatest(F.cos(F.radians(middle)), F.lit(1e-3))
     pts = points.select(key, F.col(lat).alias("_y"), (F.col(lon) * scale).alias("_x"))
     cel = cells.select("cell_lat", "cell_lon", F.col("cell_lat").alias("_cy"), (F.col("cell_lon") * scale).alias("_cx"))

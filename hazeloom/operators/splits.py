@@ -200,7 +200,8 @@ def nested_month_station_folds(df: DataFrame, k: int, seed: int = 42, key: str =
     per = df.groupBy(month.alias("month"), key).agg(F.count(F.lit(1)).alias("n"))
     per = per.withColumn("_own", hash_bucket(F.col(key), k, seed))
     months = per.agg(F.sort_array(F.collect_set("month"))).scalar()
-    outer = per.withColumn("test_month", F.explode(F.filter(F.slice(months, 2, 1_000_000), lambda m: m >= F.col("month"))))
+    later = F.filter(F.slice("_months", 2, 1_000_000), lambda m: m >= F.col("month"))
+    outer = per.withColumn("_months", months).withColumn("test_month", F.explode(later)).drop("_months")
     inner = outer.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
     held, same = F.col("_own") == F.col("fold"), F.col("month") == F.col("test_month")
     role = F.when(held & same, "test").when(~held & same, "anchor").when(~held, "train")

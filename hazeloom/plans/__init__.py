@@ -1,6 +1,6 @@
 """All registered queries; importing the modules fills the registry."""
 
-from . import joins, scalars, windows
+from . import aggregates, folds, joins, live, ranking, scalars, scans, training, windows
 from .registry import REGISTRY
 
-__all__ = ["REGISTRY", "joins", "scalars", "windows"]
+__all__ = ["REGISTRY", "aggregates", "folds", "joins", "live", "ranking", "scalars", "scans", "training", "windows"]

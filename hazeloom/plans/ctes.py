@@ -17,7 +17,7 @@ CTES = {
         LEFT JOIN region r ON r.r_regionkey = u.sensor_id % 5""",
     "gas_pixels": """SELECT DATE '2024-01-01' + l_linenumber AS date, l_returnflag AS product, l_orderkey % 40 AS prow,
         (l_orderkey*7 + l_linenumber*13 + l_partkey) % 40 AS pcol,
-        avg(CASE WHEN l_quantity = 1 THEN NULL ELSE l_extendedprice END) AS value, avg(1 - 3*l_discount) AS qa
+        avg(CASE WHEN l_quantity = 1 THEN NULL ELSE l_extendedprice END) AS value, round(avg(1 - 3*l_discount), 9) AS qa
         FROM lineitem GROUP BY 1, 2, 3, 4""",
     "pixel_points": """SELECT DISTINCT user_id AS sensor_id, user_id*11 % 40 AS prow, user_id*17 % 40 AS pcol
         FROM events""",

@@ -254,7 +254,7 @@ def _window(radius):
 
 
 _AOD = f"""SELECT sensor_id, date, product, ring, CASE WHEN value/20000 - 0.5 BETWEEN -0.05 AND 5 AND qa > 0.95 THEN value/20000 - 0.5 END AS od055,
-  CASE WHEN value/40000 BETWEEN -0.05 AND 5 AND qa > 0.97 THEN value/40000 END AS od047, (floor(value)::BIGINT % 4096)::INTEGER AS qa FROM ({_window(3)})"""
+  CASE WHEN value/40000 BETWEEN -0.05 AND 5 AND qa > 0.97 THEN value/40000 END AS od047, (floor(value + 0.001)::BIGINT % 4096)::INTEGER AS qa FROM ({_window(3)})"""
 
 
 def _aod_pixels(lake):
@@ -266,7 +266,7 @@ def _aod_pixels(lake):
         "pcol",
         F.when(q > 0.95, v / 20000 - 0.5).alias("od055"),
         F.when(q > 0.97, v / 40000).alias("od047"),
-        (F.floor(v) % 4096).cast("int").alias("qa"),
+        (F.floor(v + 0.001) % 4096).cast("int").alias("qa"),
     )
 
 

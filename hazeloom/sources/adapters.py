@@ -110,7 +110,7 @@ class Lake:
             ((o * 7 + n * 13 + p) % 40).alias("pcol"),
         ).agg(
             F.avg(F.when(F.col("l_quantity") != 1, F.col("l_extendedprice"))).alias("value"),
-            F.avg(1 - 3 * F.col("l_discount")).alias("qa"),
+            F.round(F.avg(1 - 3 * F.col("l_discount")), 9).alias("qa"),
         )
 
     def pixel_points(self) -> DataFrame:

@@ -8,6 +8,7 @@ import math
 import os
 import sys
 import time
+from collections import Counter
 
 import duckdb
 
@@ -58,7 +59,9 @@ def differences(a, b) -> str | None:
     if len(ra) != len(rb):
         return f"{len(ra)} rows vs {len(rb)}"
     na, nb = _rows(ca, ra), _rows(cb, rb)
-    bad = [(x, y) for x, y in zip(na, nb) if x != y]
+    left, right = Counter(na), Counter(nb)
+    only_a, only_b = sorted((left - right).elements(), key=repr), sorted((right - left).elements(), key=repr)
+    bad = list(zip(only_a, only_b))
     if bad:
         return f"{len(bad)} of {len(na)} rows differ, columns {sorted(ca)}, first:\n  spark {bad[0][0]}\n  sql   {bad[0][1]}"
     return None
