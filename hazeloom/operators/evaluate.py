@@ -73,7 +73,8 @@ def metric_distribution(per_station: DataFrame, metric: str = "mae") -> DataFram
     plain = per_station.agg(
         F.avg(metric).alias("mean"), F.max(metric).alias("worst"), F.count(metric).alias("n_stations")
     )
-    return plain.withColumns({n: spread.select(n).scalar() for n in ("median", "p10", "p90")})
+    tails = spread.select(F.struct("median", "p10", "p90")).scalar()
+    return plain.withColumn("_t", tails).select("mean", "worst", "n_stations", "_t.*")
 
 
 def persistence_baseline(df: DataFrame, history: DataFrame, key: str = "sensor_id", time: str = "date", target: str = "pm25"):
@@ -93,15 +94,16 @@ def station_month_median(df: DataFrame, key: str = "sensor_id", time: str = "dat
 def climatology_baseline(df: DataFrame, train: DataFrame, key: str = "sensor_id", time: str = "date", target: str = "pm25"):
     """Training median of (station, month), else of the month, else of everything."""
     own = station_month_median(train, key, time, target).withColumnRenamed("median", "_own")
-    by_month = exact_quantiles(train.withColumn("month", F.month(time)), ["month"], target, {"_month_median": 0.5})
-    overall = exact_quantiles(train, [], target, {"m": 0.5}).select("m").scalar()
+    # every training row counts for its month and for 0, "all months": at most thirteen medians
+    scopes = F.explode(F.array(F.month(time), F.lit(0)))
+    medians = exact_quantiles(train.select(target, scopes.alias("scope")), ["scope"], target, {"m": 0.5})
+    table = medians.agg(F.map_from_entries(F.collect_list(F.struct("scope", "m")))).scalar()
     return (
         df.withColumn("month", F.month(time))
         .join(own, [key, "month"], "left")
-        # at most twelve rows
-        .join(F.broadcast(by_month), "month", "left")
-        .withColumn("climatology", F.coalesce("_own", "_month_median", overall))
-        .drop("_own", "_month_median")
+        .withColumn("_m", table)
+        .withColumn("climatology", F.coalesce("_own", F.try_element_at("_m", F.col("month")), F.try_element_at("_m", F.lit(0))))
+        .drop("_own", "_m")
     )
 
 

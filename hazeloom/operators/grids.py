@@ -156,16 +156,17 @@ def aqi_category_share(df: DataFrame, value: str = "pm25", date: str = "date") -
 def frame_scale(df: DataFrame, low: float, high: float, value: str = "pm25", date: str = "date") -> DataFrame:
     """Colour range per day: first to 99th percentile kept inside the given bounds, which also serve
     where a day has no spread; the extremes of the whole period come along."""
-    tails = exact_quantiles(df, [date], value, {"p01": 0.01, "p99": 0.99})
+    tails = exact_quantiles(df, [date], value, {"p01": 0.01, "p99": 0.99, "_lo": 0.0, "_hi": 1.0})
     vmin, vmax = F.greatest(F.lit(low), F.col("p01")), F.least(F.lit(high), F.col("p99"))
     usable = (F.col("p99") > F.col("p01")) & (vmax > vmin)
-    period = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    # one row per day from here on
+    period = Window.partitionBy()
     return tails.select(
         date,
         F.when(usable, vmin).otherwise(low).alias("vmin"),
         F.when(usable, vmax).otherwise(high).alias("vmax"),
-        period.select("lo").scalar().alias("period_min"),
-        period.select("hi").scalar().alias("period_max"),
+        F.min("_lo").over(period).alias("period_min"),
+        F.max("_hi").over(period).alias("period_max"),
     )
 
 

@@ -243,6 +243,11 @@ class TwoStage:
         return corrected.withColumn(out, F.col("backbone_pred") + weight * F.col("_residual")).drop("_residual")
 
 
+def fit_backbone(lowcost: DataFrame, features, row_key: Column, target="pm25", params=TreeParams(), seed=42) -> Fitted:
+    flagged = lowcost.withColumn("_es", hash_bucket(row_key, 100, seed) < 20)
+    return train_gbt(flagged, features, target, val="_es", params=params)
+
+
 def two_stage_fit(
     lowcost: DataFrame,
     regulatory: DataFrame,
@@ -254,15 +259,18 @@ def two_stage_fit(
     seed: int = 42,
     backbone: Fitted | None = None,
 ) -> TwoStage:
-    """A fifth of the rows, then a fifth of the stations, stop the two stages early."""
+    """A fifth of the rows, then a fifth of the stations, stop the two stages early.
+
+    Both stages fill gaps with the medians of the low-cost rows.
+    """
     if backbone is None:
-        flagged = lowcost.withColumn("_es", hash_bucket(row_key, 100, seed) < 20)
-        backbone = train_gbt(flagged, features, target, val="_es", params=params)
+        backbone = fit_backbone(lowcost, features, row_key, target, params, seed)
     base = backbone.predict(regulatory, "backbone_pred")
     residual_rows = base.withColumns(
         {"_target": F.col(target) - F.col("backbone_pred"), "_es": hash_bucket(F.col(key), 100, seed) < 20}
     )
-    residual = train_gbt(cut_lineage(residual_rows), [*features, "backbone_pred"], "_target", val="_es", params=params)
+    names = [*features, "backbone_pred"]
+    residual = train_gbt(cut_lineage(residual_rows), names, "_target", val="_es", params=params, medians=backbone.medians)
     return TwoStage(backbone, residual)
 
 
@@ -274,27 +282,39 @@ def lambda_grid(predicted: DataFrame, backbone: str, residual: str, target: str
     return table.orderBy("mae", "lambda")
 
 
-def global_model(lowcost: DataFrame, regulatory: DataFrame, features, row_key: Column, target="pm25", params=TreeParams(), seed=42):
+def global_model(
+    lowcost: DataFrame, regulatory: DataFrame, features, row_key: Column, target="pm25", params=TreeParams(), seed=42, medians=None
+) -> Fitted:
     """One model on both networks."""
     both = lowcost.unionByName(regulatory).withColumn("_es", hash_bucket(row_key, 100, seed) < 20)
-    return train_gbt(both, features, target, val="_es", params=params)
+    return train_gbt(both, features, target, val="_es", params=params, medians=medians)
 
 
 def weighted_global(
-    lowcost: DataFrame, regulatory: DataFrame, features, row_key: Column, weight: float = 10.0, target="pm25", params=TreeParams(), seed=42
-):
+    lowcost: DataFrame,
+    regulatory: DataFrame,
+    features,
+    row_key: Column,
+    weight: float = 10.0,
+    target="pm25",
+    params=TreeParams(),
+    seed=42,
+    medians=None,
+) -> Fitted:
     """Both networks with regulatory rows weighted up."""
     parts = [d.withColumn("_reg", F.lit(r)) for d, r in ((lowcost, False), (regulatory, True))]
     both = parts[0].unionByName(parts[1]).withColumns(
         {"_rw": group_weights(F.col("_reg"), weight), "_es": hash_bucket(row_key, 100, seed) < 20}
     )
-    return train_gbt(both, features, target, weight="_rw", val="_es", params=params)
+    return train_gbt(both, features, target, weight="_rw", val="_es", params=params, medians=medians)
 
 
-def anchor_only(regulatory: DataFrame, features, key: str = "sensor_id", target="pm25", params=TreeParams(), seed=42):
+def anchor_only(
+    regulatory: DataFrame, features, key: str = "sensor_id", target="pm25", params=TreeParams(), seed=42, medians=None
+) -> Fitted:
     """Regulatory rows alone, a fifth of the stations stopping early."""
     flagged = regulatory.withColumn("_es", hash_bucket(F.col(key), 100, seed) < 20)
-    return train_gbt(flagged, features, target, val="_es", params=params)
+    return train_gbt(flagged, features, target, val="_es", params=params, medians=medians)
 
 
 def alignment_fold(
@@ -302,38 +322,38 @@ def alignment_fold(
     train: DataFrame,
     anchors: DataFrame,
     test: DataFrame,
-    features: Sequence[str],
+    backbone: Fitted,
     row_key: Column,
     target: str = "pm25",
     params: TreeParams = TreeParams(),
-    backbone: Fitted | None = None,
 ) -> DataFrame:
-    """Metrics of the nine alignment approaches on one fold.
+    """Metrics of the nine alignment approaches on one fold, one row each.
 
     ``anchors`` are the rows that calibrate the days of the test rows.
     """
-    staged = two_stage_fit(lowcost, train, features, row_key, target=target, params=params, backbone=backbone)
-    models = {
-        "backbone": staged.backbone,
-        "two_stage": staged,
-        "global": global_model(lowcost, train, features, row_key, target=target, params=params),
-        "weighted_global": weighted_global(lowcost, train, features, row_key, target=target, params=params),
-        "anchor_only": anchor_only(train, features, target=target, params=params),
+    common = {"target": target, "params": params, "medians": backbone.medians}
+    features = list(backbone.features)
+    plain = {
+        "two_stage": two_stage_fit(lowcost, train, features, row_key, target=target, params=params, backbone=backbone),
+        "anchor_only": anchor_only(train, features, **common),
     }
-    tables = []
-    for name, model in models.items():
-        predicted = cut_lineage(model.predict(test))
-        tables.append(_scores(predicted, target, approach=name))
-        if name == "anchor_only":
-            continue
-        anchor = cut_lineage(model.predict(anchors))
-        if name in ("backbone", "global", "weighted_global"):
-            offset = daily_offset_apply(predicted, daily_offset_fit(anchor, y=target))
-            tables.append(_scores(offset.drop("y_pred").withColumnRenamed("calibrated", "y_pred"), target, approach=f"{name}_daily_offset"))
+    calibrated = {
+        "backbone": backbone,
+        "global": global_model(lowcost, train, features, row_key, **common),
+        "weighted_global": weighted_global(lowcost, train, features, row_key, **common),
+    }
+    answers = {name: model.predict(test).select(target, "y_pred") for name, model in plain.items()}
+    for name, model in calibrated.items():
+        predicted = cut_lineage(model.predict(test).select("date", target, "y_pred"))
+        anchor = cut_lineage(model.predict(anchors).select("date", target, "y_pred"))
+        shifted = daily_offset_apply(predicted, daily_offset_fit(anchor, y=target))
+        answers[name] = predicted
+        answers[f"{name}_daily_offset"] = shifted.withColumn("y_pred", F.col("calibrated"))
         if name == "backbone":
             line = daily_affine_apply(predicted, daily_affine_fit(anchor, y=target))
-            tables.append(_scores(line.drop("y_pred").withColumnRenamed("calibrated", "y_pred"), target, approach="daily_affine"))
-    return _union(tables)
+            answers["daily_affine"] = line.withColumn("y_pred", F.col("calibrated"))
+    together = _union([d.select(F.lit(n).alias("approach"), target, "y_pred") for n, d in answers.items()])
+    return cut_lineage(evaluate_predictions(together, ["approach"], y=target))
 
 
 def alignment_cv(
@@ -349,15 +369,14 @@ def alignment_cv(
 ) -> DataFrame:
     """Alignment approaches over station folds: mean and population deviation per approach.
 
-    The backbone depends on the low-cost rows alone and is fitted once.
+    The backbone and the medians depend on the low-cost rows alone and are fitted once.
     """
     fold = hash_bucket(F.col(key), k, seed)
-    flagged = lowcost.withColumn("_es", hash_bucket(row_key, 100, seed) < 20)
-    backbone = train_gbt(flagged, features, target, val="_es", params=params)
+    backbone = fit_backbone(lowcost, features, row_key, target, params, seed)
     tables = []
     for i in range(k):
         train, test = regulatory.where(fold != i), regulatory.where(fold == i)
-        one = alignment_fold(lowcost, train, train, test, features, row_key, target, params, backbone)
+        one = alignment_fold(lowcost, train, train, test, backbone, row_key, target, params)
         tables.append(one.withColumn("fold", F.lit(i)))
     return _union(tables).groupBy("approach").agg(
         *[F.avg(m).alias(f"{m}_mean") for m in ("mae", "rmse", "r2")],
@@ -366,6 +385,38 @@ def alignment_cv(
     )
 
 
+def nested_alignment(
+    lowcost: DataFrame,
+    regulatory: DataFrame,
+    features: Sequence[str],
+    row_key: Column,
+    months: Sequence[str],
+    k: int = 5,
+    seed: int = 42,
+    key: str = "sensor_id",
+    date: str = "date",
+    target: str = "pm25",
+    params: TreeParams = TreeParams(),
+) -> DataFrame:
+    """Alignment approaches with earlier months of other stations as training, the test month of the
+    other stations as anchors, and the test month of the held-out stations as test."""
+    fold, month = hash_bucket(F.col(key), k, seed), F.date_format(date, "yyyy-MM")
+    backbone = fit_backbone(lowcost, features, row_key, target, params, seed)
+    tables = []
+    for test_month in list(months)[1:]:
+        for i in range(k):
+            train = regulatory.where((fold != i) & (month < test_month))
+            anchors = regulatory.where((fold != i) & (month == test_month))
+            test = regulatory.where((fold == i) & (month == test_month))
+            one = alignment_fold(lowcost, train, anchors, test, backbone, row_key, target, params)
+            tables.append(one.withColumns({"month": F.lit(test_month), "fold": F.lit(i)}))
+    per_month = _union(tables).groupBy("approach", "month").agg(*[F.avg(m).alias(m) for m in ("mae", "rmse", "r2")])
+    return per_month.groupBy("approach").agg(
+        *[F.avg(m).alias(f"{m}_mean") for m in ("mae", "rmse", "r2")],
+        *[F.stddev_pop(m).alias(f"{m}_std") for m in ("mae", "rmse", "r2")],
+    )
+
+
 def holdout_eval(
     rows: DataFrame,
     folds: Sequence[tuple[str, Column, Column]],

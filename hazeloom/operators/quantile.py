@@ -19,60 +19,54 @@ BUCKETS_PER_E_FOLD = 1024
 
 def _bucket(v: Column) -> Column:
     """Monotone bucket number with a relative width of about a tenth of a percent."""
-    return F.signum(v) * F.floor(F.log1p(F.abs(v) * 1e6) * BUCKETS_PER_E_FOLD)
+    return F.signum(v) * F.floor(F.log1p(F.abs(v) * F.lit(1e6)) * F.lit(BUCKETS_PER_E_FOLD))
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
+def exact_quantiles(
+    df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], weight: str | None = None
+) -> DataFrame:
     """One row per group with a column per name in ``probs``; NULL values are ignored.
 
-    Groups without any value do not appear.  ``keys`` may be empty for a single overall row.
+    ``weight`` is an integer column saying how many equal values a row stands for.  Groups without any
+    value do not appear.  ``keys`` may be empty for a single overall row.
     """
-    group = [f"_g{i}" for i in range(len(keys))]
-    if not keys:
-        group = ["_g0"]
+    group = [f"_g{i}" for i in range(len(keys))] or ["_g0"]
     named = [F.col(k).alias(g) for k, g in zip(keys, group)] or [F.lit(0).alias("_g0")]
-    rows = df.select(*named, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    size = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
+    rows = df.select(*named, F.col(value).cast("double").alias("_v"), size.alias("_n")).where("_v IS NOT NULL")
 
-    counts = rows.withColumn("_b", _bucket(F.col("_v"))).groupBy(*group, "_b", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    counts = rows.withColumn("_b", _bucket(F.col("_v"))).groupBy(*group, "_b", "_v").agg(F.sum("_n").alias("_n"))
     histogram = counts.groupBy(*group, "_b").agg(F.sum("_n").alias("_n"))
     by_group = Window.partitionBy(*group)
     located = histogram.withColumns(
         {"_end": F.sum("_n").over(by_group.orderBy("_b")), "_total": F.sum("_n").over(by_group)}
     )
 
-    last = F.col("_total") - 1
-    wanted = []
-    for name, p in probs.items():
-        position = last * F.lit(float(p))
-        for side, rank in (("lo", F.floor(position)), ("hi", F.ceil(position))):
-            wanted.append(F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"), rank.cast("long").alias("rank")))
-    start = F.col("_end") - F.col("_n")
+    # the two neighbouring ranks of every probability, as (name, side, rank)
+    ranks = ", ".join(
+        f"named_struct('name', '{name}', 'side', '{side}', 'rank', CAST({rounding}((_total - 1) * {float(p)!r}D) AS BIGINT))"
+        for name, p in probs.items()
+        for side, rounding in (("lo", "floor"), ("hi", "ceil"))
+    )
     targets = located.select(
         *[F.col(g).alias(f"t{g}") for g in group],
         F.col("_b").alias("t_b"),
-        start.alias("_start"),
+        F.expr("_end - _n").alias("_start"),
         "_total",
-        F.filter(F.array(*wanted), lambda w: (w["rank"] >= start) & (w["rank"] < F.col("_end"))).alias("_want"),
-    ).where(F.size("_want") > 0)
+        F.expr(f"filter(array({ranks}), w -> w.rank >= _end - _n AND w.rank < _end)").alias("_want"),
+    ).where("size(_want) > 0")
 
-    same = F.col("_b") == F.col("t_b")
-    for g in group:
-        same = same & F.col(g).eqNullSafe(F.col(f"t{g}"))
-    candidates = counts.join(targets, same)
+    same = F.expr(" AND ".join(["_b = t_b", *[f"{g} <=> t{g}" for g in group]]))
     stop = F.col("_start") + F.sum("_n").over(Window.partitionBy(*group, "_b").orderBy("_v"))
-    hits = (
-        candidates.withColumn("_stop", stop)
-        .withColumn(
-            "_hit",
-            F.explode(
-                F.filter("_want", lambda w: (w["rank"] >= F.col("_stop") - F.col("_n")) & (w["rank"] < F.col("_stop")))
-            ),
-        )
+    found = (
+        counts.join(targets, same)
+        .withColumn("_stop", stop)
+        .withColumn("_hit", F.expr("explode(filter(_want, w -> w.rank >= _stop - _n AND w.rank < _stop))"))
         .groupBy(*group)
         .agg(
             F.first("_total").alias("_total"),
             *[
-                F.max(F.when((F.col("_hit.name") == n) & (F.col("_hit.side") == s), F.col("_v"))).alias(f"_{s}_{n}")
+                F.expr(f"max(CASE WHEN _hit.name = '{n}' AND _hit.side = '{s}' THEN _v END)").alias(f"_{s}_{n}")
                 for n in probs
                 for s in ("lo", "hi")
             ],
@@ -80,10 +74,9 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mappi
     )
     out = [F.col(g).alias(k) for k, g in zip(keys, group)]
     for n, p in probs.items():
-        position = (F.col("_total") - 1) * F.lit(float(p))
-        fraction = position - F.floor(position)
-        out.append((F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * fraction).alias(n))
-    return hits.select(*out)
+        at = f"(_total - 1) * {float(p)!r}D"
+        out.append(F.expr(f"_lo_{n} + (_hi_{n} - _lo_{n}) * ({at} - floor({at}))").alias(n))
+    return found.select(*out)
 
 
 def column_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:

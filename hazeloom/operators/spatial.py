@@ -97,13 +97,12 @@ def snap_to_valid(
     cel = cells.select("cell_lat", "cell_lon", F.col("cell_lat").alias("_cy"), (F.col("cell_lon") * scale).alias("_cx"))
 
     state = pts.withColumn("_hit", F.lit(None).cast("struct<d2:double,cell_lat:double,cell_lon:double>"))
-    around = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
     for i, width in enumerate(bucket_degrees):
         final = i == len(bucket_degrees) - 1
-        by, bx = F.floor(F.col("_y") / width), F.floor(F.col("_x") / width)
-        nine = F.array(*[F.struct((by + dy).alias("_by"), (bx + dx).alias("_bx")) for dy, dx in around])
-        nowhere = F.array(F.struct(F.lit(None).cast("long").alias("_by"), F.lit(None).cast("long").alias("_bx")))
-        near = state.withColumn("_b", F.explode(F.when(F.col("_hit").isNull(), nine).otherwise(nowhere)))
+        nine = f"""transform(sequence(0, 8), i -> named_struct(
+            '_by', floor(_y / {width}D) + (i div 3) - 1, '_bx', floor(_x / {width}D) + (i % 3) - 1))"""
+        nowhere = "array(named_struct('_by', CAST(NULL AS BIGINT), '_bx', CAST(NULL AS BIGINT)))"
+        near = state.withColumn("_b", F.expr(f"explode(CASE WHEN _hit IS NULL THEN {nine} ELSE {nowhere} END)"))
         bucketed = cel.select("*", F.floor(F.col("_cy") / width).alias("_by"), F.floor(F.col("_cx") / width).alias("_bx"))
         d2 = F.pow(F.col("_cy") - F.col("_y"), 2) + F.pow(F.col("_cx") - F.col("_x"), 2)
         candidate = F.when(d2.isNotNull(), F.struct(d2.alias("d2"), "cell_lat", "cell_lon"))

@@ -176,8 +176,8 @@ def balanced_weights(df: DataFrame, group: str = "province", key: str = "sensor_
     per_station = df.groupBy(group, key).agg(F.count(F.lit(1)).alias("_ns"))
     per_group = per_station.groupBy(group).agg(F.sum("_ns").alias("_ng"))
     sizes = per_station.join(per_group, group).withColumn("_w", 1.0 / F.sqrt("_ng") * (1.0 / F.sqrt("_ns")))
-    weighted = df.join(sizes.select(group, key, "_w"), [group, key])
-    cap = exact_quantiles(weighted, [], "_w", {"cap": clip}).select("cap").scalar()
+    # a station's rows all weigh the same, so the quantile over rows comes from one row per station
+    cap = exact_quantiles(sizes, [], "_w", {"cap": clip}, weight="_ns").select("cap").scalar()
     clipped = sizes.withColumn("_w", F.least(F.col("_w"), cap))
     mean = clipped.agg(F.sum(F.col("_w") * F.col("_ns")) / F.sum("_ns")).scalar()
     return df.join(clipped.select(group, key, (F.col("_w") / mean).alias("weight")), [group, key])

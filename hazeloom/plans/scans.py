@@ -30,8 +30,8 @@ def _(lake):
 @query("list_dates", "SELECT DISTINCT date, min(date) OVER () AS first_date, max(date) OVER () AS last_date FROM met_daily")
 def _(lake):
     store = lake.store()
-    span = store.date_span("met")
-    return store.dates("met").withColumns({c: span.select(c).scalar() for c in ("first_date", "last_date")})
+    span = store.date_span("met").select(F.struct("first_date", "last_date")).scalar()
+    return store.dates("met").withColumn("_s", span).select("date", "_s.*")
 
 
 @query(
@@ -247,12 +247,12 @@ def _(lake):
 
 @query(
     "missing_dates",
-    "SELECT sensor_id, date, pm25 FROM station_daily WHERE date NOT IN (SELECT date FROM station_daily GROUP BY 1 HAVING max(pm25) >= 100)",
+    "SELECT sensor_id, date, pm25 FROM station_daily WHERE date NOT IN (SELECT date FROM station_daily GROUP BY 1 HAVING max(pm25) >= 180)",
     doubles="pm25",
 )
 def _(lake):
     daily = lake.station_daily().drop("n")
-    done = daily.groupBy("date").agg(F.max("pm25").alias("top")).where("top >= 100")
+    done = daily.groupBy("date").agg(F.max("pm25").alias("top")).where("top >= 180")
     return missing_dates(daily, done)
 
 

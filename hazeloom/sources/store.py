@@ -22,12 +22,15 @@ class FeatureStore:
     def path(self, stage: str) -> str:
         return f"{self.root}/{stage}"
 
-    def exists(self, stage: str) -> bool:
-        """Whether the stage has been written; asks the file system, reads nothing."""
+    def _listing(self, stage: str) -> list[str]:
+        """Names of the stage's entries; asks the file system, opens no file."""
         jvm = self.spark._jvm
         folder = jvm.org.apache.hadoop.fs.Path(self.path(stage))
         files = folder.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
-        return files.exists(folder)
+        return [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
+
+    def exists(self, stage: str) -> bool:
+        return bool(self._listing(stage))
 
     def read(
         self,
@@ -61,8 +64,10 @@ class FeatureStore:
         return self.read(stage, start, end)
 
     def dates(self, stage: str) -> DataFrame:
-        """Available dates, answered from the partition listing alone."""
-        return self.spark.read.parquet(self.path(stage)).select(F.col("date").cast("date").alias("date")).distinct()
+        """Available dates from the directory names: one row per calendar day, no file is opened."""
+        names = [n.removeprefix("date=") for n in self._listing(stage) if n.startswith("date=")]
+        rows = self.spark.createDataFrame([(n,) for n in sorted(names)], "date string")
+        return rows.select(F.col("date").try_cast("date").alias("date")).where("date IS NOT NULL")
 
     def date_span(self, stage: str) -> DataFrame:
         return self.dates(stage).agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"))
