@@ -6,7 +6,7 @@ are bounded by construction.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from ..constants import AOD_VALID_RANGE, MIN_VALID_PIXELS
 from ..functions.quality import in_range_or_null, mode_in_range, qa_bits, qa_filter, qa_pass
-from .quantile import array_median
+from .quantile import array_median, sorted_quantile
 
 
 def window_offsets(points: DataFrame, radius: int, height: int, width: int) -> DataFrame:
@@ -47,6 +47,17 @@ def pixel_window_join(
     return near.join(pixels.withColumnsRenamed({"prow": "row", "pcol": "col"}), [*equal, "row", "col"])
 
 
+def at_addresses(points: DataFrame, compute: Callable[[DataFrame], DataFrame], equal: Sequence[str] = ()) -> DataFrame:
+    """Window results per point, computed once per distinct pixel address.
+
+    A window depends on the address alone, and there are at most as many addresses as the raster has
+    pixels, however many points share them.  ``compute`` maps addresses (prow, pcol, equal columns) to
+    rows that keep those columns.
+    """
+    address = ["prow", "pcol", *equal]
+    return points.join(compute(points.select(*address).distinct()), address)
+
+
 def _deviation_or(default: float, std: Column, moment: Column, n: Column, least: int) -> Column:
     return F.when(n < least, None).when(std <= 1e-12, F.lit(default)).otherwise(moment)
 
@@ -54,7 +65,6 @@ def _deviation_or(default: float, std: Column, moment: Column, n: Column, least:
 def robust_window_stats(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
     """Median to kurtosis of each pixel set; all NULL without a valid pixel."""
     v = F.col(value)
-    quantiles = {"median": 0.5, "p10": 0.1, "p25": 0.25, "p75": 0.75, "p90": 0.9}
     base = df.groupBy(*keys).agg(
         F.count(v).alias("n_pixels"),
         F.avg(v).alias("mean"),
@@ -63,12 +73,12 @@ def robust_window_stats(df: DataFrame, keys: Sequence[str], value: str = "value"
         F.max(v).alias("max"),
         F.skewness(v).alias("_skew"),
         F.kurtosis(v).alias("_kurt"),
-        *[F.percentile(v, p).alias(n) for n, p in quantiles.items()],
-        F.collect_list(v).alias("_all"),
+        F.sort_array(F.collect_list(v)).alias("_all"),
     )
+    quantiles = {"median": 0.5, "p10": 0.1, "p25": 0.25, "p75": 0.75, "p90": 0.9}
     n, std = F.col("n_pixels"), F.col("std")
     deviations = F.transform("_all", lambda x: F.abs(x - F.col("median")))
-    return base.withColumns(
+    return base.withColumns({name: sorted_quantile(F.col("_all"), p) for name, p in quantiles.items()}).withColumns(
         {
             "iqr": F.col("p75") - F.col("p25"),
             "mad": array_median(deviations),
@@ -101,10 +111,11 @@ def multiscale_stats(df: DataFrame, keys: Sequence[str], radii: Sequence[int], v
             F.count(v).alias(f"n_pixels_{suffix}"),
             (F.count(v) / total).alias(f"window_coverage_{suffix}"),
             (passed / total).alias(f"qa_pass_fraction_{suffix}"),
-            F.percentile(v, 0.5).alias(f"median_{suffix}"),
+            F.collect_list(v).alias(f"median_{suffix}"),
             F.stddev_pop(v).alias(f"std_{suffix}"),
         ]
-    return df.groupBy(*keys).agg(*aggregates)
+    out = df.groupBy(*keys).agg(*aggregates)
+    return out.withColumns({f"median_{s}": array_median(F.col(f"median_{s}")) for s in SCALES})
 
 
 def best_scale(df: DataFrame, min_pixels: int = MIN_VALID_PIXELS) -> DataFrame:
@@ -157,15 +168,19 @@ def best_scale_stats(joined: DataFrame, keys: Sequence[str], radii: Sequence[int
 
 
 def progressive_window(joined: DataFrame, keys: Sequence[str], layers: Sequence[str], qa: str = "qa") -> DataFrame:
-    """Smallest of the 3/5/7 windows with any valid layer value, per point and file; its medians and QA modes."""
+    """Smallest of the 3/5/7 windows with any valid layer value, per point and file; its medians and QA modes.
+
+    A file without a valid pixel in the largest window keeps its row: no size, no values, zero counts.
+    """
     masked = joined.withColumns({c: in_range_or_null(F.col(c), *AOD_VALID_RANGE) for c in layers})
     any_valid = F.coalesce(*[F.col(c) for c in layers]).isNotNull()
     ring = F.min(F.when(any_valid, F.greatest(F.col("ring"), F.lit(1)))).over(Window.partitionBy(*keys))
-    inside = masked.withColumn("_limit", ring).where(F.col("ring") <= F.col("_limit"))
-    bits = qa_bits(F.col(qa))
+    limited = masked.withColumn("_limit", ring)
+    inside = F.col("ring") <= F.col("_limit")
+    limited = limited.withColumns({c: F.when(inside, F.col(c)) for c in [*layers, qa]})
     top = {"qa_cloudmask": 7, "qa_adjacency": 7, "qa_aod": 15}
     return (
-        inside.withColumns(bits)
+        limited.withColumns(qa_bits(F.col(qa)))
         .groupBy(*keys)
         .agg(
             *[F.percentile(c, 0.5).alias(c) for c in layers],
@@ -178,7 +193,7 @@ def progressive_window(joined: DataFrame, keys: Sequence[str], layers: Sequence[
 
 
 def aod_across_files(per_file: DataFrame, keys: Sequence[str], layers: Sequence[str]) -> DataFrame:
-    """One row per point and day: medians over the files of the day, QA modes, pixel totals."""
+    """One row per point and day: medians over the files that contributed, QA modes, pixel totals."""
     pixels = sum((F.coalesce(F.col(f"{c}_n_pixels"), F.lit(0)) for c in layers), F.lit(0))
     return per_file.groupBy(*keys).agg(
         *[F.percentile(c, 0.5).alias(c) for c in layers],
@@ -186,7 +201,8 @@ def aod_across_files(per_file: DataFrame, keys: Sequence[str], layers: Sequence[
         F.sum("qa_n_pixels").alias("qa_n_pixels"),
         F.sum(pixels).alias("aod_total_valid_pixels"),
         F.percentile("window_size_used", 0.5).alias("aod_window_size_used"),
-        F.count(F.lit(1)).alias("aod_files_used"),
+        F.count("window_size_used").alias("aod_files_used"),
+        F.count(F.lit(1)).alias("aod_n_files"),
     )
 
 

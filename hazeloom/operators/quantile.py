@@ -85,10 +85,13 @@ def column_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return exact_quantiles(long, ["column"], "value", {"median": 0.5})
 
 
+def sorted_quantile(ordered: Column, p: float) -> Column:
+    """Interpolated quantile of a small sorted array (a window of pixels); NULL if it is empty."""
+    at = (F.size(ordered) - 1) * F.lit(float(p))
+    low = F.get(ordered, F.floor(at).cast("int"))
+    high = F.get(ordered, F.ceil(at).cast("int"))
+    return F.when(F.size(ordered) > 0, low + (high - low) * (at - F.floor(at)))
+
+
 def array_median(values: Column) -> Column:
-    """Median of a small array (a window of pixels)."""
-    ordered = F.sort_array(values)
-    n = F.size(values)
-    low = F.get(ordered, F.floor((n - 1) / 2).cast("int"))
-    high = F.get(ordered, F.floor(n / 2).cast("int"))
-    return F.when(n > 0, (low + high) / 2)
+    return sorted_quantile(F.sort_array(values), 0.5)

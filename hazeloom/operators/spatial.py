@@ -105,7 +105,8 @@ def snap_to_valid(
         near = state.withColumn("_b", F.expr(f"explode(CASE WHEN _hit IS NULL THEN {nine} ELSE {nowhere} END)"))
         bucketed = cel.select("*", F.floor(F.col("_cy") / width).alias("_by"), F.floor(F.col("_cx") / width).alias("_bx"))
         d2 = F.pow(F.col("_cy") - F.col("_y"), 2) + F.pow(F.col("_cx") - F.col("_x"), 2)
-        candidate = F.when(d2.isNotNull(), F.struct(d2.alias("d2"), "cell_lat", "cell_lon"))
+        # rounded, so that equally distant cells tie and the southern, then western one wins
+        candidate = F.when(d2.isNotNull(), F.struct(F.round(d2, 12).alias("d2"), "cell_lat", "cell_lon"))
         # points already placed travel along unmatched, so the plan grows by one join per bucket size
         best = (
             near.select(key, "_y", "_x", "_hit", "_b.*")

@@ -191,22 +191,28 @@ def lopo_label(df: DataFrame, held_out: str, by: str = "province") -> DataFrame:
 
 
 def nested_month_station_folds(df: DataFrame, k: int, seed: int = 42, key: str = "sensor_id", date: str = "date") -> DataFrame:
-    """Role of each row in every (month, station fold): earlier months of other stations train, the
-    same month of other stations anchors, the same month of the held-out stations tests.
+    """Rows and stations per role in every (test month, station fold): earlier months of other stations
+    train, the test month of other stations anchors, the test month of the held-out stations tests.
 
-    Counted per (month, station) first; the fold expansion then multiplies station-months only.
+    Only counts per month and station bucket are expanded over months and folds.  A station trains from
+    the month after its first one, so distinct stations follow from first months.
     """
     month = F.date_format(date, "yyyy-MM")
     per = df.groupBy(month.alias("month"), key).agg(F.count(F.lit(1)).alias("n"))
     per = per.withColumn("_own", hash_bucket(F.col(key), k, seed))
-    months = per.agg(F.sort_array(F.collect_set("month"))).scalar()
+    sizes = per.groupBy("month", "_own").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_stations"))
+    first = per.groupBy(key, "_own").agg(F.min("month").alias("month")).groupBy("month", "_own").agg(
+        F.count(F.lit(1)).alias("_new")
+    )
+    months = sizes.agg(F.sort_array(F.collect_set("month"))).scalar()
+    table = sizes.join(first, ["month", "_own"], "left").na.fill(0, ["_new"]).withColumn("_months", months)
     later = F.filter(F.slice("_months", 2, 1_000_000), lambda m: m >= F.col("month"))
-    outer = per.withColumn("_months", months).withColumn("test_month", F.explode(later)).drop("_months")
-    inner = outer.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    spread = table.withColumn("test_month", F.explode(later)).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
     held, same = F.col("_own") == F.col("fold"), F.col("month") == F.col("test_month")
     role = F.when(held & same, "test").when(~held & same, "anchor").when(~held, "train")
-    return inner.withColumn("role", role).where("role IS NOT NULL").groupBy("test_month", "fold", "role").agg(
-        F.sum("n").alias("n"), F.countDistinct(key).alias("n_stations")
+    stations = F.when(F.col("role") == "train", F.col("_new")).otherwise(F.col("n_stations"))
+    return spread.withColumn("role", role).where("role IS NOT NULL").groupBy("test_month", "fold", "role").agg(
+        F.sum("n").alias("n"), F.sum(stations).alias("n_stations")
     )
 
 

@@ -29,8 +29,9 @@ IX = "((lon - 60.5::DOUBLE)/1.45::DOUBLE)"
 )
 def _(lake):
     base = lake.station_daily().drop("n")
-    gas = lake.pixel_points().join(lake.gas_pixels(), ["prow", "pcol"])
-    gas = gas.groupBy("sensor_id", "date").agg(F.avg("value").alias("value"), F.count(F.lit(1)).alias("n_gas"))
+    # products are merged per pixel before the pixels meet the points that share them
+    gas = lake.gas_pixels().groupBy("prow", "pcol", "date").agg(F.avg("value").alias("value"), F.count(F.lit(1)).alias("n_gas"))
+    gas = lake.pixel_points().join(gas, ["prow", "pcol"]).drop("prow", "pcol")
     met = lake.met_daily().select("sensor_id", "date", "WS10", "RH", "sp")
     return assemble.join_stages(
         base, {"met": met, "tropomi": gas}, ["sensor_id", "date"], {"met": ["WS10", "RH"], "tropomi": ["value"]}, drop=["sp"]
@@ -112,15 +113,15 @@ def _(lake):
 @query(
     "snap_to_valid",
     """WITH cells AS (SELECT 37.3::DOUBLE - 1.4*iy AS clat, 60.5::DOUBLE + 1.45*ix AS clon FROM met_cube
-        WHERE date = (SELECT min(date) FROM met_cube) AND (iy + ix) % 3 = 0),
+        WHERE date = (SELECT min(date) FROM met_cube) AND value < 40),
       sc AS (SELECT greatest(cos(radians(median(clat))), 1e-3) AS s FROM cells),
       r AS (SELECT sensor_id, lat, lon, clat, clon, row_number() OVER (PARTITION BY sensor_id
-        ORDER BY round(pow(clat-lat,2) + pow((clon-lon)*s,2), 9), clat, clon) AS rn FROM stations, cells, sc)
+        ORDER BY round(pow(clat-lat,2) + pow((clon-lon)*s,2), 12), clat, clon) AS rn FROM stations, cells, sc)
       SELECT sensor_id, round(clat, 6) AS cell_lat, round(clon, 6) AS cell_lon FROM r WHERE rn = 1""",
     doubles="cell_lat cell_lon",
 )
 def _(lake):
-    mask = spatial.valid_cell_mask(lake.met_cube(), "date", ["value"]).where((F.col("iy") + F.col("ix")) % 3 == 0)
+    mask = spatial.valid_cell_mask(lake.met_cube(), "date", ["value"]).where("value < 40")
     cells = mask.select(CUBE_LAT.value(F.col("iy")).alias("cell_lat"), CUBE_LON.value(F.col("ix")).alias("cell_lon"))
     return spatial.snap_to_valid(lake.stations(), cells).select("sensor_id", "cell_lat", "cell_lon")
 
@@ -229,6 +230,9 @@ def _(lake):
     return needed.join(have, ["date", "h", "v"], "left_anti")
 
 
+_FILE_KEYS = ["prow", "pcol", "date", "product"]
+
+
 @query(
     "pixel_window_join",
     """SELECT p.sensor_id, g.date, g.product, count(*) AS n_total, count(g.value) AS n_valid, avg(g.value) AS mean, median(g.value) AS median
@@ -236,13 +240,16 @@ def _(lake):
     doubles="mean median",
 )
 def _(lake):
-    joined = pixels.pixel_window_join(lake.pixel_points(), lake.gas_pixels(), 2, 40, 40)
-    return joined.groupBy("sensor_id", "date", "product").agg(
-        F.count(F.lit(1)).alias("n_total"),
-        F.count("value").alias("n_valid"),
-        F.avg("value").alias("mean"),
-        F.percentile("value", 0.5).alias("median"),
-    )
+    def compute(addresses):
+        joined = pixels.pixel_window_join(addresses, lake.gas_pixels(), 2, 40, 40)
+        return joined.groupBy(*_FILE_KEYS).agg(
+            F.count(F.lit(1)).alias("n_total"),
+            F.count("value").alias("n_valid"),
+            F.avg("value").alias("mean"),
+            F.percentile("value", 0.5).alias("median"),
+        )
+
+    return pixels.at_addresses(lake.pixel_points(), compute).drop("prow", "pcol")
 
 
 _RING = "greatest(abs(g.prow - p.prow), abs(g.pcol - p.pcol))"
@@ -278,32 +285,35 @@ _MODES = " ".join(
       USING (sensor_id, date, product)"""
     for c, e in (("qa_cloudmask", "qa & 7"), ("qa_adjacency", "(qa >> 5) & 7"), ("qa_aod", "(qa >> 8) & 15"))
 )
-_PER_FILE = f"""WITH f AS (SELECT * FROM ({_FIRST_RING}) WHERE ring <= lim) SELECT * FROM (SELECT sensor_id, date, product, median(od055) AS od055,
+_PER_FILE = f"""WITH f AS (SELECT sensor_id, date, product, lim, CASE WHEN ring <= lim THEN od055 END AS od055,
+  CASE WHEN ring <= lim THEN od047 END AS od047, CASE WHEN ring <= lim THEN qa END AS qa FROM ({_FIRST_RING})) SELECT * FROM (SELECT sensor_id, date, product, median(od055) AS od055,
   median(od047) AS od047, count(od055) AS od055_n_pixels, count(od047) AS od047_n_pixels, count(qa) AS qa_n_pixels,
   (any_value(lim)*2 + 1)::BIGINT AS window_size_used FROM f GROUP BY 1, 2, 3) {_MODES}"""
 
 
-def _per_file(lake):
-    joined = pixels.pixel_window_join(lake.pixel_points(), _aod_pixels(lake), 3, 40, 40)
-    return pixels.progressive_window(joined, ["sensor_id", "date", "product"], ["od055", "od047"])
+def _per_file(addresses, lake):
+    joined = pixels.pixel_window_join(addresses, _aod_pixels(lake), 3, 40, 40)
+    return pixels.progressive_window(joined, _FILE_KEYS, ["od055", "od047"])
 
 
 @query("progressive_window", _PER_FILE, doubles="od055 od047")
 def _(lake):
-    return _per_file(lake)
+    return pixels.at_addresses(lake.pixel_points(), lambda a: _per_file(a, lake)).drop("prow", "pcol")
 
 
 @query(
     "aod_across_files",
     f"""WITH p AS ({_PER_FILE}) SELECT * FROM (SELECT sensor_id, date, median(od055) AS od055, median(od047) AS od047, sum(qa_n_pixels)::BIGINT AS qa_n_pixels,
-      sum(od055_n_pixels + od047_n_pixels)::BIGINT AS aod_total_valid_pixels, median(window_size_used) AS aod_window_size_used, count(*) AS aod_files_used
+      sum(od055_n_pixels + od047_n_pixels)::BIGINT AS aod_total_valid_pixels, median(window_size_used) AS aod_window_size_used, count(window_size_used) AS aod_files_used, count(*) AS aod_n_files
       FROM p GROUP BY 1, 2) LEFT JOIN (SELECT sensor_id, date, qa_aod FROM (SELECT sensor_id, date, qa_aod, count(*) AS n FROM p WHERE qa_aod IS NOT NULL GROUP BY 1, 2, 3)
       QUALIFY row_number() OVER (PARTITION BY sensor_id, date ORDER BY n DESC, qa_aod) = 1) USING (sensor_id, date)""",
     doubles="od055 od047 aod_window_size_used",
 )
 def _(lake):
-    out = pixels.aod_across_files(_per_file(lake), ["sensor_id", "date"], ["od055", "od047"])
-    return out.drop("qa_cloudmask", "qa_adjacency")
+    def compute(addresses):
+        return pixels.aod_across_files(_per_file(addresses, lake), ["prow", "pcol", "date"], ["od055", "od047"])
+
+    return pixels.at_addresses(lake.pixel_points(), compute).drop("prow", "pcol", "qa_cloudmask", "qa_adjacency")
 
 
 _RADII = [1, 2, 4]
@@ -322,12 +332,17 @@ _MULTI = f"""SELECT sensor_id, date, product, {", ".join(_scale_sql(s, r) for s,
 _MULTI_DOUBLES = " ".join(f"{n}_{s}" for s in pixels.SCALES for n in ("window_coverage", "qa_pass_fraction", "median", "std"))
 
 
-def _window_pixels(lake, radius):
-    return pixels.pixel_window_join(lake.pixel_points(), lake.gas_pixels(), radius, 40, 40)
+def window_pixels(addresses, lake, radius):
+    return pixels.pixel_window_join(addresses, lake.gas_pixels(), radius, 40, 40)
+
+
+def per_point(lake, compute):
+    """Window statistics of every point, worked out per pixel address."""
+    return pixels.at_addresses(lake.pixel_points(), compute).drop("prow", "pcol")
 
 
 def _multi(lake):
-    return pixels.multiscale_stats(_window_pixels(lake, 4), ["sensor_id", "date", "product"], _RADII)
+    return per_point(lake, lambda a: pixels.multiscale_stats(window_pixels(a, lake, 4), _FILE_KEYS, _RADII))
 
 
 @query("multiscale_radius", _MULTI, doubles=_MULTI_DOUBLES)

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from ..functions import ids, naming
 from ..operators import assemble, evaluate, grids, stations
 from .aggregates import _ACTIVITY, _BY_STATION, _activity
-from .joins import CUBE_LAT, CUBE_LON, _window, _window_pixels
+from .joins import CUBE_LAT, CUBE_LON, _FILE_KEYS, _window, per_point, window_pixels
 from .registry import query
 
 
@@ -178,8 +178,11 @@ def _(lake):
 @query("export_stage_metadata", "SELECT DISTINCT sensor_id, date, product, invalid_reason FROM (SELECT sensor_id, date, product, CASE WHEN value IS NULL THEN 'fill' WHEN qa < 0.75 THEN 'low_quality' ELSE '' END AS invalid_reason FROM (" + _window(1) + "))")
 def _(lake):
     reason = F.when(F.col("value").isNull(), "fill").when(F.col("qa") < 0.75, "low_quality").otherwise("")
-    rows = _window_pixels(lake, 1).withColumn("invalid_reason", reason)
-    return rows.select("sensor_id", "date", "product", "invalid_reason").distinct()
+
+    def compute(addresses):
+        return window_pixels(addresses, lake, 1).select(*_FILE_KEYS, reason.alias("invalid_reason")).distinct()
+
+    return per_point(lake, compute)
 
 
 @query(

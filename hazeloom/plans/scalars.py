@@ -284,8 +284,8 @@ def _(lake):
     return lake.met_readings().select("event_id", *[c.alias(n) for n, c in cols.items()])
 
 
-_UV = """SELECT event_id, user_id, ts, value, value/10*sin(radians(event_id % 360)) AS u10, value/10*cos(radians(event_id % 360)) AS v10,
-  value/8*sin(radians(event_id*7 % 360)) AS u100, value/8*cos(radians(event_id*7 % 360)) AS v100, event_id % 101 AS cover FROM events"""
+_UV = """SELECT event_id, user_id, ts, value, (value/10 + 0.05::DOUBLE)*sin(radians(event_id % 360)) AS u10, (value/10 + 0.05::DOUBLE)*cos(radians(event_id % 360)) AS v10,
+  (value/8 + 0.05::DOUBLE)*sin(radians(event_id*7 % 360)) AS u100, (value/8 + 0.05::DOUBLE)*cos(radians(event_id*7 % 360)) AS v100, event_id % 101 AS cover FROM events"""
 
 
 def _uv(lake):
@@ -294,10 +294,10 @@ def _uv(lake):
         "event_id",
         F.col("user_id").alias("sensor_id"),
         F.col("ts").cast("timestamp").alias("ts"),
-        (F.col("value") / 10 * F.sin(F.radians(e % 360))).alias("u10"),
-        (F.col("value") / 10 * F.cos(F.radians(e % 360))).alias("v10"),
-        (F.col("value") / 8 * F.sin(F.radians(e * 7 % 360))).alias("u100"),
-        (F.col("value") / 8 * F.cos(F.radians(e * 7 % 360))).alias("v100"),
+        ((F.col("value") / 10 + 0.05) * F.sin(F.radians(e % 360))).alias("u10"),
+        ((F.col("value") / 10 + 0.05) * F.cos(F.radians(e % 360))).alias("v10"),
+        ((F.col("value") / 8 + 0.05) * F.sin(F.radians(e * 7 % 360))).alias("u100"),
+        ((F.col("value") / 8 + 0.05) * F.cos(F.radians(e * 7 % 360))).alias("v100"),
         (e % 101).cast("double").alias("tcc"),
     )
 

@@ -91,13 +91,13 @@ def _(lake):
 @query(
     "load_sensor_csv",
     """SELECT ('0x' || substr(sha1(printf('%.5f,%.5f', s.lat, s.lon)), 1, 8))::BIGINT AS sensor_id, CAST(e.ts AS DATE) AS "time", min(e.value) AS pm25
-      FROM events e JOIN stations s ON s.sensor_id = e.user_id WHERE e.event_id % 10 <> 0 GROUP BY 1, 2""",
+      FROM events e JOIN stations s ON s.sensor_id = e.user_id WHERE e.event_type <> 'error' GROUP BY 1, 2""",
     doubles="pm25",
 )
 def _(lake):
     path = scratch_path(lake.spark, "sensors")
     rows = lake.readings().join(lake.stations(), "sensor_id")
-    pm = F.when(F.col("event_id") % 10 != 0, F.col("pm25").cast("string")).otherwise("bad")
+    pm = F.when(F.col("event_type") != "error", F.col("pm25").cast("string")).otherwise("bad")
     rows.select(
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("when"), F.col("lat").cast("string"), F.col("lon").cast("string"), pm.alias("pm"), "province"
     ).write.option("header", True).csv(path)
@@ -270,10 +270,10 @@ def _(lake):
 @query(
     "lake_manifest",
     """SELECT o_orderpriority AS dataset, count(DISTINCT CAST(o_orderdate AS DATE)) AS n_partitions, min(CAST(o_orderdate AS DATE)) AS first_date, max(CAST(o_orderdate AS DATE)) AS last_date
-    FROM orders WHERE o_orderkey % 7 <> 0 GROUP BY 1""",
+    FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1""",
 )
 def _(lake):
-    name = F.when(F.col("o_orderkey") % 7 != 0, F.to_date("o_orderdate").cast("string")).otherwise("_tmp")
+    name = F.when(F.col("o_orderstatus") != "P", F.to_date("o_orderdate").cast("string")).otherwise("_tmp")
     parts = lake.table("orders").select(F.col("o_orderpriority").alias("dataset"), name.alias("partition"))
     return lake_manifest(parts)
 
