@@ -72,14 +72,16 @@ class FeatureStore:
     def date_span(self, stage: str) -> DataFrame:
         return self.dates(stage).agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"))
 
-    def write(self, stage: str, df: DataFrame, overwrite: bool = False, one_file_per_date: bool = False) -> None:
+    def write(self, stage: str, df: DataFrame, overwrite: bool = False, one_file_per_date: bool = False) -> int:
         """Writes whole dates; a date already present is skipped, or replaced with ``overwrite``.
 
-        Replacing uses dynamic partition overwrite, so other dates stay and a failed task leaves no trace.
-        Rows go to the writers by date plus a salt, so a heavy date is written by several tasks.
+        Returns how many dates the store gained, from the directory names.  Replacing uses dynamic
+        partition overwrite, so other dates stay and a failed task leaves no trace.  Rows go to the
+        writers by date plus a salt, so a heavy date is written by several tasks.
         """
         dated = ensure_date_column(df)
-        if not overwrite and self.exists(stage):
+        before = set(self._listing(stage))
+        if before and not overwrite:
             dated = dated.join(F.broadcast(self.dates(stage)), "date", "left_anti")
         if one_file_per_date:
             dated = dated.repartition("date")
@@ -88,6 +90,7 @@ class FeatureStore:
             dated = dated.repartition("date", spread)
         writer = dated.write.partitionBy("date").option("partitionOverwriteMode", "dynamic")
         writer.mode("overwrite").parquet(self.path(stage))
+        return sum(n.startswith("date=") for n in set(self._listing(stage)) - before)
 
     def write_grid(self, stage: str, df: DataFrame, overwrite: bool = False, expected_rows: int = GRID_CELLS) -> DataFrame:
         """Grid stage with cell ids; returns the dates whose row count is not the grid's."""

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from hazeloom import workflows
 from hazeloom.operators import assemble, calibrate, grids, models, pixels, spatial, splits, stations, temporal
 from hazeloom.operators.quantile import exact_quantiles
 from hazeloom.session import scratch_path
@@ -172,8 +173,8 @@ def test_history_matches_the_full_series(spark, folder):
 def test_rewriting_a_date_changes_nothing(spark):
     store = FeatureStore(spark, scratch_path(spark, "t"))
     rows = spark.createDataFrame([(1, D(2024, 1, 1), 1.0), (2, D(2024, 1, 2), 2.0)], "k int, date date, v double")
-    store.write("s", rows)
-    store.write("s", rows.withColumn("v", F.lit(9.0)))
+    assert store.write("s", rows) == 2
+    assert store.write("s", rows.withColumn("v", F.lit(9.0))) == 0
     assert sorted(r.v for r in store.read("s").collect()) == [1.0, 2.0]
     store.write("s", rows.where("k = 2").withColumn("v", F.lit(9.0)), overwrite=True)
     assert sorted(r.v for r in store.read("s").collect()) == [1.0, 9.0]
@@ -296,3 +297,33 @@ def test_prediction_keeps_the_rows_and_gaps(spark, folder):
     assert out.columns == [*rows.columns, "y_pred"]
     assert out.drop("y_pred").exceptAll(rows).count() == 0
     assert out.where("y_pred IS NULL").count() == 0
+
+
+def test_refresh_writes_missing_dates_with_their_history(spark, folder):
+    daily = Lake(spark, folder).met_daily()
+    store = FeatureStore(spark, scratch_path(spark, "r"))
+    whole = workflows.refresh_stage(store, "all", daily, temporal.met_level2)
+    assert whole == 30
+    workflows.refresh_stage(store, "met", daily.where("date < '2024-01-20'"), temporal.met_level2)
+    later = workflows.refresh_stage(store, "met", daily, temporal.met_level2)
+    assert later == 11
+    names = ["sensor_id", "date", F.round("blh_rollmean_14d", 6).alias("b"), "WS10_lag3d", "calm7_count"]
+    assert store.read("met").select(*names).exceptAll(store.read("all").select(*names)).count() == 0
+    assert workflows.refresh_stage(store, "met", daily, temporal.met_level2) == 0
+
+
+def test_master_build_and_yearly_training(spark, folder):
+    lake = Lake(spark, folder)
+    store = FeatureStore(spark, scratch_path(spark, "w"))
+    workflows.refresh_stage(store, "met", lake.met_daily(), temporal.met_level2)
+    base = lake.station_daily().drop("n")
+    workflows.build_master(store, base, {"met": ["WS10"]}, ["sensor_id", "date"])
+    master = store.read_master()
+    assert master.count() == base.count() and "WS10_lag1d" in master.columns
+    rows = master.withColumn("date", F.date_add("date", (F.lit(400) * (F.col("sensor_id") % 3)).cast("int")))
+    report = workflows.train_and_evaluate(
+        rows, ["WS10", "RH"], [2024, 2025], [2025], [2026], models.TreeParams(rounds=2, depth=2)
+    )
+    assert {r.scope for r in report.metrics.collect()} == {"overall", "month", "season"}
+    skill = report.skill.first()
+    assert skill.mae > 0 and skill.mae_climatology > 0
