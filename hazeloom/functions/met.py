@@ -21,7 +21,7 @@ def _clip(c: Column, lo: float | None = None, hi: float | None = None) -> Column
 
 def saturation_pressure(celsius: Column) -> Column:
     """Magnus form, hPa."""
-    return 6.112 * F.exp(17.67 * celsius / (celsius + 243.5))
+    return 6.112 * F.exp(F.try_divide(17.67 * celsius, celsius + 243.5))
 
 
 def thermo_features(t2m: Column, d2m: Column, sp: Column) -> dict[str, Column]:
@@ -29,11 +29,11 @@ def thermo_features(t2m: Column, d2m: Column, sp: Column) -> dict[str, Column]:
     air, dew = t2m - 273.15, d2m - 273.15
     e_sat, e_act = saturation_pressure(air), saturation_pressure(dew)
     return {
-        "RH": _clip(100.0 * e_act / e_sat, 0, 100),
-        "q": 0.622 * e_act / (sp / 100.0 - 0.378 * e_act),
+        "RH": _clip(F.try_divide(100.0 * e_act, e_sat), 0, 100),
+        "q": F.try_divide(0.622 * e_act, sp / 100.0 - 0.378 * e_act),
         "VPD": _clip(e_sat - e_act, 0),
         "dT": air - dew,
-        "theta": t2m * F.pow(F.lit(1e5) / sp, F.lit(287.0 / 1004.0)),
+        "theta": t2m * F.pow(F.try_divide(F.lit(1e5), sp), F.lit(287.0 / 1004.0)),
     }
 
 

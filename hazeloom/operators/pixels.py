@@ -109,8 +109,8 @@ def multiscale_stats(df: DataFrame, keys: Sequence[str], radii: Sequence[int], v
         passed = F.count(F.when(inside & qa_pass(F.col(qa)), F.lit(1)))
         aggregates += [
             F.count(v).alias(f"n_pixels_{suffix}"),
-            (F.count(v) / total).alias(f"window_coverage_{suffix}"),
-            (passed / total).alias(f"qa_pass_fraction_{suffix}"),
+            F.coalesce(F.try_divide(F.count(v), total), F.lit(0.0)).alias(f"window_coverage_{suffix}"),
+            F.coalesce(F.try_divide(passed, total), F.lit(0.0)).alias(f"qa_pass_fraction_{suffix}"),
             F.collect_list(v).alias(f"median_{suffix}"),
             F.stddev_pop(v).alias(f"std_{suffix}"),
         ]

@@ -137,7 +137,7 @@ def overlap_dates(observations: DataFrame, imagery: DataFrame) -> DataFrame:
     return both.agg(
         F.count(F.lit(1)).alias("n_days"),
         F.count("_have").alias("n_overlap"),
-        (100.0 * F.count("_have") / F.count(F.lit(1))).alias("overlap_pct"),
+        F.try_divide(100.0 * F.count("_have"), F.count(F.lit(1))).alias("overlap_pct"),
     )
 
 

@@ -322,8 +322,8 @@ _RADII = [1, 2, 4]
 def _scale_sql(s, r):
     inside = f"ring <= {r}"
     v = f"CASE WHEN {inside} AND qa >= 0.75 THEN value END"
-    return f"""count({v}) AS n_pixels_{s}, count({v})/count(CASE WHEN {inside} THEN 1 END)::DOUBLE AS window_coverage_{s},
-      count(CASE WHEN {inside} AND qa >= 0.75 THEN 1 END)/count(CASE WHEN {inside} THEN 1 END)::DOUBLE AS qa_pass_fraction_{s},
+    return f"""count({v}) AS n_pixels_{s}, coalesce(count({v})/nullif(count(CASE WHEN {inside} THEN 1 END), 0)::DOUBLE, 0) AS window_coverage_{s},
+      coalesce(count(CASE WHEN {inside} AND qa >= 0.75 THEN 1 END)/nullif(count(CASE WHEN {inside} THEN 1 END), 0)::DOUBLE, 0) AS qa_pass_fraction_{s},
       median({v}) AS median_{s}, stddev_pop({v}) AS std_{s}"""
 
 

@@ -75,7 +75,7 @@ def _(lake):
 def _(lake):
     part = lake.table("part")
     total = part.agg(F.sum("p_retailprice")).scalar()
-    share = F.col("p_retailprice") / total
+    share = F.try_divide("p_retailprice", total)
     return part.withColumn("_s", share).groupBy(F.col("p_brand").alias("family")).agg(
         F.sum("_s").alias("share"), F.max("_s").alias("top_share")
     )
