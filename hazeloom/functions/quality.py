@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import AOD_VALID_RANGE, QA_THRESHOLD, RASTER_SANITY_LIMIT
-from ..semantics import flag
 
 
 def in_range_or_null(v: Column, low: float, high: float) -> Column:
@@ -94,7 +93,6 @@ def first_available_band(df: DataFrame, candidates: Sequence[str], qa_candidates
 __all__ = [
     "clip_and_mask",
     "first_available_band",
-    "flag",
     "in_range_or_null",
     "missing_flags",
     "mode_in_range",

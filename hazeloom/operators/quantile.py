@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..semantics import finite
+
 BUCKETS_PER_E_FOLD = 1024
 
 
@@ -25,7 +27,7 @@ def _bucket(v: Column) -> Column:
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], weight: str | None = None
 ) -> DataFrame:
-    """One row per group with a column per name in ``probs``; NULL values are ignored.
+    """One row per group with a column per name in ``probs``; NULL, NaN and infinite values are ignored.
 
     ``weight`` is an integer column saying how many equal values a row stands for.  Groups without any
     value do not appear.  ``keys`` may be empty for a single overall row.
@@ -33,7 +35,7 @@ def exact_quantiles(
     group = [f"_g{i}" for i in range(len(keys))] or ["_g0"]
     named = [F.col(k).alias(g) for k, g in zip(keys, group)] or [F.lit(0).alias("_g0")]
     size = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
-    rows = df.select(*named, F.col(value).cast("double").alias("_v"), size.alias("_n")).where("_v IS NOT NULL")
+    rows = df.select(*named, finite(F.col(value)).alias("_v"), size.alias("_n")).where("_v IS NOT NULL")
 
     counts = rows.withColumn("_b", _bucket(F.col("_v"))).groupBy(*group, "_b", "_v").agg(F.sum("_n").alias("_n"))
     histogram = counts.groupBy(*group, "_b").agg(F.sum("_n").alias("_n"))

@@ -197,7 +197,7 @@ def _(lake):
     daily = lake.station_daily()
     store.write("s", daily)
     one = daily.where("date = '2024-01-10'").withColumn("pm25", F.lit(-1.0))
-    store.write("s", one, overwrite=True, one_file_per_date=True)
+    store.write("s", one, overwrite=True, files_per_date=1)
     return store.read("s").groupBy("date").agg(F.count(F.lit(1)).alias("n"), F.avg("pm25").alias("mean"))
 
 

@@ -72,22 +72,20 @@ class FeatureStore:
     def date_span(self, stage: str) -> DataFrame:
         return self.dates(stage).agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"))
 
-    def write(self, stage: str, df: DataFrame, overwrite: bool = False, one_file_per_date: bool = False) -> int:
+    def write(self, stage: str, df: DataFrame, overwrite: bool = False, files_per_date: int = 16) -> int:
         """Writes whole dates; a date already present is skipped, or replaced with ``overwrite``.
 
         Returns how many dates the store gained, from the directory names.  Replacing uses dynamic
         partition overwrite, so other dates stay and a failed task leaves no trace.  Rows go to the
-        writers by date plus a salt, so a heavy date is written by several tasks.
+        writers by date plus a salt, so a heavy date is written by up to ``files_per_date`` tasks.
         """
         dated = ensure_date_column(df)
         before = set(self._listing(stage))
         if before and not overwrite:
             dated = dated.join(F.broadcast(self.dates(stage)), "date", "left_anti")
-        if one_file_per_date:
-            dated = dated.repartition("date")
-        else:
-            spread = F.pmod(F.xxhash64(*[c for c in dated.columns if c != "date"]), F.lit(16))
-            dated = dated.repartition("date", spread)
+        hashable = [f.name for f in dated.schema.fields if f.name != "date" and "map<" not in f.dataType.simpleString()]
+        spread = F.pmod(F.xxhash64(*hashable), F.lit(files_per_date)) if hashable else F.lit(0)
+        dated = dated.repartition("date", spread)
         writer = dated.write.partitionBy("date").option("partitionOverwriteMode", "dynamic")
         writer.mode("overwrite").parquet(self.path(stage))
         return sum(n.startswith("date=") for n in set(self._listing(stage)) - before)

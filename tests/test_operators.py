@@ -36,7 +36,7 @@ def test_exact_quantiles_with_a_hot_group(spark, seed):
         "one": np.array([7.0]),
         "wide": rng.uniform(-1, 1, 200) * 10.0 ** rng.integers(-8, 9, 200),
     }
-    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("hot", None), ("none", None)]
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("hot", None), ("none", None), ("hot", float("nan")), ("one", float("inf"))]
     probs = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p95": 0.95, "p100": 1.0}
     got = exact_quantiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", probs).collect()
     assert {r.g for r in got} == set(groups)
