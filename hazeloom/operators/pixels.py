@@ -98,14 +98,34 @@ def scale_radii(radius_km: float, per_km: float) -> list[int]:
     return [max(1, round(radius_km * f * per_km)) for f in (0.5, 1.0, 2.0)]
 
 
-def multiscale_stats(df: DataFrame, keys: Sequence[str], radii: Sequence[int], value: str = "value", qa: str = "qa") -> DataFrame:
-    """Counts, coverage, median and std at three nested radii from one read at the largest."""
+def window_size(radius: int, height: int, width: int) -> Column:
+    """Number of raster pixels inside the window around (prow, pcol), cut at the edges."""
+
+    def span(axis: str, n: int) -> Column:
+        return F.least(F.lit(n - 1), F.col(axis) + radius) - F.greatest(F.lit(0), F.col(axis) - radius) + 1
+
+    return span("prow", height) * span("pcol", width)
+
+
+def multiscale_stats(
+    df: DataFrame,
+    keys: Sequence[str],
+    radii: Sequence[int],
+    shape: tuple[int, int] | None = None,
+    value: str = "value",
+    qa: str = "qa",
+) -> DataFrame:
+    """Counts, coverage, median and std at three nested radii from one read at the largest.
+
+    Coverage and quality shares refer to the pixels of the window: by geometry when the raster's
+    ``shape`` is given (missing pixels then count as invalid), else to the rows present.
+    """
     good = qa_filter(F.col(value), F.col(qa))
     aggregates = []
     for suffix, radius in zip(SCALES, radii):
         inside = F.col("ring") <= radius
         v = F.when(inside, good)
-        total = F.count(F.when(inside, F.lit(1)))
+        total = F.count(F.when(inside, F.lit(1))) if shape is None else F.max(window_size(radius, *shape))
         passed = F.count(F.when(inside & qa_pass(F.col(qa)), F.lit(1)))
         aggregates += [
             F.count(v).alias(f"n_pixels_{suffix}"),

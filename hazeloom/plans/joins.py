@@ -256,7 +256,7 @@ _RING = "greatest(abs(g.prow - p.prow), abs(g.pcol - p.pcol))"
 
 
 def _window(radius):
-    return f"""SELECT p.sensor_id, g.date, g.product, {_RING} AS ring, g.value, g.qa FROM pixel_points p
+    return f"""SELECT p.sensor_id, g.date, g.product, {_RING} AS ring, g.value, g.qa, p.prow AS pr, p.pcol AS pc FROM pixel_points p
       JOIN gas_pixels g ON g.prow BETWEEN p.prow - {radius} AND p.prow + {radius} AND g.pcol BETWEEN p.pcol - {radius} AND p.pcol + {radius}"""
 
 
@@ -322,8 +322,9 @@ _RADII = [1, 2, 4]
 def _scale_sql(s, r):
     inside = f"ring <= {r}"
     v = f"CASE WHEN {inside} AND qa >= 0.75 THEN value END"
-    return f"""count({v}) AS n_pixels_{s}, coalesce(count({v})/nullif(count(CASE WHEN {inside} THEN 1 END), 0)::DOUBLE, 0) AS window_coverage_{s},
-      coalesce(count(CASE WHEN {inside} AND qa >= 0.75 THEN 1 END)/nullif(count(CASE WHEN {inside} THEN 1 END), 0)::DOUBLE, 0) AS qa_pass_fraction_{s},
+    total = f"any_value((least(39, pr + {r}) - greatest(0, pr - {r}) + 1)*(least(39, pc + {r}) - greatest(0, pc - {r}) + 1))::DOUBLE"
+    return f"""count({v}) AS n_pixels_{s}, count({v})/{total} AS window_coverage_{s},
+      count(CASE WHEN {inside} AND qa >= 0.75 THEN 1 END)/{total} AS qa_pass_fraction_{s},
       median({v}) AS median_{s}, stddev_pop({v}) AS std_{s}"""
 
 
@@ -342,7 +343,7 @@ def per_point(lake, compute):
 
 
 def _multi(lake):
-    return per_point(lake, lambda a: pixels.multiscale_stats(window_pixels(a, lake, 4), _FILE_KEYS, _RADII))
+    return per_point(lake, lambda a: pixels.multiscale_stats(window_pixels(a, lake, 4), _FILE_KEYS, _RADII, (40, 40)))
 
 
 @query("multiscale_radius", _MULTI, doubles=_MULTI_DOUBLES)

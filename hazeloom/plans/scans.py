@@ -162,11 +162,10 @@ def _(lake):
 def _(lake):
     report = assemble.data_quality_report(lake.met_daily(), _STAGES, _REQUIRED, F.lit(True))
     path = scratch_path(lake.spark, "quality")
-    names = {"country_cells": "pakistan_cells"}
-    # one JSON file per day, the day in the file's folder name, as published
-    report.withColumnsRenamed(names).repartition("date").write.partitionBy("date").json(path)
+    # one JSON file per day with the day in its folder's name
+    report.withColumnRenamed("country_cells", readers.CELLS_FIELD).repartition("date").write.partitionBy("date").json(path)
     docs = lake.spark.read.schema(readers.QUALITY_SCHEMA + ", date DATE").json(path)
-    flat = assemble.flatten_quality(docs.withColumnRenamed("pakistan_cells", "country_cells"), list(_STAGES))
+    flat = assemble.flatten_quality(docs.withColumnRenamed(readers.CELLS_FIELD, "country_cells"), list(_STAGES))
     return flat.select(
         "date", "total_features", "missing_features", "available_features",
         F.col("country_cells").cast("long").alias("country_cells"), "met_coverage", "met_features",

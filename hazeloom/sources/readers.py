@@ -124,8 +124,10 @@ def granule_manifest(documents: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+# Fields of a published quality document
+CELLS_FIELD = "pakistan_cells"
 QUALITY_SCHEMA = (
-    "total_features INT, missing_features INT, available_features INT, nan_fraction DOUBLE, pakistan_cells INT, "
+    "total_features INT, missing_features INT, available_features INT, nan_fraction DOUBLE, " + f"{CELLS_FIELD} INT, "
     "stage_coverage MAP<STRING, DOUBLE>, stage_nan_fraction MAP<STRING, DOUBLE>, stage_feature_count MAP<STRING, INT>"
 )
 
@@ -134,4 +136,4 @@ def read_quality_documents(spark: SparkSession, path: str) -> DataFrame:
     """Per-day quality documents with the day taken from the file name."""
     raw = spark.read.schema(QUALITY_SCHEMA).option("multiLine", True).json(path)
     day = F.regexp_extract(F.col("_metadata.file_name"), DAY_NAME, 0)
-    return raw.select(F.try_to_date(day).alias("date"), "*").withColumnRenamed("pakistan_cells", "country_cells")
+    return raw.select(F.try_to_date(day).alias("date"), "*").withColumnRenamed(CELLS_FIELD, "country_cells")

@@ -224,3 +224,11 @@ def test_interpolation_needs_all_nodes(spark):
     pts = spark.createDataFrame([(1, 0.5, 0.25), (2, 1.5, 1.5), (3, 2.0, 1.0), (4, 5.0, 0.0)], "k int, y double, x double")
     out = spatial.sample_linear(pts, cube, ["k"], [("iy", F.col("y"), ax), ("ix", F.col("x"), ax)])
     assert column(out, "value", "k") == [3.0, None, 12.0, None]
+
+
+def test_corner_coverage_counts_the_window(spark):
+    point = spark.createDataFrame([(0, 0)], "prow int, pcol int")
+    px = spark.createDataFrame([(0, 0, 1.0, 1.0), (0, 1, 2.0, 0.1)], "prow int, pcol int, value double, qa double")
+    joined = pixels.pixel_window_join(point, px, 4, 40, 40)
+    r = pixels.multiscale_stats(joined, ["prow", "pcol"], [1, 2, 4], (40, 40)).first()
+    assert (r.window_coverage_r05, r.window_coverage_r1, r.qa_pass_fraction_r2) == (1 / 4, 1 / 9, 1 / 25)
