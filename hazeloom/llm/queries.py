@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, quality_lines, simhash, token_counts
+from . import chunk_dedup, mixing, quality_lines, segmentation, simhash, token_counts
 from .common import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -54,6 +54,14 @@ FROM base
 )
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    found = mixing.mixed(docs, "doc_id", "text", "source", carry=["doc_id"])
+    return found.select(
+        "row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies"
+    )
+
+
 def op5_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = chunk_dedup.without_repeats(docs, "doc_id", "text")
@@ -75,6 +83,19 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = docs.withColumn("ids", segmentation.encode(F.col("doc_id"), F.col("text"), PIECES))
+    coded = coded.withColumn("decoded", segmentation.decode(F.col("ids"), PIECES))
+    return coded.select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        F.when(F.col("ids").isNotNull(), F.size("ids")).otherwise(0).cast("long").alias("n_tokens"),
+        F.xxhash64("ids").alias("ids_hash"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"),
+    )
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = table(spark, sf_dir, "documents").select(
         "doc_id",
@@ -84,5 +105,5 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_lines, op5_chunk_dedup, op6_simhash, op8_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_quality_lines, op3_mixing, op5_chunk_dedup, op6_simhash, op7_segmentation, op8_token_counts)}
 ORACLE_SQL = {"op1_quality_lines": OP1_SQL}
