@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazeloom.llm import chunk_dedup, quality_lines, simhash
+from hazeloom.llm import chunk_dedup, mixing, quality_lines, segmentation, simhash
 from hazeloom.llm.common import fresh, stored, table
+from hazeloom.llm.queries import PIECES
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,6 +32,20 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return _counted(left.select(*docs.columns))
 
 
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, a row for each time."""
+    return mixing.mix(docs, "doc_id", "text", "source")
+
+
+def segment(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sampled piece ids of every document; a document that were not given back exactly would fail the stage."""
+    coded = docs.withColumn("ids", segmentation.encode(F.col("doc_id"), F.col("text"), PIECES))
+    coded = coded.withColumn("decoded", segmentation.decode(F.col("ids"), PIECES))
+    lost = ~F.col("decoded").eqNullSafe(F.col("text"))
+    ids = F.when(lost, F.raise_error(F.lit("a text is not given back")).cast("array<int>")).otherwise(F.col("ids"))
+    return coded.select("doc_id", "lang", "source", F.size("ids").alias("n_tokens"), ids.alias("ids"))
+
+
 def _counted(docs: DataFrame) -> DataFrame:
     """n_chars follows the text."""
     if "n_chars" not in docs.columns:
@@ -38,7 +53,7 @@ def _counted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
-STAGES = [("quality", quality), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup)]
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("mix", mix), ("segment", segment)]
 
 #: Sampled mixing and segmentation have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
