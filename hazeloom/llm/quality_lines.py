@@ -154,7 +154,13 @@ def judge_lines(
                     "n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed n_lines n_failed_lines lost_chars"
                 ).split()
             ],
-            (~b["base_failed"] & (b["lost_chars"] <= b["all_chars"] * F.lit(max_lost_share))).alias("kept"),
+            # the id keeps a filter on the result above this projection: pushed below, it would have every step
+            # above computed again inside the others, for each word
+            (
+                ~b["base_failed"]
+                & (b["lost_chars"] <= b["all_chars"] * F.lit(max_lost_share))
+                & (F.monotonically_increasing_id() >= 0)
+            ).alias("kept"),
             b["clean_text"].alias("clean_text"),
         ).alias(result),
     )
