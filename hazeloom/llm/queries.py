@@ -6,7 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, mixing, quality_lines, segmentation, simhash, token_counts
+from . import (
+    chunk_dedup,
+    license_scan,
+    mixing,
+    quality_lines,
+    quality_model,
+    segmentation,
+    simhash,
+    token_counts,
+    url_rules,
+    vptree,
+)
 from .common import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -54,6 +65,11 @@ FROM base
 )
 
 
+def op2_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return vptree.nearest(vectors, "vec_id", "embedding", F.col("vec_id") % 100 == 0)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     found = mixing.mixed(docs, "doc_id", "text", "source", carry=["doc_id"])
@@ -62,6 +78,68 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The given rules, (action, host/path).
+URL_RULES = (
+    ("block", "com/en/"),
+    ("allow", "example.com/en/7"),
+    ("block", "net/de/"),
+    ("block", "example.net/de/8"),
+    ("block", "org/es/"),
+)
+
+
+def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad")
+    )
+    judged = url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url"), labels, URL_RULES)
+    return judged.select("page_id", "judged.*")
+
+
+OP4_SQL = """
+WITH p AS (
+    SELECT row_number() OVER () AS r, page_id, url,
+        translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 2), '') AS path
+    FROM pages
+),
+t AS (
+    SELECT r, list_sort(list_distinct(list_concat(list_concat(
+        ['scheme:' || x FOR x IN regexp_split_to_array(lower(regexp_extract(url, '^([A-Za-z]+)://', 1)), '[^\\p{L}\\p{M}]+') IF x <> ''],
+        ['host:' || x FOR x IN string_split(host, '.') IF x <> '']), list_concat(
+        ['path:' || x FOR x IN regexp_split_to_array(lower(path), '[^\\p{L}\\p{M}]+') IF x <> ''],
+        ['query:' || lower(x) FOR x IN regexp_extract_all(url, '[?&]([^=&#]+)=', 1)])))) AS items
+    FROM p
+),
+sub AS (
+    SELECT r, array_to_string([items[i + 1] FOR i IN range(len(items)) IF (m >> i) & 1 = 1], chr(1)) AS s
+    FROM (SELECT r, items, unnest(range(1, (1 << len(items))::BIGINT)) AS m FROM t WHERE len(items) < 20)
+),
+lab AS (
+    SELECT doc_id AS page_id, max((quality = 0 OR toxic = 1)::INT) AS bad FROM labels
+    WHERE (quality = 0 OR toxic = 1) IS NOT NULL AND doc_id IS NOT NULL GROUP BY 1
+),
+tx AS (SELECT r, bad FROM p JOIN lab USING (page_id)),
+rules AS (
+    SELECT s FROM sub JOIN tx USING (r) GROUP BY s
+    HAVING sum(bad) >= ceil(greatest(0.002, 5.0 / (SELECT count(*) FROM tx)) * (SELECT count(*) FROM tx) - 1e-9)
+        AND sum(bad) >= 0.6 * count(*)
+),
+fire AS (SELECT DISTINCT r FROM sub JOIN rules USING (s)),
+given AS (
+    SELECT r, max_by(rule, length(rule)) AS rule, max_by(action, length(rule)) AS action
+    FROM p, (VALUES ('block', 'com/en/'), ('allow', 'example.com/en/7'), ('block', 'net/de/'),
+        ('block', 'example.net/de/8'), ('block', 'org/es/')) AS v(action, rule)
+    WHERE (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1)))
+        AND starts_with(path, substr(rule, strpos(rule, '/')))
+    GROUP BY r
+)
+SELECT page_id, host, path, rule,
+    coalesce(action, CASE WHEN r IN (SELECT r FROM fire) THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN given USING (r)
+"""
+
+
 def op5_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = chunk_dedup.without_repeats(docs, "doc_id", "text")
@@ -105,5 +183,36 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_lines, op3_mixing, op5_chunk_dedup, op6_simhash, op7_segmentation, op8_token_counts)}
-ORACLE_SQL = {"op1_quality_lines": OP1_SQL}
+def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = quality_model.fit(docs, labels, "doc_id", "text", "quality")
+    scored = docs.select(
+        "doc_id",
+        (quality_model.fold(F.col("doc_id")) == 0).alias("held_out"),
+        quality_model.score(F.col("text"), model).alias("score"),
+    )
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.withColumnRenamed("key", "doc_id").withColumnRenamed("template", "license")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_lines,
+        op2_vptree,
+        op3_mixing,
+        op4_url_rules,
+        op5_chunk_dedup,
+        op6_simhash,
+        op7_segmentation,
+        op8_token_counts,
+        op9_quality_model,
+        op10_license_scan,
+    )
+}
+#: The others draw at random, hash with functions that SQL lacks, or search approximately.
+ORACLE_SQL = {"op1_quality_lines": OP1_SQL, "op4_url_rules": OP4_SQL}
