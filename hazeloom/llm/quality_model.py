@@ -3,7 +3,7 @@
 Every token has a sparse random index vector, made from a hash of the token; its word vector is the sum of the index
 vectors of its neighbours in the training texts. Words outside the vocabulary stand as their shape (letters, capitals
 and digits shortened to one mark each), so every word of any text has a token. A document is the mean and the spread
-of its tokens' vectors, which a two-layer network turns into a probability; a temperature fitted on texts the network
+of its tokens' vectors and three numbers on length and repetition, which a two-layer network turns into a probability; a temperature fitted on texts the network
 has not seen makes it an honest one.
 
 Only the model is fitted on a bounded sample of labelled texts (``sample_rows``); vocabulary, vectors and network are
@@ -17,6 +17,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import stored
 
 VOCABULARY, DIMENSION, NONZERO, NEIGHBOURS = 8192, 64, 6, 2
+#: Mean and spread of the vectors; the length, and the shares of words said twice in a row and of distinct words.
+WIDTH = 2 * DIMENSION + 3
 HIDDEN, EPOCHS, RATE, BATCH = 32, 40, 0.003, 128
 SAMPLE_ROWS = 20_000
 SEED = 5
@@ -71,8 +74,8 @@ class Tokens(dict):
         at = self[word] = self.shapes.get(shape(word), self.fixed)
         return at
 
-    def rows(self, text: str) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, text.split()), np.int64)
+    def rows(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
 @dataclass
@@ -87,17 +90,19 @@ class Model:
     temperature: float = 1.0
 
     def features(self, texts, tokens: Tokens) -> np.ndarray:
-        out = np.zeros((len(texts), 2 * DIMENSION + 1))
+        out = np.zeros((len(texts), WIDTH))
         for i, t in enumerate(texts):
-            rows = tokens.rows(t) if t else ()
-            if len(rows):
+            words = t.split() if t else []
+            if words:
+                rows = tokens.rows(words)
                 counts = np.bincount(rows, minlength=1)
                 used = np.flatnonzero(counts)
                 share, vectors = counts[used] / len(rows), self.vectors[used]
                 mean = share @ vectors
                 out[i, :DIMENSION] = mean
-                out[i, DIMENSION:-1] = np.sqrt(np.maximum(share @ vectors**2 - mean**2, 0))
-                out[i, -1] = np.log1p(len(rows))
+                out[i, DIMENSION : 2 * DIMENSION] = np.sqrt(np.maximum(share @ vectors**2 - mean**2, 0))
+                again = sum(map(eq, words[1:], words))
+                out[i, -3:] = np.log1p(len(words)), again / len(words), len(set(words)) / len(words)
         return out
 
     def logits(self, features: np.ndarray) -> np.ndarray:
@@ -172,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, sam
         total = np.zeros((len(vocabulary) + 1, DIMENSION), np.int64)
         for batch in batches:
             for t in batch.column("text").to_pylist():
-                rows = lookup.rows(t)
+                rows = lookup.rows(t.split())
                 for gap in range(1, NEIGHBOURS + 1):
                     np.add.at(total, rows[:-gap], index[rows[gap:]])
                     np.add.at(total, rows[gap:], index[rows[:-gap]])
@@ -184,18 +189,16 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, sam
     vectors = total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
     model = Model(vocabulary, vectors, [], np.zeros(1), np.ones(1))
 
-    width = 2 * DIMENSION + 1
-
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = Tokens(vocabulary)
         for batch in batches:
             found = model.features(batch.column("text").to_pylist(), lookup)
-            flat = pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), width).cast(pa.list_(pa.float64()))
+            flat = pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), WIDTH).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), batch.column("train"), flat], ["id", "y", "train", "x"])
 
     rows = sample.mapInArrow(features, "id bigint, y int, train boolean, x array<double>").collect()
     rows = sorted(rows, key=lambda r: (r.id, r.x))
-    x, y = np.array([r.x for r in rows]).reshape(-1, width), np.array([r.y for r in rows], float)
+    x, y = np.array([r.x for r in rows]).reshape(-1, WIDTH), np.array([r.y for r in rows], float)
     use = np.array([r.train for r in rows], bool)
     model.center, model.scale = x[use].mean(axis=0), x[use].std(axis=0) + 1e-6
     model.layers = _network((x[use] - model.center) / model.scale, y[use])

@@ -163,14 +163,13 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = docs.withColumn("ids", segmentation.encode(F.col("doc_id"), F.col("text"), PIECES))
-    coded = coded.withColumn("decoded", segmentation.decode(F.col("ids"), PIECES))
+    coded = segmentation.segmented(docs, "doc_id", "text", PIECES)
     return coded.select(
         "doc_id",
         F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
         F.when(F.col("ids").isNotNull(), F.size("ids")).otherwise(0).cast("long").alias("n_tokens"),
         F.xxhash64("ids").alias("ids_hash"),
-        F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"),
+        F.col("restored").alias("lossless"),
     )
 
 

@@ -16,16 +16,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
+
+from .common import fresh
 
 SPACE_MARK = "▁"
 #: Weight of a piece is exp(THETA * its score); scores of the model are merge ranks.
 THETA = 5e-4
 #: Control-like pieces have a score below this and are not sampled.
 UNSCORED = -1e8
-MOST_EDGES = 4_000_000
-BLOCK_CHARS = 1_500_000
+MOST_EDGES = 2_500_000
+BLOCK_CHARS = 500_000
 
 
 def _mix(z: np.ndarray) -> np.ndarray:
@@ -133,7 +138,8 @@ class Lattices:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.first = self.last = self.origin = self.symbol = np.empty(0, np.int64)
+        self.first = self.last = np.empty(0, np.int64)
+        self.origin = self.symbol = np.empty(0, np.int32)
         self.reach, self.states = np.empty(0), 0
 
     def add(self, units: list[str]) -> None:
@@ -165,8 +171,8 @@ class Lattices:
             share[a:b] = upto
         order = np.argsort(state, kind="stable")
         self.reach = np.concatenate([self.reach, (state + share + self.states)[order]])
-        self.origin = np.concatenate([self.origin, origin[order] + self.states])
-        self.symbol = np.concatenate([self.symbol, symbol[order]])
+        self.origin = np.concatenate([self.origin, (origin[order] + self.states).astype(np.int32)])
+        self.symbol = np.concatenate([self.symbol, symbol[order].astype(np.int32)])
         self.known.update(zip(units, range(len(self.first), len(self.first) + len(units))))
         self.first = np.concatenate([self.first, self.states + ends - sizes + np.arange(len(units))])
         self.last = np.concatenate([self.last, self.states + ends + np.arange(len(units))])
@@ -228,31 +234,43 @@ def lattices(model_file: str, theta: float = THETA) -> Lattices:
     return _LOADED[model_file, theta]
 
 
-def encode(key: Column, text: Column, model_file: str, theta: float = THETA, seed: int = 0) -> Column:
-    """array<int> of piece ids, sampled by the row's key; a null text gives null, an empty one no ids.
+def segmented(
+    df: DataFrame, key: str, text: str, model_file: str, ids: str = "ids", restored: str = "restored", theta: float = THETA, seed: int = 0
+) -> DataFrame:
+    """Adds ``ids`` (array<int>), pieces sampled by the row's key, and ``restored``: whether decoding gives the text.
 
-    ``key`` may be any hashable column; rows with a null key share one stream of draws, and rows with equal key and
-    text get equal ids. A smaller ``theta`` samples more freely, a large one takes the best segmentation.
+    A null text has null ids and counts as restored, an empty one has none. Rows with a null key share one stream of
+    draws, and rows with equal key and text get equal ids, also repeated ones. A smaller ``theta`` samples more
+    freely, a large one takes the best segmentation. Rows are returned in pieces of some BLOCK_CHARS characters, so
+    a task's memory does not depend on how many texts an Arrow batch holds. Columns named as the new ones are an error.
     """
+    if {ids.lower(), restored.lower()} & {c.lower() for c in df.columns}:
+        raise ValueError(f"columns {ids} or {restored} exist")
+    names, (draws,) = df.columns, fresh(df, "_draws")
+    schema = StructType([*df.schema.fields, StructField(ids, ArrayType(IntegerType())), StructField(restored, BooleanType())])
 
-    @F.pandas_udf("array<int>")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = lattices(model_file, theta)
-        for seeds, texts in batches:
-            out: list = [None if t is None else np.empty(0, np.int32) for t in texts]
-            seeds, rows, block, chars = seeds.to_numpy().astype(np.int64).view(np.uint64), [], [], 0
-            for i, t in enumerate(texts):
-                if t:
-                    rows.append(i)
-                    block.append(t)
-                    chars += len(t)
-                if block and (chars > BLOCK_CHARS or i == len(texts) - 1):
-                    for at, ids in zip(rows, table.sample(block, seeds[rows])):
-                        out[at] = ids
-                    rows, block, chars = [], [], 0
-            yield pd.Series(out)
-
-    return run(F.xxhash64(key, F.lit(seed)), text)
+        for batch in batches:
+            seeds = batch.column(draws).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+            block = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)[:-1]]) // BLOCK_CHARS if len(batch) else sizes
+            at = np.flatnonzero(np.diff(block, prepend=-1, append=-1))
+            for first, end in zip(at[:-1].tolist(), at[1:].tolist()):
+                part = batch.slice(first, end - first)
+                texts = part.column(text).to_pylist()
+                rows = [i for i, t in enumerate(texts) if t]
+                found = [np.empty(0, np.int32)] * len(texts)
+                if rows:
+                    for i, x in zip(rows, table.sample([texts[i] for i in rows], seeds[first:end][rows])):
+                        found[i] = x
+                same = [t is None or table.pieces.decode(x.tolist()) == t for t, x in zip(texts, found)]
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)), mask=part.column(text).is_null())
+                kept = [part.column(c) for c in names]
+                yield pa.RecordBatch.from_arrays([*kept, lists, pa.array(same)], [*names, ids, restored])
+
+    return df.withColumn(draws, F.xxhash64(F.col(key), F.lit(seed))).mapInArrow(run, schema)
 
 
 def decode(ids: Column, model_file: str) -> Column:
