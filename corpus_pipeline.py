@@ -38,12 +38,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def segment(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled piece ids of every document; a document that were not given back exactly would fail the stage."""
-    coded = docs.withColumn("ids", segmentation.encode(F.col("doc_id"), F.col("text"), PIECES))
-    coded = coded.withColumn("decoded", segmentation.decode(F.col("ids"), PIECES))
-    lost = ~F.col("decoded").eqNullSafe(F.col("text"))
-    ids = F.when(lost, F.raise_error(F.lit("a text is not given back")).cast("array<int>")).otherwise(F.col("ids"))
-    return coded.select("doc_id", "lang", "source", F.size("ids").alias("n_tokens"), ids.alias("ids"))
+    """Sampled piece ids of every document; a text that decoding would not give back fails the stage."""
+    coded = segmentation.segmented(docs.select("doc_id", "lang", "source", "text"), "doc_id", "text", PIECES)
+    lost = F.raise_error(F.lit("a text is not given back")).cast("array<int>")
+    ids = F.when(F.col("restored"), F.col("ids")).otherwise(lost)
+    return coded.select("doc_id", "lang", "source", F.size(ids).alias("n_tokens"), ids.alias("ids"))
 
 
 def _counted(docs: DataFrame) -> DataFrame:
