@@ -83,7 +83,7 @@ def fingerprint(text: Column, words: int = 3, bits: int = 64) -> Column:
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Hamming distances of fingerprints, both as (rows, words)."""
-    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int32)
+    return np.bitwise_count((a ^ b).view(np.uint64)).sum(axis=-1, dtype=np.int32)  # signed, it would count |x|
 
 
 class BKTree:
