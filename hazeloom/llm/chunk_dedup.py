@@ -22,7 +22,7 @@ from .common import fresh
 
 WINDOW = 16
 #: One in so many blanks ends a chunk, and one in so many other bytes, for texts without blanks.
-BLANKS, OTHERS = 8, 2048
+BLANKS, OTHERS = 5, 2048
 LONGEST = 8000
 START_BITS, LENGTH_BITS = 31, 13
 
@@ -137,8 +137,8 @@ def without_repeats(df: DataFrame, key: str, text: str, result: str = "dedup", m
     chunks = _chunks(rows)
     first = (
         chunks.groupBy("digest")
-        .agg(F.min(F.struct("id", "at")).alias("first"), F.max(F.struct("id", "at")).alias("last"))
-        .where("first < last")
+        .agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("n"))
+        .where("n > 1")
         .select("digest", "first")
     )
     repeats = chunks.join(first, "digest").where("struct(id, at) > first").select(
