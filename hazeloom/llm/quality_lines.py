@@ -52,7 +52,7 @@ def line_passes(line: Column, words_per_mark: int = 4) -> Column:
     return (
         F.rlike(F.substring(line, -8, 8), F.lit(f"[{TERMINAL}][{CLOSING}]*\\s*$"))
         & ((marks < 2) | (marks * words_per_mark <= F.regexp_count(line, F.lit(SPACE)) + 1))
-        & ~F.rlike(line, F.lit(r"(?i)\b(?:" + "|".join(BOILERPLATE) + ")"))
+        & ~F.rlike(line, F.lit(r"(?i)\b(?:" + "|".join(BOILERPLATE) + r")\b"))
     )
 
 

@@ -40,7 +40,7 @@ ln AS (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d),
 jl AS (
     SELECT r, l, regexp_matches(right(l, 8), '[.!?…。！？]["'')\\]»”’]*\\s*$')
         AND (m < 2 OR m * 4 <= len(regexp_extract_all(l, '[\\x20\\x09-\\x0D]+')) + 1)
-        AND NOT regexp_matches(l, '(?i)\\b(?:@BOILER@)') AS ok
+        AND NOT regexp_matches(l, '(?i)\\b(?:@BOILER@)\\b') AS ok
     FROM (SELECT r, l, len(regexp_extract_all(l, '[|»›·•]|@RUNS@')) AS m FROM ln
           WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]'))
 ),
