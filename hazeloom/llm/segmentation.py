@@ -27,7 +27,7 @@ from .common import fresh
 SPACE_MARK = "▁"
 #: Weight of a piece is exp(THETA * its score); scores of the model are merge ranks.
 THETA = 5e-4
-#: Control-like pieces have a score below this and are not sampled.
+#: Pieces without a score of their own (runs of blanks) have one below this; they weigh as the rarest piece.
 UNSCORED = -1e8
 MOST_EDGES = 2_500_000
 BLOCK_CHARS = 500_000
@@ -71,9 +71,9 @@ class Pieces:
                 self.bytes.append(b"")
             else:
                 self.bytes.append(piece.replace(SPACE_MARK, " ").encode())
-                if model.get_score(i) > UNSCORED:
-                    self.score[i], texts[i] = model.get_score(i), piece.replace(SPACE_MARK, " ")
-        self.lowest = float(self.score.min())
+                self.score[i], texts[i] = model.get_score(i), piece.replace(SPACE_MARK, " ")
+        self.lowest = float(self.score[self.score > UNSCORED].min())
+        self.score = np.maximum(self.score, self.lowest)
         self.of_length = []
         pairs = set()
         for n in range(1, max(map(len, texts.values())) + 1):
