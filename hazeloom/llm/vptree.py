@@ -81,7 +81,7 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
 
 
-def nearest(df: DataFrame, key: str, vector: str, is_query: Column, k: int = 10, factor: float = 0.2) -> DataFrame:
+def nearest(df: DataFrame, key: str, vector: str, is_query: Column, k: int = 10, factor: float = 0.35) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the k nearest other ids found for each query row, nearest first.
 
     Distance is Euclidean in double precision, ties go to the smaller id, and a query has fewer rows only where
