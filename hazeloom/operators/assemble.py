@@ -123,8 +123,8 @@ def validate_stage_output(
     return rows.withColumn("_i", F.explode(pairs)).select("_i.issue", "_i.column_name", "n_rows")
 
 
-def feature_coverage(df: DataFrame, columns: Sequence[str], least: float = 0.01, keep_all_below: int = 20) -> DataFrame:
-    """Known share per column, and whether it is kept; nothing is dropped if too few would remain."""
+def feature_coverage(df: DataFrame, columns: Sequence[str], least: float = 0.01, keep_all_below: int = 0) -> DataFrame:
+    """Known share per column, and whether it is kept; nothing is dropped if fewer than ``keep_all_below`` would remain."""
     shares = df.agg(*[F.avg(F.col(c).isNotNull().cast("double")).alias(c) for c in columns])
     long = shares.unpivot([], list(columns), "column_name", "coverage")
     passing = long.agg(F.sum((F.col("coverage") >= least).cast("int"))).scalar()
@@ -140,8 +140,10 @@ def fit_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def median_impute(df: DataFrame, columns: Sequence[str], train_medians: DataFrame | None) -> DataFrame:
     """Gaps filled with the training medians, else the table's own, and 0 where neither exists."""
     medians = fit_medians(df, columns) if train_medians is None else train_medians
-    table = medians.agg(F.map_from_entries(F.collect_list(F.struct("column", "median")))).scalar()
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), table[c], F.lit(0.0)) for c in columns})
+    # one row of one struct: a field is found by position, where a map would be searched for every value
+    fields = [F.max(F.when(F.col("column") == c, F.col("median"))).alias(f"m{i}") for i, c in enumerate(columns)]
+    table = medians.agg(F.struct(*fields).alias("m")).scalar()
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), table[f"m{i}"], F.lit(0.0)) for i, c in enumerate(columns)})
 
 
 def null_shares(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

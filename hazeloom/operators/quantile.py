@@ -1,9 +1,11 @@
 """Exact, linearly interpolated quantiles for groups of any size.
 
 ``percentile`` keeps every distinct value of a group in one task, which is right for a window of
-pixels and wrong for "all rows of a month".  Here the ranks are located in three keyed steps:
-distinct (group, value) counts, a coarse histogram per group, and the values of only those histogram
-buckets that hold a wanted rank.  No task ever sees a whole group.
+pixels and wrong for "all rows of a month".  Here ranks are located by two histograms that combine
+before their shuffle: one over relative buckets of all rows, one that splits each bucket with a
+wanted rank evenly between its own least and greatest value.  Only the rows of the parts that hold a
+wanted rank are then shuffled, as distinct values with counts.  The tables of wanted parts, a few rows
+per group, are written to the shared folder, so the planner knows their size before it joins them.
 """
 
 from __future__ import annotations
@@ -15,8 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..semantics import finite
+from ..session import stored
 
 BUCKETS_PER_E_FOLD = 1024
+PARTS = 4096
 
 
 def _bucket(v: Column) -> Column:
@@ -24,67 +28,99 @@ def _bucket(v: Column) -> Column:
     return F.signum(v) * F.floor(F.log1p(F.abs(v) * F.lit(1e6)) * F.lit(BUCKETS_PER_E_FOLD))
 
 
-def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], weight: str | None = None
-) -> DataFrame:
-    """One row per group with a column per name in ``probs``; NULL, NaN and infinite values are ignored.
+def _part(v: Column, low: Column, high: Column) -> Column:
+    """Monotone number of an equal part of [low, high]."""
+    return F.when(high > low, F.floor((v - low) / (high - low) * F.lit(float(PARTS)))).otherwise(F.lit(0).cast("long"))
 
-    ``weight`` is an integer column saying how many equal values a row stands for.  Groups without any
-    value do not appear.  ``keys`` may be empty for a single overall row.
-    """
-    group = [f"_g{i}" for i in range(len(keys))] or ["_g0"]
-    named = [F.col(k).alias(g) for k, g in zip(keys, group)] or [F.lit(0).alias("_g0")]
-    size = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
-    rows = df.select(*named, finite(F.col(value)).alias("_v"), size.alias("_n")).where("_v IS NOT NULL")
 
-    counts = rows.withColumn("_b", _bucket(F.col("_v"))).groupBy(*group, "_b", "_v").agg(F.sum("_n").alias("_n"))
-    histogram = counts.groupBy(*group, "_b").agg(F.sum("_n").alias("_n"))
-    by_group = Window.partitionBy(*group)
-    located = histogram.withColumns(
-        {"_end": F.sum("_n").over(by_group.orderBy("_b")), "_total": F.sum("_n").over(by_group)}
-    )
+def _measures() -> list[Column]:
+    return [F.sum("_n").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high")]
+
 
+def _quantiles(rows: DataFrame, group: Sequence[str], probs: Mapping[str, float]) -> DataFrame:
+    """Rows (*group, *probs) from rows (*group, _v, _n)."""
     # the two neighbouring ranks of every probability, as (name, side, rank)
     ranks = ", ".join(
         f"named_struct('name', '{name}', 'side', '{side}', 'rank', CAST({rounding}((_total - 1) * {float(p)!r}D) AS BIGINT))"
         for name, p in probs.items()
         for side, rounding in (("lo", "floor"), ("hi", "ceil"))
     )
-    targets = located.select(
-        *[F.col(g).alias(f"t{g}") for g in group],
-        F.col("_b").alias("t_b"),
-        F.expr("_end - _n").alias("_start"),
-        "_total",
-        F.expr(f"filter(array({ranks}), w -> w.rank >= _end - _n AND w.rank < _end)").alias("_want"),
-    ).where("size(_want) > 0")
-
+    held = "filter({}, w -> w.rank >= _start AND w.rank < _start + _n)"
+    rows = rows.withColumn("_b", _bucket(F.col("_v")))
     same = F.expr(" AND ".join(["_b = t_b", *[f"{g} <=> t{g}" for g in group]]))
-    stop = F.col("_start") + F.sum("_n").over(Window.partitionBy(*group, "_b").orderBy("_v"))
-    found = (
-        counts.join(targets, same)
-        .withColumn("_stop", stop)
-        .withColumn("_hit", F.expr("explode(filter(_want, w -> w.rank >= _stop - _n AND w.rank < _stop))"))
-        .groupBy(*group)
-        .agg(
-            F.first("_total").alias("_total"),
-            *[
-                F.expr(f"max(CASE WHEN _hit.name = '{n}' AND _hit.side = '{s}' THEN _v END)").alias(f"_{s}_{n}")
-                for n in probs
-                for s in ("lo", "hi")
-            ],
-        )
+
+    by_group = Window.partitionBy(*group)
+    first = rows.groupBy(*group, "_b").agg(*_measures())
+    first = first.withColumns({"_start": F.sum("_n").over(by_group.orderBy("_b")) - F.col("_n"), "_total": F.sum("_n").over(by_group)})
+    first = first.withColumn("_want", F.expr(held.format(f"array({ranks})"))).where("size(_want) > 0")
+    first = stored(
+        first.select(
+            *[F.col(g).alias(f"t{g}") for g in group], F.col("_b").alias("t_b"), F.col("_low").alias("_l"), F.col("_high").alias("_h"),
+            F.col("_start").alias("_before"), "_total", "_want",
+        ),
+        "ranks",
+    )
+
+    inside = rows.join(first, same).withColumn("_s", _part(F.col("_v"), F.col("_l"), F.col("_h")))
+    once = ["_l", "_h", "_before", "_total", "_want"]
+    second = inside.groupBy(*group, "_b", "_s").agg(*_measures(), *[F.first(c).alias(c) for c in once])
+    start = F.col("_before") + F.sum("_n").over(Window.partitionBy(*group, "_b").orderBy("_s")) - F.col("_n")
+    second = second.withColumn("_start", start).withColumn("_want", F.expr(held.format("_want"))).where("size(_want) > 0")
+    second = stored(second, "ranks")
+
+    # parts of one value need no rows; of the others the distinct values are counted
+    hits = [*group, "_total", F.expr("explode(_want)").alias("_hit")]
+    plain = second.where("_low = _high").select(*hits, F.col("_low").alias("_v"))
+    parts = second.where("_low < _high").select(
+        *[F.col(g).alias(f"t{g}") for g in group], F.col("_b").alias("t_b"), F.col("_s").alias("t_s"), "_l", "_h", "_start", "_total", "_want"
+    )
+    values = rows.join(parts, same & (F.col("t_s") == _part(F.col("_v"), F.col("_l"), F.col("_h"))))
+    values = values.groupBy(*group, "_b", "t_s", "_v").agg(F.sum("_n").alias("_n"), *[F.first(c).alias(c) for c in ("_start", "_total", "_want")])
+    stop = F.sum("_n").over(Window.partitionBy(*group, "_b", "t_s").orderBy("_v"))
+    values = values.withColumn("_start", F.col("_start") + stop - F.col("_n")).withColumn("_want", F.expr(held.format("_want")))
+    found = plain.union(values.select(*hits, "_v")).groupBy(*group)
+    found = found.agg(
+        F.first("_total").alias("_total"),
+        *[
+            F.expr(f"max(CASE WHEN _hit.name = '{n}' AND _hit.side = '{s}' THEN _v END)").alias(f"_{s}_{n}")
+            for n in probs
+            for s in ("lo", "hi")
+        ],
     )
-    out = [F.col(g).alias(k) for k, g in zip(keys, group)]
+    out = [F.col(g) for g in group]
     for n, p in probs.items():
         at = f"(_total - 1) * {float(p)!r}D"
         out.append(F.expr(f"_lo_{n} + (_hi_{n} - _lo_{n}) * ({at} - floor({at}))").alias(n))
     return found.select(*out)
 
 
+def exact_quantiles(
+    df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], weight: str | None = None
+) -> DataFrame:
+    """One row per group with a column per name in ``probs``; NULL, NaN and infinite values are ignored.
+
+    ``weight`` is an integer column saying how many equal values a row stands for.  Groups without any
+    value do not appear.  ``keys`` may be empty for a single overall row.  ``df`` is read three times.
+    """
+    group = [f"_g{i}" for i in range(len(keys))] or ["_g0"]
+    named = [F.col(k).alias(g) for k, g in zip(keys, group)] or [F.lit(0).alias("_g0")]
+    size = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
+    rows = df.select(*named, finite(F.col(value)).alias("_v"), size.alias("_n")).where("_v IS NOT NULL")
+    found = _quantiles(rows, group, probs)
+    return found.select(*[F.col(g).alias(k) for k, g in zip(keys, group)], *probs)
+
+
 def column_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Exact median of each column as rows (column, median), in one pass over the table."""
-    long = df.select(*[F.col(c).cast("double") for c in columns]).unpivot([], list(columns), "column", "value")
-    return exact_quantiles(long, ["column"], "value", {"median": 0.5})
+    """Exact median of each column as rows (column, median); columns without a value do not appear.
+
+    The columns of a row are counted into the histograms where the row is read, so what is shuffled are
+    the histograms of all columns together, and no long form of the table.
+    """
+    each = F.array(*[F.struct(F.lit(i).alias("i"), finite(F.col(c)).alias("v")) for i, c in enumerate(columns)])
+    rows = df.select(F.explode(F.filter(each, lambda x: x["v"].isNotNull())).alias("x"))
+    rows = rows.select(F.col("x.i").alias("_g0"), F.col("x.v").alias("_v"), F.lit(1).cast("long").alias("_n"))
+    names = F.array(*[F.lit(c) for c in columns])
+    return _quantiles(rows, ["_g0"], {"median": 0.5}).select(F.get(names, F.col("_g0")).alias("column"), "median")
 
 
 def sorted_quantile(ordered: Column, p: float) -> Column:
