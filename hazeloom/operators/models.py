@@ -9,14 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.aqi import group_weights
-from ..functions.geo import latlon_to_km
 from ..session import cut_lineage
 from .assemble import fit_medians, median_impute
 from .calibrate import daily_affine_apply, daily_affine_fit, daily_offset_apply, daily_offset_fit
@@ -448,14 +446,3 @@ def score_validation_pair(model: Fitted, rows: DataFrame, history: Sequence[str]
     )
     both = model.predict(blanked, "_b").drop(*history).withColumnsRenamed({f"_keep_{c}": c for c in history})
     return both.withColumns({"pred_with_history": back(F.col("_a")), "pred_no_history": back(F.col("_b"))}).drop("_a", "_b")
-
-
-def kmeans_blocks(sites: DataFrame, n_blocks: int = 12, seed: int = 42, key: str = "sensor_id") -> DataFrame:
-    """Blocks of sites by distance in km, for regions a square grid cannot divide."""
-    x, y = latlon_to_km(F.col("lat"), F.col("lon"), sites.agg(F.avg("lat")).scalar())
-    placed = cut_lineage(sites.select(key, x.alias("x"), y.alias("y")))
-    vectors = VectorAssembler(inputCols=["x", "y"], outputCol=FEATURES_COL).transform(placed)
-    model = KMeans(k=n_blocks, seed=seed, featuresCol=FEATURES_COL, predictionCol="_k", maxIter=30).fit(vectors)
-    return model.transform(vectors).select(key, F.concat(F.lit("c"), F.col("_k").cast("string")).alias("block_id"))
-
-

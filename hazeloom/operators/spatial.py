@@ -328,11 +328,16 @@ def near_pairs(sites: DataFrame, key: str, max_km: float) -> DataFrame:
     is an equi-join that adaptive execution splits where one bucket is crowded.
     """
     width = max_km / 100.0
-    # a degree of longitude shrinks polewards, so buckets widen with the band's latitude
-    def bucket_x(lat_bucket: Column, lon: Column) -> Column:
+    # a degree of longitude shrinks polewards, so there are fewer buckets around the globe in higher bands, and one
+    # near the poles; they divide the circle evenly, so that the first is a neighbour of the last
+    def around(lat_bucket: Column) -> Column:
         edge = (F.abs(lat_bucket) + 2) * width
-        span = width / F.greatest(F.cos(F.radians(F.least(edge, F.lit(89.0)))), F.lit(0.02))
-        return F.floor(lon / span)
+        shrunk = F.cos(F.radians(F.least(edge, F.lit(89.0))))
+        return F.when(edge < 88.0, F.greatest(F.floor(360.0 * shrunk / width), F.lit(1).cast("long"))).otherwise(F.lit(1).cast("long"))
+
+    def bucket_x(lat_bucket: Column, lon: Column) -> Column:
+        n = around(lat_bucket)
+        return F.pmod(F.floor(F.pmod(lon + 180.0, F.lit(360.0)) / 360.0 * n), n)
 
     site = sites.select(key, "lat", "lon").withColumn("_by", F.floor(F.col("lat") / width))
     right = site.select(
@@ -340,10 +345,13 @@ def near_pairs(sites: DataFrame, key: str, max_km: float) -> DataFrame:
         bucket_x(F.col("_by"), F.col("lon")).alias("_bx"),
     )
     ring = F.sequence(F.lit(-1), F.lit(1))
+    beside = F.array_distinct(
+        F.transform(ring, lambda d: F.pmod(bucket_x(F.col("_by"), F.col("_alon")) + d, around(F.col("_by"))))
+    )
     left = (
         site.select(F.col(key).alias("a"), F.col("lat").alias("_alat"), F.col("lon").alias("_alon"), "_by")
         .withColumn("_by", F.explode(F.transform(ring, lambda d: F.col("_by") + d)))
-        .withColumn("_bx", F.explode(F.transform(ring, lambda d: bucket_x(F.col("_by"), F.col("_alon")) + d)))
+        .withColumn("_bx", F.explode(beside))
     )
     km = haversine_km(F.col("_alat"), F.col("_alon"), F.col("_blat"), F.col("_blon"))
     return (

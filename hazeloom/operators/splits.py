@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geo import latlon_to_km
 from ..semantics import flag
+from ..session import cut_lineage
 
 
 def hash_bucket(key: Column, k: int, seed: int) -> Column:
@@ -38,11 +41,17 @@ def waterline_label(date: Column, reference: Column, cutoff_days: int = 90, vali
     return F.when(date < start, "train").when(date <= waterline, "val")
 
 
+def _required(condition: Column, message: str) -> Column:
+    """True, or an error when the rows are read."""
+    return F.when(condition, True).otherwise(F.raise_error(F.lit(message)).cast("boolean"))
+
+
 def waterline_split(df: DataFrame, reference: str, cutoff_days: int = 90, validation_days: int = 90, min_train_years: int = 2, date="date"):
-    """Rows before the waterline with their role; no rows at all if training spans too few years."""
+    """Rows before the waterline with their role; reading them fails if training spans too few years."""
     labelled = df.withColumn("split", waterline_label(F.col(date), F.lit(reference).cast("date"), cutoff_days, validation_days))
     years = labelled.where("split = 'train'").agg(F.countDistinct(F.year(date))).scalar()
-    return labelled.where(F.col("split").isNotNull() & (years >= min_train_years))
+    enough = _required(years >= min_train_years, f"training spans fewer than {min_train_years} years")
+    return labelled.where(F.col("split").isNotNull() & enough)
 
 
 def monthly_waterlines(
@@ -72,11 +81,11 @@ def station_kfold(df: DataFrame, k: int, seed: int = 42, key: str = "sensor_id")
 
 
 def sensor_kfold_in_province(df: DataFrame, province: str, k: int, seed: int = 42, key: str = "sensor_id") -> DataFrame:
-    """Fold of each station of one province (NULL elsewhere: always training); empty if it has fewer than k."""
+    """Fold of each station of one province (NULL elsewhere: always training); an error if it has fewer than k."""
     inside = F.col("province") == province
     stations = df.where(inside).agg(F.countDistinct(key)).scalar()
     fold = F.when(inside, hash_bucket(F.col(key), k, seed))
-    return df.where(stations >= max(2, k)).withColumn("fold", fold)
+    return df.where(_required(stations >= max(2, k), f"{province} has fewer than {max(2, k)} stations")).withColumn("fold", fold)
 
 
 def time_block(df: DataFrame, province: str, test_days: int = 180, date: str = "date") -> DataFrame:
@@ -94,9 +103,14 @@ def grid_block_id(x: Column, y: Column, size: Column | float) -> Column:
 
 
 def grid_blocks(
-    sites: DataFrame, key: str = "sensor_id", by: str = "province", grid_km: float = 75.0, shrink: float = 0.7, least_km: float = 5.0
+    sites: DataFrame, key: str = "sensor_id", by: str = "province", grid_km: float = 75.0, shrink: float = 0.7, least_km: float = 5.0,
+    kmeans: int = 12, seed: int = 42,
 ) -> DataFrame:
-    """Square blocks per province at the largest size of the shrinking sequence that gives two or more."""
+    """Square blocks per province at the largest size of the shrinking sequence that gives two or more.
+
+    A province whose sites lie too close for that gets up to ``kmeans`` clusters instead, ``grid_km`` NULL; one
+    with a single place is one block.
+    """
     sizes, g = [], grid_km
     while g >= least_km:
         sizes.append(g)
@@ -115,15 +129,34 @@ def grid_blocks(
         .agg(F.max(F.struct("grid_km", "n_blocks")).alias("_c"))
         .select(by, "_c.*")
     )
-    return sized.join(chosen, [by, "grid_km"]).select(key, by, "grid_km", "n_blocks", "block_id")
+    squares = sized.join(chosen, [by, "grid_km"]).select(key, by, "grid_km", "n_blocks", "block_id")
+    reference = sites.select(by).distinct().join(chosen.select(F.col(by).alias("_by")), F.col(by).eqNullSafe(F.col("_by")), "left_anti")
+    for name in [r[0] for r in reference.collect()]:  # one name per province without squares
+        inside = sites.where(F.col(by).eqNullSafe(F.lit(name)))
+        places = inside.select("lat", "lon").distinct().limit(kmeans).count()
+        clusters = kmeans_blocks(inside, max(1, places), seed, key)
+        near = clusters.select(key, F.lit(name).cast(sites.schema[by].dataType).alias(by), F.lit(None).cast("double").alias("grid_km"), F.lit(places).cast("long").alias("n_blocks"), "block_id")
+        squares = squares.unionByName(near)
+    return squares
+
+
+def kmeans_blocks(sites: DataFrame, n_blocks: int = 12, seed: int = 42, key: str = "sensor_id") -> DataFrame:
+    """Blocks of sites by distance in km, for regions a square grid cannot divide."""
+    if n_blocks < 2:
+        return sites.select(key, F.lit("c0").alias("block_id"))
+    x, y = latlon_to_km(F.col("lat"), F.col("lon"), sites.agg(F.avg("lat")).scalar())
+    placed = cut_lineage(sites.select(key, x.alias("x"), y.alias("y")))
+    vectors = VectorAssembler(inputCols=["x", "y"], outputCol="_xy").transform(placed)
+    model = KMeans(k=n_blocks, seed=seed, featuresCol="_xy", predictionCol="_k", maxIter=30).fit(vectors)
+    return model.transform(vectors).select(key, F.concat(F.lit("c"), F.col("_k").cast("string")).alias("block_id"))
 
 
 def spatial_block_folds(sites: DataFrame, k: int, seed: int = 42, key: str = "sensor_id", by: str = "province") -> DataFrame:
     """Fold per site: blocks of a province are put in hash order and cut into at most k even runs.
 
-    The windows run over distinct blocks, not over sites.
+    The windows run over distinct blocks, not over sites.  A province that is one block has no fold: it trains always.
     """
-    blocks = grid_blocks(sites, key, by)
+    blocks = grid_blocks(sites, key, by, seed=seed)
     unique = blocks.select(by, "block_id").distinct()
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), by, "block_id"))
     w = Window.partitionBy(by)
@@ -131,7 +164,10 @@ def spatial_block_folds(sites: DataFrame, k: int, seed: int = 42, key: str = "se
     folds = unique.withColumn("k_eff", F.least(F.lit(k), n)).withColumn(
         "fold", ((F.row_number().over(w.orderBy(order)) - 1) % F.col("k_eff")).cast("int")
     )
-    return blocks.join(folds, [by, "block_id"])
+    folds = folds.withColumn("fold", F.when(F.col("k_eff") > 1, F.col("fold")))
+    folds = folds.withColumnsRenamed({by: "_by", "block_id": "_block"})
+    same = F.col(by).eqNullSafe(F.col("_by")) & (F.col("block_id") == F.col("_block"))
+    return blocks.join(folds, same).drop("_by", "_block")
 
 
 def degree_blocks(df: DataFrame, cell_degrees: float = 0.5, by: str = "province", lat: str = "lat", lon: str = "lon") -> DataFrame:
@@ -146,12 +182,14 @@ def stratified_block_split(
     block: str = "spatial_block",
     val_frac: float = 0.20,
     min_val_frac: float = 0.18,
-    min_val_rows: int = 8000,
+    min_val_rows: int = 0,
     max_val_frac: float = 0.35,
     seed: int = 42,
 ) -> DataFrame:
     """Validation blocks: per province in hash order up to the share, then the largest others as top-up.
 
+    The top-up goes on to the smaller share of all rows and, if given, to ``min_val_rows``.
+
     Returns one row per block with ``n`` and ``is_val``.  The running sums are over blocks.
     """
     sizes = rows.groupBy(by, block).agg(F.count(F.lit(1)).alias("n"))
@@ -206,7 +244,7 @@ def nested_month_station_folds(df: DataFrame, k: int, seed: int = 42, key: str =
     )
     months = sizes.agg(F.sort_array(F.collect_set("month"))).scalar()
     table = sizes.join(first, ["month", "_own"], "left").na.fill(0, ["_new"]).withColumn("_months", months)
-    later = F.filter(F.slice("_months", 2, 1_000_000), lambda m: m >= F.col("month"))
+    later = F.filter("_months", lambda m: (m > F.get(F.col("_months"), 0)) & (m >= F.col("month")))
     spread = table.withColumn("test_month", F.explode(later)).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
     held, same = F.col("_own") == F.col("fold"), F.col("month") == F.col("test_month")
     role = F.when(held & same, "test").when(~held & same, "anchor").when(~held, "train")

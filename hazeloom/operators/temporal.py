@@ -258,14 +258,16 @@ def forward_fill(df: DataFrame, columns: Sequence[str], key: str = "sensor_id",
 def history_features(df: DataFrame, start, end, history_days: int = 21, key: str = "sensor_id", time: str = "date"):
     """Grid-preset history features for every day of a range from one scan widened by the history.
 
-    Each day sees exactly ``history_days`` of past rows through its window frames, so the whole range
-    is one job instead of one per day.
+    Each day sees its own ``history_days`` of past and nothing else, in windows, segments and filled tendencies: a
+    row is handed to every day of the range that can see it, so an answer does not depend on the range asked for.
     """
-    first = F.date_sub(F.lit(start).cast("date"), history_days)
-    scanned = df.where(F.col(time).between(first, F.lit(end).cast("date")))
-    featured = met_level2(scanned, key, time, preset="grid")
-    tendencies = [c for c in ("BLH_tend", "MSLP_tend", "SP_tend") if c in df.columns]
-    return forward_fill(featured, tendencies, key, time).where(F.col(time) >= F.lit(start).cast("date"))
+    first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
+    scanned = df.where(F.col(time).between(F.date_sub(first, history_days), last))
+    seeing = F.sequence(F.greatest(F.col(time), first), F.least(F.date_add(F.col(time), history_days), last))
+    sliced = scanned.withColumn("_day", F.explode(seeing)).withColumn("_slice", F.struct(key, "_day"))
+    featured = met_level2(sliced, "_slice", time, preset="grid")
+    tendencies = [c for c in ("BLH_tend", "MSLP_tend", "SP_tend", "dT") if c in df.columns]
+    return forward_fill(featured, tendencies, "_slice", time).where(F.col(time) == F.col("_day")).drop("_day", "_slice")
 
 
 def target_lags(df: DataFrame, target: str = "pm25", lags: Sequence[int] = (1, 2, 3, 7), key="sensor_id", time="date"):

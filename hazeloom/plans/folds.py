@@ -189,4 +189,4 @@ def _(lake):
 
 @query("kmeans_blocks")
 def _(lake):
-    return models.kmeans_blocks(lake.stations(), n_blocks=12)
+    return splits.kmeans_blocks(lake.stations(), n_blocks=12)

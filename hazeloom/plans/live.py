@@ -8,6 +8,7 @@ from ..session import scratch_path
 from ..streaming import streams
 from .registry import query
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 _WATERMARK = "(SELECT max(ts) FROM events)"
 
 
@@ -66,14 +67,19 @@ def _(lake):
 @query(
     "stream_lag_features",
     """SELECT a.sensor_id, a.date, a.pm25, b.pm25 AS pm25_lag1 FROM station_daily a
-    LEFT JOIN station_daily b ON b.sensor_id = a.sensor_id AND b.date = a.date - 1""",
+    LEFT JOIN station_daily b ON b.sensor_id = a.sensor_id AND b.date = a.date - 1
+    WHERE a.date + 1 <= (SELECT max(date) FROM station_daily) - 10""",
     doubles="pm25 pm25_lag1",
 )
 def _(lake):
-    lake.spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
     store = lake.store()
     schema = store.read("station").schema
     # the stored days arrive twice, as a resent file would
     raw = lake.spark.readStream.schema(schema).parquet(store.path("station"))
     daily = raw.select("sensor_id", F.col("date").cast("timestamp").alias("ts"), "pm25")
-    return _run(lake, streams.stream_lag_features(daily.union(daily)), "lags")
+    before = lake.spark.conf.get(STATE_STORE)
+    lake.spark.conf.set(STATE_STORE, streams.ROCKSDB)
+    try:
+        return _run(lake, streams.stream_lag_features(daily.union(daily)), "lags")
+    finally:  # later queries keep the session's own setting
+        lake.spark.conf.set(STATE_STORE, before)

@@ -208,19 +208,24 @@ def _(lake):
     return temporal.forward_fill(lake.met_daily(), ["BLH_tend"]).select("sensor_id", "date", "BLH_tend")
 
 
+_HISTORY_TENDENCIES = ("BLH_tend", "MSLP_tend", "SP_tend", "dT")
+_SLICED = """(SELECT m.* REPLACE (m.sensor_id || '@' || d.day AS sensor_id), m.sensor_id AS sensor, d.day FROM met_daily m
+      JOIN (SELECT UNNEST(generate_series(TIMESTAMP '2024-01-22', TIMESTAMP '2024-01-30', INTERVAL 1 DAY))::DATE AS day) d
+      ON m.date BETWEEN d.day - 21 AND d.day)"""
+
+
 @query(
     "history_slice",
-    f"""SELECT sensor_id, date, {_roll('WS10', 'mean', 7, 4)} AS WS10_rollmean_7d_grid, {_roll('blh', 'mean', 14, 7)} AS blh_rollmean_14d,
-      lag(WS10, 3) OVER {_W}) AS WS10_lag3d FROM ({_segmented("(SELECT * FROM met_daily WHERE date BETWEEN DATE '2024-01-01' AND DATE '2024-01-30')")})
-      QUALIFY date >= DATE '2024-01-22'""",
-    doubles="WS10_rollmean_7d_grid blh_rollmean_14d WS10_lag3d",
+    f"""SELECT sensor AS sensor_id, date, {_roll('WS10', 'mean', 3, 2)} AS WS10_rollmean_3d, {_roll('WS10', 'max', 7, 4)} AS WS10_rollmax_7d, {_roll('blh', 'mean', 14, 7)} AS blh_rollmean_14d,
+      lag(WS10, 3) OVER {_W}) AS WS10_lag3d, {", ".join(f"last_value({c} IGNORE NULLS) OVER (PARTITION BY sensor_id ORDER BY date) AS {c}" for c in _HISTORY_TENDENCIES)}
+      FROM ({_segmented(_SLICED)}) QUALIFY date = day""",
+    doubles="WS10_rollmean_3d WS10_rollmax_7d blh_rollmean_14d WS10_lag3d " + " ".join(_HISTORY_TENDENCIES),
 )
 def _(lake):
     out = temporal.history_features(lake.met_daily(), "2024-01-22", "2024-01-30")
-    w = temporal.within_segment()
-    seg = temporal.time_segments(lake.met_daily().where("date BETWEEN '2024-01-01' AND '2024-01-30'"))
-    weekly = seg.select("sensor_id", "date", temporal.rolling(F.col("WS10"), "mean", 7, w, 4).alias("WS10_rollmean_7d_grid"))
-    return out.select("sensor_id", "date", "blh_rollmean_14d", "WS10_lag3d").join(weekly, ["sensor_id", "date"])
+    return out.select(
+        "sensor_id", "date", "WS10_rollmean_3d", "WS10_rollmax_7d", "blh_rollmean_14d", "WS10_lag3d", *_HISTORY_TENDENCIES
+    )
 
 
 @query(

@@ -64,34 +64,37 @@ def stream_store_sink(rows: DataFrame, path: str, checkpoint: str) -> StreamingQ
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+DAY_MS = 86_400_000
+
+
 class PreviousDay(StatefulProcessor):
-    """Keeps a station's recent daily values and answers each new day with the value of the day before."""
+    """Holds a station's days until the watermark has passed them, then answers each with the day before.
 
-    keep_days = 3
+    A day is kept for one day more after its answer, for its successor, and then dropped; so the state is as long as
+    the watermark's delay, and a day that comes late or before its predecessor is answered like any other.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.values = handle.getMapState("values", "day int", "pm25 double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # one row per day and station: a batch holds at most the days it spans
-        new: dict[int, float] = {}
         for chunk in rows:
-            new.update(zip(chunk["day"].astype(int), chunk["pm25"].astype(float)))
-        known = {k[0]: v[0] for k, v in self.values.iterator()} | new
-        newest = max(known)
-        for day, value in known.items():
-            if day > newest - self.keep_days:
+            for day, value in zip(chunk["day"].astype(int), chunk["pm25"].astype(float)):
                 self.values.updateValue((int(day),), (float(value),))
-            elif day not in new:
-                self.values.removeKey((int(day),))
-        yield pd.DataFrame(
-            {
-                "sensor_id": [int(key[0])] * len(new),
-                "day": list(new),
-                "pm25": list(new.values()),
-                "pm25_lag1": [known.get(d - 1) for d in new],
-            }
-        )
+                self.handle.registerTimer((int(day) + 1) * DAY_MS)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        day = expiredTimerInfo.getExpiryTimeInMs() // DAY_MS - 1
+        before = self.values.getValue((day - 1,)) if self.values.containsKey((day - 1,)) else None
+        if before is not None:
+            self.values.removeKey((day - 1,))
+        if not self.values.containsKey((day,)):
+            return  # the timer that drops the day before
+        self.handle.registerTimer((day + 2) * DAY_MS)
+        lag = None if before is None else before[0]
+        yield pd.DataFrame({"sensor_id": [int(key[0])], "day": [day], "pm25": [self.values.getValue((day,))[0]], "pm25_lag1": [lag]})
 
     def close(self) -> None:
         pass
@@ -108,15 +111,15 @@ LAG_SCHEMA = T.StructType(
 
 
 def stream_lag_features(daily: DataFrame, delay: str = "10 days") -> DataFrame:
-    """Previous-day value per station; a resent (station, day) counts once.
+    """Previous-day value per station, for days that the watermark has passed; a resent (station, day) counts once.
 
     ``daily`` has (sensor_id, ts, pm25) with ``ts`` the day's timestamp.  Needs the RocksDB state store.
     """
     once = daily.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["sensor_id", "ts"])
-    days = once.select("sensor_id", F.unix_date(F.to_date("ts")).alias("day"), "pm25")
+    days = once.select("sensor_id", "ts", F.unix_date(F.to_date("ts")).alias("day"), "pm25")
     return (
         days.groupBy("sensor_id")
-        .transformWithStateInPandas(PreviousDay(), LAG_SCHEMA, "Append", "None")
+        .transformWithStateInPandas(PreviousDay(), LAG_SCHEMA, "Append", "EventTime")
         .select("sensor_id", F.date_from_unix_date("day").alias("date"), "pm25", "pm25_lag1")
     )
 

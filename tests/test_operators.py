@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from hazeloom import workflows
 from hazeloom.operators import assemble, calibrate, grids, models, pixels, spatial, splits, stations, temporal
-from hazeloom.operators.quantile import exact_quantiles
+from hazeloom.operators.quantile import column_medians, exact_quantiles
 from hazeloom.session import scratch_path
 from hazeloom.sources import readers
 from hazeloom.sources.adapters import Lake
@@ -35,6 +35,9 @@ def test_exact_quantiles_with_a_hot_group(spark, seed):
         "same": np.full(40, -3.25),
         "one": np.array([7.0]),
         "wide": rng.uniform(-1, 1, 200) * 10.0 ** rng.integers(-8, 9, 200),
+        "pressure": 101000 + 60 * rng.random(4000),
+        "offset": np.full(900, 1e9 + 0.25),
+        "outliers": np.concatenate([5 + 1e-7 * rng.random(2000), [-1e30, 1e30]]),
     }
     rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("hot", None), ("none", None), ("hot", float("nan")), ("one", float("inf"))]
     probs = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p95": 0.95, "p100": 1.0}
@@ -52,9 +55,28 @@ def test_exact_quantiles_by_null_key_overall_and_weighted(spark):
     assert exact_quantiles(df, [], "v", {"m": 0.5}).collect()[0].m == 2.0
 
 
-def test_quantile_plan_never_gathers_a_group(spark):
-    plan = exact_quantiles(spark.range(10).withColumn("v", F.rand()), [], "v", {"m": 0.5})._jdf.queryExecution().toString()
-    assert "percentile" not in plan and "collect_list" not in plan
+def test_quantile_rows_of_a_narrow_column_stay_spread(spark):
+    """Of a column within 60 of 101000, only a small part of the rows reaches the last shuffle."""
+    df = spark.range(40_000).select((101000 + 60 * F.rand(3)).alias("v")).cache()
+    out = exact_quantiles(df, [], "v", {"m": 0.5})
+    values = np.array([r.v for r in df.collect()])
+    assert out.collect()[0].m == pytest.approx(np.median(values), rel=1e-15)
+    plan = out._jdf.queryExecution().toString()
+    assert "percentile" not in plan and "collect_list" not in plan and "CartesianProduct" not in plan
+    ranks = np.sort(values)
+    width = (values.max() - values.min()) / 4096  # a part is no wider than this
+    assert ((ranks > np.median(values) - 2 * width) & (ranks < np.median(values) + 2 * width)).sum() < 100
+
+
+def test_column_medians_of_many_columns(spark):
+    rng = np.random.default_rng(5)
+    table = rng.normal(0, 1, (500, 30)) * 10.0 ** rng.integers(-3, 4, 30)
+    table[rng.random(table.shape) < 0.2] = np.nan
+    table[:, 7] = np.nan
+    df = spark.createDataFrame(table.tolist(), [f"c{i}" for i in range(30)])
+    got = {r.column: r.median for r in column_medians(df, df.columns).collect()}
+    want = {f"c{i}": np.nanmedian(table[:, i]) for i in range(30) if i != 7}
+    assert got.keys() == want.keys() and all(got[c] == pytest.approx(want[c]) for c in want)
 
 
 def sites(spark, n, seed, lat=(23.0, 37.0), lon=(60.0, 78.0)):
@@ -219,11 +241,42 @@ def test_folds_cover_everything_once(spark, folder):
     assert 0.18 <= share <= 0.6
 
 
-def test_too_few_stations_or_years_give_nothing(spark, folder):
+def test_too_few_stations_or_years_are_an_error(spark, folder):
     lake = Lake(spark, folder)
     net = lake.station_daily().join(lake.stations(), "sensor_id")
-    assert splits.sensor_kfold_in_province(net, "ASIA", 10_000).count() == 0
-    assert splits.waterline_split(lake.yearly(), "1995-12-31").count() == 0
+    with pytest.raises(Exception, match="fewer than 10000 stations"):
+        splits.sensor_kfold_in_province(net, "ASIA", 10_000).collect()
+    with pytest.raises(Exception, match="fewer than 2 years"):
+        splits.waterline_split(lake.yearly(), "1996-01-31").collect()
+
+
+def test_provinces_without_squares_get_clusters(spark):
+    rows = [(i, 30.0 + i * 0.3, 70.0, "wide") for i in range(8)] + [(20, 31.0, 71.0, "close"), (21, 31.0009, 71.0, "close")]
+    rows += [(30, 33.0, 72.0, "lone"), (40, 25.0, 65.0, None), (41, 25.0009, 65.0, None)]
+    sites = spark.createDataFrame(rows, "sensor_id long, lat double, lon double, province string")
+    got = {r.sensor_id: r for r in splits.spatial_block_folds(sites, 5).collect()}
+    assert set(got) == {r[0] for r in rows}
+    assert got[20].block_id != got[21].block_id and {got[20].fold, got[21].fold} == {0, 1} and got[20].grid_km is None
+    assert {got[40].fold, got[41].fold} == {0, 1} and got[30].fold is None and got[0].grid_km == 75.0
+
+
+def test_near_pairs_across_the_date_line_and_at_the_pole(spark):
+    rows = [(1, 0.0, 179.99), (2, 0.0, -179.99), (3, 89.95, 0.0), (4, 89.95, 180.0), (5, 89.99, 90.0), (6, 60.0, 179.9), (7, 60.0, -179.9)]
+    rows += [(8, -5.0, 180.0), (9, -5.0, -180.0)]
+    got = spatial.near_pairs(spark.createDataFrame(rows, "sensor_id long, lat double, lon double"), "sensor_id", 30.0).collect()
+    want = {(a[0], b[0]) for a, b in itertools.combinations(rows, 2) if haversine(a[1], a[2], b[1], b[2]) <= 30.0}
+    assert {(r.a, r.b) for r in got} == want and len(got) == len(want) and {(1, 2), (3, 4), (6, 7), (8, 9)} <= want
+
+
+def test_history_does_not_depend_on_the_range(spark):
+    day = lambda i: D(2024, 1, 1) + dt.timedelta(days=i)
+    rows = [(1, day(i), float(i % 7), 5.0 if i == 10 else None, 2.0 if i == 30 else None) for i in range(0, 46)]
+    df = spark.createDataFrame(rows, "sensor_id long, date date, WS10 double, BLH_tend double, dT double")
+    pick = lambda r: (r.BLH_tend, r.dT, r.WS10_rollmean_3d)
+    alone = pick(temporal.history_features(df, "2024-02-15", "2024-02-15").collect()[0])
+    wide = {r.date: pick(r) for r in temporal.history_features(df, "2024-01-10", "2024-02-15").collect()}
+    assert wide[D(2024, 2, 15)] == alone and alone[:2] == (None, 2.0)
+    assert wide[D(2024, 1, 20)][0] == 5.0 and wide[D(2024, 2, 2)][0] is None and len(wide) == 37
 
 
 def test_norm_dates_are_evenly_spaced(spark):
@@ -242,8 +295,8 @@ def test_median_impute_falls_back(spark):
 
 def test_feature_coverage_keeps_all_when_few_remain(spark):
     df = spark.createDataFrame([(1.0, None)], "a double, b double")
-    assert {r.keep for r in assemble.feature_coverage(df, ["a", "b"]).collect()} == {1}
-    kept = {r.column_name: r.keep for r in assemble.feature_coverage(df, ["a", "b"], keep_all_below=1).collect()}
+    assert {r.keep for r in assemble.feature_coverage(df, ["a", "b"], keep_all_below=20).collect()} == {1}
+    kept = {r.column_name: r.keep for r in assemble.feature_coverage(df, ["a", "b"]).collect()}
     assert kept == {"a": 1, "b": 0}
 
 
@@ -282,11 +335,23 @@ def test_lag_stream_remembers_across_batches(spark):
     run = lambda: streams.run_to_table(
         streams.stream_lag_features(spark.readStream.schema(schema).parquet(f"{base}/in")), f"{base}/out", f"{base}/cp"
     )
-    write_readings(spark, f"{base}/in", [(1, t(2024, 1, 1), 1.0), (1, t(2024, 1, 1), 1.0), (2, t(2024, 1, 1), 5.0)])
-    run()
-    write_readings(spark, f"{base}/in", [(1, t(2024, 1, 2), 2.0), (1, t(2024, 1, 1), 1.0), (2, t(2024, 1, 3), 7.0)])
-    got = {(r.sensor_id, r.date.day): r.pm25_lag1 for r in run().collect()}
-    assert got == {(1, 1): None, (2, 1): None, (1, 2): 1.0, (2, 3): None}
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
+    try:
+        for rows in (
+            [(1, t(2024, 1, 1), 1.0), (1, t(2024, 1, 1), 1.0), (2, t(2024, 1, 3), 5.0)],
+            [(1, t(2024, 1, 2), 2.0), (1, t(2024, 1, 1), 1.0), (2, t(2024, 1, 2), 7.0)],  # resent, and before its successor
+            [(1, t(2024, 1, 8), 8.0)],
+            [(1, t(2024, 1, 3), 3.0)],  # late
+            [(2, t(2024, 2, 20), 9.0)],  # moves the watermark past all of them
+        ):
+            write_readings(spark, f"{base}/in", rows)
+            out = run()
+        got = {(r.sensor_id, r.date): r.pm25_lag1 for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    want = {(1, 1): None, (1, 2): 1.0, (1, 3): 2.0, (1, 8): None, (2, 2): None, (2, 3): 7.0}
+    assert got == {(k, D(2024, 1, d)): v for (k, d), v in want.items()}
 
 
 def test_prediction_keeps_the_rows_and_gaps(spark, folder):
