@@ -170,8 +170,10 @@ def frame_scale(df: DataFrame, low: float, high: float, value: str = "pm25", dat
     )
 
 
-def norm_stats(df: DataFrame, features: Sequence[str], date: str = "date", n_dates: int = 50, binary: Sequence[str] = ()):
-    """Mean and deviation per feature over evenly spaced dates, as rows; flags keep (0, 1)."""
+def norm_stats(df: DataFrame, features: Sequence[str], date: str = "date", n_dates: int | None = None, binary: Sequence[str] = ()):
+    """Mean and deviation per feature as rows, over all dates or ``n_dates`` evenly spaced ones; flags keep (0, 1)."""
+    if n_dates is None:
+        return _norm_rows(df, features, binary)
     days = df.select(date).distinct()
     n = days.agg(F.count(F.lit(1))).scalar()
     m = F.least(F.lit(n_dates), n)
@@ -180,11 +182,20 @@ def norm_stats(df: DataFrame, features: Sequence[str], date: str = "date", n_dat
     steps = F.greatest(m - 1, F.lit(1))
     i = F.ceil(k * steps / F.greatest(n - 1, F.lit(1)))
     picked = days.withColumn("_keep", (n <= m) | (F.floor(i * (n - 1) / steps) == k)).where("_keep").select(date)
-    # one row per calendar day at most
-    sample = df.join(F.broadcast(picked), date, "left_semi")
-    long = sample.select(*[F.col(f).cast("double") for f in features]).unpivot([], list(features), "feature", "v")
-    stats = long.groupBy("feature").agg(
-        F.avg("v").alias("mean"), F.sqrt(F.greatest(F.var_pop("v"), F.lit(1e-8))).alias("std"), F.count("v").alias("n")
+    return _norm_rows(df.join(picked, date, "left_semi"), features, binary)
+
+
+def _norm_rows(sample: DataFrame, features: Sequence[str], binary: Sequence[str]) -> DataFrame:
+    """One aggregate over all features at once, turned to rows afterwards."""
+    wide = sample.agg(
+        *[
+            F.struct(F.avg(x).alias("mean"), F.var_pop(x).alias("var"), F.count(x).alias("n")).alias(f"s{i}")
+            for i, x in enumerate(F.col(f).cast("double") for f in features)
+        ]
+    )
+    named = [F.struct(F.lit(f).alias("feature"), F.col(f"s{i}").alias("s")) for i, f in enumerate(features)]
+    stats = wide.select(F.explode(F.array(*named)).alias("r")).select("r.feature", "r.s.*").where("n > 0").select(
+        "feature", "mean", F.sqrt(F.greatest("var", F.lit(1e-8))).alias("std"), "n"
     )
     is_flag = F.col("feature").isin(list(binary)) if binary else F.lit(False)
     return stats.select(
@@ -197,10 +208,12 @@ def norm_stats(df: DataFrame, features: Sequence[str], date: str = "date", n_dat
 
 def zscore_and_mask(df: DataFrame, stats: DataFrame, features: Sequence[str], clamp: float = 20.0) -> DataFrame:
     """Standardised features with gaps at zero and a validity flag each; ``stats`` has one row per feature."""
-    table = stats.agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("mean", "std"))))).scalar()
+    # one struct with a field per feature: found by position, where a map would be searched for every value
+    fields = [F.max(F.when(F.col("feature") == f, F.struct("mean", "std"))).alias(f"s{i}") for i, f in enumerate(features)]
+    table = stats.agg(F.struct(*fields).alias("t")).scalar()
     cols = {}
-    for f in features:
-        s = table[f]
+    for i, f in enumerate(features):
+        s = table[f"s{i}"]
         z = (F.col(f) - s["mean"]) / s["std"]
         cols[f"{f}_valid"] = F.col(f).isNotNull().cast("int")
         cols[f"{f}_z"] = F.coalesce(F.greatest(F.lit(-clamp), F.least(F.lit(clamp), z)), F.lit(0.0))
@@ -316,7 +329,8 @@ def export_predictions_json(df: DataFrame, date: str = "date", value: str = "pm2
 
 
 def representative_day(days: DataFrame, targets: dict[str, float], value: str = "mean", season: str = "season", date: str = "date"):
-    """Per season the day at a percentile rank of the daily means; a season holds one row per day."""
+    """Per season the day at a percentile rank of the known daily means; a season holds one row per day."""
+    days = days.where(F.col(value).isNotNull())
     w = Window.partitionBy(season)
     rank = F.row_number().over(w.orderBy(value, date)) - 1
     share = F.lit(None).cast("double")

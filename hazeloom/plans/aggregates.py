@@ -442,8 +442,8 @@ _SKILL = """WITH train AS (SELECT sensor_id, date, pm25 FROM skill_daily WHERE i
   SELECT *, 1 - mae/nullif(mae_persistence, 0) AS mae_skill_persistence, 1 - rmse/nullif(rmse_persistence, 0) AS rmse_skill_persistence,
     1 - mae/nullif(mae_climatology, 0) AS mae_skill_climatology, 1 - rmse/nullif(rmse_climatology, 0) AS rmse_skill_climatology FROM (
     SELECT season, count(*) AS n, avg(abs(q - y)) AS mae, sqrt(avg(pow(q - y, 2))) AS rmse, avg(abs(per - y)) AS mae_persistence,
-      sqrt(avg(pow(per - y, 2))) AS rmse_persistence, count(per) AS n_persistence, avg(abs(cl - y)) AS mae_climatology,
-      sqrt(avg(pow(cl - y, 2))) AS rmse_climatology, count(cl) AS n_climatology FROM s GROUP BY 1)"""
+      sqrt(avg(pow(per - y, 2))) AS rmse_persistence, count(per - y) AS n_persistence, avg(abs(cl - y)) AS mae_climatology,
+      sqrt(avg(pow(cl - y, 2))) AS rmse_climatology, count(cl - y) AS n_climatology FROM s GROUP BY 1)"""
 _SKILL_DOUBLES = " ".join(
     f"{m}{x}" for m in ("mae", "rmse") for x in ("", "_persistence", "_climatology", "_skill_persistence", "_skill_climatology")
 )
@@ -606,7 +606,7 @@ def _(lake):
 @query(
     "representative_day",
     """WITH d AS (SELECT date, CASE WHEN month(date) IN (12,1,2) THEN 'winter' WHEN month(date) IN (3,4,5) THEN 'pre_monsoon' WHEN month(date) BETWEEN 6 AND 9 THEN 'monsoon' ELSE 'post_monsoon' END AS season,
-        avg(pm25) AS mean FROM skill_daily GROUP BY 1, 2)
+        avg(pm25) AS mean FROM skill_daily GROUP BY 1, 2 HAVING avg(pm25) IS NOT NULL)
       SELECT season, date, mean FROM (SELECT *, row_number() OVER (PARTITION BY season ORDER BY mean, date) - 1 AS r, count(*) OVER (PARTITION BY season) AS n FROM d)
       WHERE r = round_even((CASE season WHEN 'winter' THEN 0.8 WHEN 'pre_monsoon' THEN 0.5 WHEN 'monsoon' THEN 0.2 ELSE 0.6 END)::DOUBLE*(n - 1), 0)""",
     doubles="mean",

@@ -6,10 +6,10 @@ import re
 
 CTES = {
     "readings": "SELECT event_id, user_id AS sensor_id, ts, value AS pm25, event_type FROM events",
-    "station_daily": """SELECT user_id AS sensor_id, CAST(ts AS DATE) AS date, avg(value) AS pm25, count(*) AS n
-        FROM events WHERE event_type <> 'error' GROUP BY 1, 2""",
-    "click_daily": """SELECT user_id AS sensor_id, CAST(ts AS DATE) AS date, avg(value) AS pm25, count(*) AS n
-        FROM events WHERE event_type = 'click' GROUP BY 1, 2""",
+    "station_daily": """SELECT user_id AS sensor_id, CAST(ts AS DATE) AS date, avg(value) FILTER (event_type <> 'error') AS pm25, count(*) AS n
+        FROM events GROUP BY 1, 2""",
+    "sparse_daily": """SELECT user_id AS sensor_id, CAST(ts AS DATE) + CAST((day(ts) + user_id)//4 * (user_id % 4) AS INTEGER) AS date,
+        avg(value) FILTER (event_type <> 'error') AS pm25, count(*) AS n FROM events GROUP BY 1, 2""",
     "stations": """SELECT u.sensor_id, 23.3::DOUBLE + (u.sensor_id*37 % 141)*0.1::DOUBLE AS lat,
         60.5::DOUBLE + (u.sensor_id*53 % 175)*0.1::DOUBLE AS lon, r.r_name AS province,
         CASE WHEN u.sensor_id % 4 = 0 THEN 'regulatory' ELSE 'lowcost' END AS provider
@@ -52,8 +52,8 @@ CTES = {
     "yearly": """SELECT o_custkey AS sensor_id, CAST(o_orderdate AS DATE) AS date, avg(o_totalprice/1000) AS pm25
         FROM orders GROUP BY 1, 2""",
     "skill_daily": """SELECT user_id AS sensor_id, CAST(ts AS DATE) + CAST(30*(user_id % 12) AS INTEGER) AS date,
-        avg(value) AS pm25, CAST(ts AS DATE) <= DATE '2024-01-20' AS is_train
-        FROM events WHERE event_type <> 'error' GROUP BY 1, 2, 4""",
+        avg(value) FILTER (event_type <> 'error') AS pm25, CAST(ts AS DATE) <= DATE '2024-01-20' AS is_train
+        FROM events GROUP BY 1, 2, 4""",
 }
 
 _NAMES = re.compile(r"\b(" + "|".join(CTES) + r")\b")

@@ -472,7 +472,7 @@ def _(lake):
 @query(
     "lag1_prior",
     """WITH o AS (SELECT d.date + 1 AS date, s.lat, s.lon, d.pm25, greatest(cos(radians(s.lat)), 0.2) AS cl, round_even((s.lat - 37.3::DOUBLE)/(-0.5::DOUBLE), 0)::INTEGER AS r0,
-        round_even((s.lon - 60.5::DOUBLE)/0.5::DOUBLE, 0)::INTEGER AS c0 FROM station_daily d JOIN stations s USING (sensor_id)),
+        round_even((s.lon - 60.5::DOUBLE)/0.5::DOUBLE, 0)::INTEGER AS c0 FROM station_daily d JOIN stations s USING (sensor_id) WHERE d.pm25 IS NOT NULL),
       cells AS (SELECT r, c FROM range(29) a(r), range(35) b(c)),
       w AS (SELECT o.date, cells.r, cells.c, o.pm25, exp(-0.5*(pow((r - r0)*55.5, 2) + pow((c - c0)*55.5*cl, 2))/3600.0) AS w FROM o
         JOIN cells ON r BETWEEN r0 - 4 AND r0 + 4 AND c BETWEEN c0 - 6 AND c0 + 6 WHERE sqrt(pow((r - r0)*55.5, 2) + pow((c - c0)*55.5*cl, 2)) <= 180.0)

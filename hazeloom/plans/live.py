@@ -39,15 +39,19 @@ def _(lake):
 
 @query(
     "stream_segments",
-    f"""WITH g AS (SELECT user_id AS sensor_id, ts, value, CASE WHEN ts - lag(ts) OVER w < INTERVAL 2 DAY THEN 0 ELSE 1 END AS s FROM events WHERE event_type = 'click'
-        WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    f"""WITH e AS (SELECT user_id AS sensor_id, value, ts + INTERVAL 1 DAY * ((day(ts) + user_id)//4 * (user_id % 4)) AS ts FROM events),
+      g AS (SELECT sensor_id, ts, value, CASE WHEN ts - lag(ts) OVER w < INTERVAL 2 DAY THEN 0 ELSE 1 END AS s FROM e
+        WINDOW w AS (PARTITION BY sensor_id ORDER BY ts)),
       i AS (SELECT *, sum(s) OVER (PARTITION BY sensor_id ORDER BY ts) AS seg FROM g)
       SELECT sensor_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n, avg(value) AS pm25_mean FROM i GROUP BY sensor_id, seg
-      HAVING max(ts) + INTERVAL 2 DAY <= (SELECT max(ts) FROM events WHERE event_type = 'click') - INTERVAL 6 HOUR""",
+      HAVING max(ts) + INTERVAL 2 DAY <= (SELECT max(ts) FROM e) - INTERVAL 6 HOUR""",
     doubles="pm25_mean",
 )
 def _(lake):
-    out = _run(lake, streams.stream_segments(_live(lake).where("event_type = 'click'")), "segments")
+    # pulled apart as in Lake.sparse_daily, so that there are gaps to find
+    days = ((F.day("ts") + F.col("sensor_id")) / 4).cast("int") * (F.col("sensor_id") % 4).cast("int")
+    sparse = _live(lake).withColumn("ts", F.col("ts") + F.make_dt_interval(days))
+    out = _run(lake, streams.stream_segments(sparse), "segments")
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_ts", "last_ts")})
 
 

@@ -450,14 +450,12 @@ def _(lake):
     "norm_stats",
     """SELECT f AS feature, CASE f WHEN 'calm' THEN 0 ELSE avg(v) END AS mean,
       CASE f WHEN 'calm' THEN 1 ELSE greatest(sqrt(greatest(var_pop(v), 1e-8)), 1e-6) END AS std, count(v) AS n FROM (
-      SELECT UNNEST(['WS10','RH','calm']) AS f, UNNEST([WS10, RH, (WS10 < 2)::INTEGER::DOUBLE]) AS v FROM met_daily WHERE date IN (
-        SELECT date FROM (SELECT date, row_number() OVER (ORDER BY date) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM met_daily))
-        WHERE k IN (SELECT DISTINCT (i*(n-1))//9 FROM range(10) t(i)))) GROUP BY f""",
+      SELECT UNNEST(['WS10','RH','calm']) AS f, UNNEST([WS10, RH, (WS10 < 2)::INTEGER::DOUBLE]) AS v FROM met_daily) GROUP BY f""",
     doubles="mean std",
 )
 def _(lake):
     daily = lake.met_daily().withColumn("calm", (F.col("WS10") < 2).cast("int"))
-    return grids.norm_stats(daily, ["WS10", "RH", "calm"], n_dates=10, binary=["calm"])
+    return grids.norm_stats(daily, ["WS10", "RH", "calm"], binary=["calm"])
 
 
 @query(
@@ -468,7 +466,7 @@ def _(lake):
 )
 def _(lake):
     daily = lake.met_daily()
-    stats = grids.norm_stats(daily, ["WS10"], n_dates=100_000)
+    stats = grids.norm_stats(daily, ["WS10"])
     return grids.zscore_and_mask(daily, stats, ["WS10"]).select("sensor_id", "date", "WS10_valid", "WS10_z")
 
 

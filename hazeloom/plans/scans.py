@@ -70,7 +70,7 @@ def _station_table(lake):
     )
 
 
-@query("load_observations", _OBS + " WHERE d.n > 1", doubles="latitude longitude pm25_daily_mean")
+@query("load_observations", _OBS + " WHERE d.n > 1 AND d.pm25 IS NOT NULL", doubles="latitude longitude pm25_daily_mean")
 def _(lake):
     return readers.load_observations(_station_table(lake))
 
@@ -196,7 +196,7 @@ def _(lake):
     daily = lake.station_daily()
     store.write("s", daily)
     one = daily.where("date = '2024-01-10'").withColumn("pm25", F.lit(-1.0))
-    store.write("s", one, overwrite=True, files_per_date=1)
+    store.write("s", one, overwrite=True)
     return store.read("s").groupBy("date").agg(F.count(F.lit(1)).alias("n"), F.avg("pm25").alias("mean"))
 
 

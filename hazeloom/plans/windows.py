@@ -33,18 +33,18 @@ def _spec_sql(s) -> str:
     return f"{s.source} - {_roll(s.source, 'mean', s.days)} AS {s.name}"
 
 
-@query("time_segments", f"SELECT sensor_id, date, segment::BIGINT AS segment FROM ({_segmented('click_daily')})")
+@query("time_segments", f"SELECT sensor_id, date, segment::BIGINT AS segment FROM ({_segmented('sparse_daily')})")
 def _(lake):
-    return temporal.time_segments(lake.click_daily()).select("sensor_id", "date", "segment")
+    return temporal.time_segments(lake.sparse_daily()).select("sensor_id", "date", "segment")
 
 
 @query(
     "gap_days",
-    "SELECT sensor_id, date, (date - lag(date) OVER (PARTITION BY sensor_id ORDER BY date))::DOUBLE AS dt_days FROM click_daily",
+    "SELECT sensor_id, date, (date - lag(date) OVER (PARTITION BY sensor_id ORDER BY date))::DOUBLE AS dt_days FROM sparse_daily",
     doubles="dt_days",
 )
 def _(lake):
-    return temporal.gap_days(lake.click_daily()).select("sensor_id", "date", "dt_days")
+    return temporal.gap_days(lake.sparse_daily()).select("sensor_id", "date", "dt_days")
 
 
 _LAGS = [Lag("WS10", 1), Lag("WS10", 3), Lag("blh", 1), Lag("blh", 3)]
@@ -65,21 +65,21 @@ _ROLLS = [Roll("pm25", stat, n) for n in (3, 7) for stat in ("mean", "std", "min
 
 @query(
     "segment_rolling",
-    f"SELECT sensor_id, date, {', '.join(map(_spec_sql, _ROLLS))} FROM ({_segmented('click_daily')})",
+    f"SELECT sensor_id, date, {', '.join(map(_spec_sql, _ROLLS))} FROM ({_segmented('sparse_daily')})",
     doubles=" ".join(s.name for s in _ROLLS),
 )
 def _(lake):
-    out = temporal.segment_rolling(temporal.time_segments(lake.click_daily()), _ROLLS)
+    out = temporal.segment_rolling(temporal.time_segments(lake.sparse_daily()), _ROLLS)
     return out.select("sensor_id", "date", *[s.name for s in _ROLLS])
 
 
 @query(
     "gap_safe_rolling",
-    f"SELECT sensor_id, date, {_roll('pm25', 'mean', 5, 1)} AS pm25_roll_mean_5d FROM ({_segmented('click_daily', 1)})",
+    f"SELECT sensor_id, date, {_roll('pm25', 'mean', 5, 1)} AS pm25_roll_mean_5d FROM ({_segmented('sparse_daily', 1)})",
     doubles="pm25_roll_mean_5d",
 )
 def _(lake):
-    out = temporal.gap_safe_rolling(lake.click_daily(), ["sensor_id"], "date", ["pm25"], 5)
+    out = temporal.gap_safe_rolling(lake.sparse_daily(), ["sensor_id"], "date", ["pm25"], 5)
     return out.select("sensor_id", "date", "pm25_roll_mean_5d")
 
 

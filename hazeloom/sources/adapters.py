@@ -46,20 +46,19 @@ class Lake:
             "event_type",
         )
 
-    def _daily(self, keep) -> DataFrame:
-        return (
-            self.readings()
-            .where(keep)
-            .groupBy("sensor_id", F.to_date("ts").alias("date"))
-            .agg(F.avg("pm25").alias("pm25"), F.count(F.lit(1)).alias("n"))
-        )
+    def _daily(self, day) -> DataFrame:
+        """Daily means; a reading marked as an error counts as a row without a value."""
+        valid = F.when(F.col("event_type") != "error", F.col("pm25"))
+        daily = self.readings().groupBy("sensor_id", day.alias("date"))
+        return daily.agg(F.avg(valid).alias("pm25"), F.count(F.lit(1)).alias("n"))
 
     def station_daily(self) -> DataFrame:
-        return self._daily(F.col("event_type") != "error")
+        return self._daily(F.to_date("ts"))
 
-    def click_daily(self) -> DataFrame:
-        """Sparse daily series: gaps of several days are common."""
-        return self._daily(F.col("event_type") == "click")
+    def sparse_daily(self) -> DataFrame:
+        """Sparse daily series: the days are pulled apart, so that gaps of none to several days are common."""
+        pulled = ((F.day("ts") + F.col("sensor_id")) / 4).cast("int") * (F.col("sensor_id") % 4).cast("int")
+        return self._daily(F.date_add(F.to_date("ts"), pulled))
 
     def skill_daily(self) -> DataFrame:
         """Daily series spread over the year by station, with the last third held out."""
@@ -67,13 +66,12 @@ class Lake:
         day = F.to_date("ts")
         return (
             self.readings()
-            .where(F.col("event_type") != "error")
             .groupBy(
                 "sensor_id",
                 F.date_add(day, shift).alias("date"),
                 (day <= F.lit("2024-01-20").cast("date")).alias("is_train"),
             )
-            .agg(F.avg("pm25").alias("pm25"))
+            .agg(F.avg(F.when(F.col("event_type") != "error", F.col("pm25"))).alias("pm25"))
         )
 
     def yearly(self) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,11 +25,14 @@ class FeatureStore:
         return f"{self.root}/{stage}"
 
     def _listing(self, stage: str) -> list[str]:
-        """Names of the stage's entries; asks the file system, opens no file."""
-        jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(self.path(stage))
-        files = folder.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
-        return [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
+        """Names of the stage's partitions, or of its files where it has none; lists files, opens none."""
+        folder = self.path(stage)
+        try:
+            files = self.spark.read.schema("_none int").parquet(folder).inputFiles()
+        except AnalysisException:  # no such folder
+            return []
+        cut = [re.split(r"/(?=date=)", f, maxsplit=1) for f in files]
+        return sorted({parts[-1].split("/")[0] if len(parts) > 1 else f.rsplit("/", 1)[-1] for parts, f in zip(cut, files)})
 
     def exists(self, stage: str) -> bool:
         return bool(self._listing(stage))
@@ -72,20 +77,18 @@ class FeatureStore:
     def date_span(self, stage: str) -> DataFrame:
         return self.dates(stage).agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"))
 
-    def write(self, stage: str, df: DataFrame, overwrite: bool = False, files_per_date: int = 16) -> int:
+    def write(self, stage: str, df: DataFrame, overwrite: bool = False) -> int:
         """Writes whole dates; a date already present is skipped, or replaced with ``overwrite``.
 
         Returns how many dates the store gained, from the directory names.  Replacing uses dynamic
-        partition overwrite, so other dates stay and a failed task leaves no trace.  Rows go to the
-        writers by date plus a salt, so a heavy date is written by up to ``files_per_date`` tasks.
+        partition overwrite, so other dates stay and a failed task leaves no trace.  Rows are
+        rebalanced by date, so adaptive execution gives a heavy date several writers and light dates one.
         """
         dated = ensure_date_column(df)
         before = set(self._listing(stage))
         if before and not overwrite:
-            dated = dated.join(F.broadcast(self.dates(stage)), "date", "left_anti")
-        hashable = [f.name for f in dated.schema.fields if f.name != "date" and "map<" not in f.dataType.simpleString()]
-        spread = F.pmod(F.xxhash64(*hashable), F.lit(files_per_date)) if hashable else F.lit(0)
-        dated = dated.repartition("date", spread)
+            dated = dated.join(self.dates(stage), "date", "left_anti")
+        dated = dated.hint("rebalance", F.col("date"))
         writer = dated.write.partitionBy("date").option("partitionOverwriteMode", "dynamic")
         writer.mode("overwrite").parquet(self.path(stage))
         return sum(n.startswith("date=") for n in set(self._listing(stage)) - before)
@@ -97,8 +100,13 @@ class FeatureStore:
             if not {"lat", "lon"} <= set(dated.columns):
                 raise ValueError("a grid stage needs cell_id, or lat and lon")
             dated = dated.withColumn("cell_id", cell_id(F.col("lat"), F.col("lon")))
+        before = set(self._listing(stage))
         self.write(stage, dated, overwrite)
-        return self.read(stage).groupBy("date").count().where(F.col("count") != expected_rows)
+        touched = dated.select("date").distinct()
+        if not overwrite:  # dates that were there are as they were
+            new = [n.removeprefix("date=") for n in self._listing(stage) if n not in before]
+            touched = self.spark.createDataFrame([(n,) for n in new], "date string").select(F.col("date").cast("date").alias("date"))
+        return self.read(stage).join(touched, "date", "left_semi").groupBy("date").count().where(F.col("count") != expected_rows)
 
     def write_table(self, name: str, df: DataFrame, fmt: str = "parquet") -> None:
         """Unpartitioned export; CSV doubles carry all significant digits."""
@@ -111,7 +119,7 @@ class FeatureStore:
 
 def missing_dates(observations: DataFrame, done: DataFrame) -> DataFrame:
     """Observation rows whose date has no partition yet.  Dates are at most one row per calendar day."""
-    return observations.join(F.broadcast(done.select("date").distinct()), "date", "left_anti")
+    return observations.join(done.select("date").distinct(), "date", "left_anti")
 
 
 def sync_plan(remote: DataFrame, local: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:

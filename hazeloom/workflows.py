@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .operators.assemble import join_stages
 from .operators.evaluate import METRICS, metrics_by_period, skill_against, with_baselines
@@ -15,8 +16,8 @@ from .operators.splits import year_split
 from .session import cut_lineage
 from .sources.store import FeatureStore, missing_dates
 
-# longest window (14 rows) plus the gap a segment may bridge per row
-HISTORY_DAYS = 28
+# rows that the longest window or lag looks back
+HISTORY_ROWS = 14
 
 
 def refresh_stage(
@@ -24,21 +25,24 @@ def refresh_stage(
     stage: str,
     observations: DataFrame,
     compute: Callable[[DataFrame], DataFrame],
-    history_days: int = HISTORY_DAYS,
+    history_rows: int = HISTORY_ROWS,
+    key: str = "sensor_id",
 ) -> int:
     """Computes and writes the dates a stage lacks.
 
-    The scan starts early enough for the windows of the first missing date; the extra days serve as
-    history only.  Returns the number of dates added.  Lags and rolling values at the start of a refresh therefore equal those of a full run.
+    Each key brings its last ``history_rows`` rows before the first missing date, however old they are, as history
+    only; so lags, gaps and rolling values equal those of a full run for a station that was silent for long, too.
+    Returns the number of dates added.
     """
     todo = observations
     if store.exists(stage):
         todo = missing_dates(observations, store.dates(stage))
     days = todo.select("date").distinct()
     first = days.agg(F.min("date")).scalar()
-    scanned = observations.where(F.col("date") >= F.date_sub(first, history_days))
-    # one row per calendar day
-    fresh = compute(scanned).join(F.broadcast(days), "date", "left_semi")
+    latest = Window.partitionBy(key).orderBy(F.desc("date"))
+    history = observations.where(F.col("date") < first).withColumn("_r", F.row_number().over(latest))
+    scanned = observations.where(F.col("date") >= first).unionByName(history.where(F.col("_r") <= history_rows).drop("_r"))
+    fresh = compute(scanned).join(days, "date", "left_semi")
     return store.write(stage, fresh)
 
 

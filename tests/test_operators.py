@@ -178,7 +178,7 @@ def test_busy_station_gives_the_same_windows(spark, folder):
 
 
 def test_segments_never_cross_gaps(spark, folder):
-    seg = temporal.time_segments(Lake(spark, folder).click_daily())
+    seg = temporal.time_segments(Lake(spark, folder).sparse_daily())
     w = temporal.series(["sensor_id", "segment"], "date")
     assert seg.withColumn("g", temporal.days_since_previous("date", w)).where("g > 2").count() == 0
 
