@@ -542,12 +542,39 @@ def _(lake):
     return calibrate.daily_line_fit(lake.predictions())
 
 
-@query("daily_affine_fit", doubles="slope intercept", digits=4)
+def _huber_sql(steps: int) -> str:
+    """The robust lines after so many steps, each a common table expression of its own."""
+    parts = [
+        "h AS (SELECT date, y_true AS y, y_pred AS x FROM predictions WHERE y_true IS NOT NULL AND y_pred IS NOT NULL)",
+        """l0 AS MATERIALIZED (SELECT date, regr_slope(y, x) AS a, regr_intercept(y, x) AS b, stddev_pop(y) AS s, count(*) AS n FROM h GROUP BY 1)""",
+    ]
+    for i in range(steps):
+        parts.append(
+            f"""l{i + 1} AS MATERIALIZED (SELECT date, a, (sy - a*sx)/sw AS b, greatest(sqrt(r2/greatest(n - out*1.8225::DOUBLE, 1)), 1e-9) AS s, n FROM (
+            SELECT *, (sw*sxy - sx*sy)/nullif(sw*sxx - sx*sx, 0) AS a FROM (
+            SELECT date, sum(w) AS sw, sum(w*x) AS sx, sum(w*y) AS sy, sum(w*x*x) AS sxx, sum(w*x*y) AS sxy, count(*) AS n,
+              sum((r > t)::INTEGER) AS out, sum(CASE WHEN r > t THEN 0 ELSE r*r END) AS r2 FROM (
+            SELECT *, CASE WHEN r > t THEN t/r ELSE 1 END AS w FROM (
+            SELECT h.date, x, y, abs(y - a*x - b) AS r, s*1.35::DOUBLE AS t FROM h JOIN l{i} USING (date))) GROUP BY 1)))"""
+        )
+    return f"""WITH {", ".join(parts)} SELECT date, n, CASE WHEN n >= 5 AND a IS NOT NULL THEN a ELSE 1 END AS slope,
+      CASE WHEN n >= 5 AND a IS NOT NULL THEN b ELSE 0 END AS intercept FROM l{steps}"""
+
+
+_LINES = _huber_sql(40)
+
+
+@query("daily_affine_fit", _LINES, doubles="slope intercept", digits=4)
 def _(lake):
     return calibrate.daily_affine_fit(lake.predictions())
 
 
-@query("daily_affine_apply", doubles="calibrated", digits=4)
+@query(
+    "daily_affine_apply",
+    f"SELECT event_id, coalesce(slope, 1)*y_pred + coalesce(intercept, 0) AS calibrated FROM predictions LEFT JOIN ({_LINES}) USING (date)",
+    doubles="calibrated",
+    digits=4,
+)
 def _(lake):
     p = lake.predictions()
     return calibrate.daily_affine_apply(p, calibrate.daily_affine_fit(p)).select("event_id", "calibrated")
