@@ -6,11 +6,14 @@ fits share should be cut from its lineage first (``session.cut_lineage``).
 
 from __future__ import annotations
 
+import math
+import random
+import warnings
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +21,7 @@ from ..functions.aqi import group_weights
 from ..session import cut_lineage
 from .assemble import fit_medians, median_impute
 from .calibrate import daily_affine_apply, daily_affine_fit, daily_offset_apply, daily_offset_fit
-from .evaluate import METRICS, evaluate_predictions
+from .evaluate import METRICS, cv_aggregate, evaluate_predictions
 from .splits import hash_bucket
 
 FEATURES_COL = "_features"
@@ -59,6 +62,25 @@ class Fitted:
         return scored.select(*originals, F.col("prediction").alias(out))
 
 
+    def save(self, path: str) -> None:
+        """Writes the model, its indexers, medians and feature list below ``path``, which any session can read."""
+        spark = self.medians.sparkSession
+        self.model.write().overwrite().save(f"{path}/model")
+        for i, ix in enumerate(self.indexers):
+            ix.write().overwrite().save(f"{path}/indexer-{i}")
+        self.medians.write.mode("overwrite").parquet(f"{path}/medians")
+        about = [(type(self.model).__name__, len(self.indexers), list(self.features))]
+        spark.createDataFrame(about, "kind string, indexers int, features array<string>").coalesce(1).write.mode("overwrite").json(f"{path}/about")
+
+
+def load_fitted(spark, path: str) -> Fitted:
+    """The model that ``Fitted.save`` wrote."""
+    about = spark.read.schema("kind string, indexers int, features array<string>").json(f"{path}/about").first()
+    kind = {c.__name__: c for c in (GBTRegressionModel, RandomForestRegressionModel)}[about.kind]
+    indexers = tuple(StringIndexerModel.load(f"{path}/indexer-{i}") for i in range(about.indexers))
+    return Fitted(kind.load(f"{path}/model"), tuple(about.features), spark.read.parquet(f"{path}/medians"), indexers)
+
+
 def _training_table(train: DataFrame, features, target, weight, val, categories, medians) -> tuple[DataFrame, Fitted]:
     medians = cut_lineage(fit_medians(train, list(features))) if medians is None else medians
     indexers = tuple(
@@ -161,6 +183,29 @@ def _scores(predicted: DataFrame, target: str, **labels) -> DataFrame:
     return cut_lineage(table)
 
 
+#: What the random search draws from.
+SEARCH_SPACE = {
+    "depth": (4, 5, 6, 8, 10),
+    "step": (0.01, 0.02, 0.05, 0.1, 0.2),
+    "subsample": (0.5, 0.6, 0.7, 0.8, 0.9, 1.0),
+    "rounds": (20, 50, 100, 200),
+}
+
+
+def sample_params(n: int, space: Mapping[str, Sequence] = SEARCH_SPACE, seed: int = 42, **fixed) -> list[TreeParams]:
+    """Up to ``n`` different settings drawn from a grid without replacement."""
+    names = list(space)
+    total = math.prod(len(v) for v in space.values())
+    out = []
+    for code in random.Random(seed).sample(range(total), min(n, total)):
+        drawn = {}
+        for name in names:
+            code, at = divmod(code, len(space[name]))
+            drawn[name] = space[name][at]
+        out.append(TreeParams(**{**drawn, **fixed}))
+    return out
+
+
 def random_search(
     rows: DataFrame,
     features: Sequence[str],
@@ -181,8 +226,15 @@ def random_search(
 def compare_models(
     train: DataFrame, test: DataFrame, trainers: Mapping[str, Callable[[DataFrame], Fitted]], target: str = "pm25"
 ) -> DataFrame:
-    """Several estimators on the same data, ranked by MAE."""
-    tables = [_scores(fit(train).predict(test), target, model=name) for name, fit in trainers.items()]
+    """Several estimators on the same data, ranked by MAE; one that fails comes last, without metrics."""
+    tables = []
+    for name, fit in trainers.items():
+        try:
+            tables.append(_scores(fit(train).predict(test), target, model=name))
+        except Exception as problem:  # whatever a foreign estimator raises
+            warnings.warn(f"{name} failed: {problem}", stacklevel=2)
+            empty = evaluate_predictions(test.where("false").withColumn("y_pred", F.lit(0.0)), y=target).select(*METRICS)
+            tables.append(empty.select(*[F.lit(None).cast(t).alias(c) for c, t in empty.dtypes]).withColumn("model", F.lit(name)))
     return _union(tables).orderBy(F.asc_nulls_last("mae"), "model")
 
 
@@ -431,6 +483,20 @@ def holdout_eval(
     return _union(tables)
 
 
+def yearly_rolling_cv(
+    rows: DataFrame, features: Sequence[str], years: Sequence[int], target: str = "pm25", params: TreeParams = TreeParams(), date: str = "date"
+) -> tuple[DataFrame, DataFrame]:
+    """A fit on all earlier years for each validation year, its metrics per fold, and their mean and deviation.
+
+    Years without rows, or without earlier ones, are skipped.
+    """
+    present = {r.y for r in rows.where(F.col(target).isNotNull()).select(F.year(date).alias("y")).distinct().collect()}
+    usable = [y for y in years if y in present and min(present) < y]
+    folds = [(str(y), F.year(date) < y, F.year(date) == y) for y in usable]
+    metrics = holdout_eval(rows, folds, features, target, params=params)
+    return metrics, cv_aggregate(metrics, [c for c in METRICS if c != "n_predictions"])
+
+
 def score_grid(model: Fitted, cells: DataFrame, inside: Column, out: str = "pm25") -> DataFrame:
     """Predictions for all cells of a date range in one job; outside NULL, never below zero."""
     scored = model.predict(cells, "_p")

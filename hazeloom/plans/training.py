@@ -8,7 +8,7 @@ from ..constants import SEASONS
 from ..operators import models, spatial, splits
 from ..operators.models import TreeParams
 from ..operators.temporal import target_lags
-from ..session import cut_lineage
+from ..session import cut_lineage, scratch_path
 from .joins import CUBE_LAT, CUBE_LON
 from .registry import query
 
@@ -70,7 +70,19 @@ def _(lake):
 def _(lake):
     rows = _rows(lake)
     folds = [(F.col("date") < d, F.col("date").between(d, e)) for d, e in (("2024-01-11", "2024-01-20"), ("2024-01-21", "2024-01-30"))]
-    return models.random_search(rows, FEATURES, folds, [SMALL, TreeParams(rounds=3, depth=2, step=0.2)])
+    candidates = models.sample_params(3, {"depth": (2, 3, 4), "step": (0.1, 0.2, 0.3)}, rounds=3)
+    return models.random_search(rows, FEATURES, folds, candidates)
+
+
+@query(
+    "yearly_rolling_cv",
+    """SELECT year(date)::VARCHAR AS fold, count(*) AS n_predictions FROM yearly
+      WHERE year(date) > (SELECT min(year(date)) FROM yearly) AND year(date) BETWEEN 1996 AND 2000 GROUP BY 1""",
+)
+def _(lake):
+    days = lake.yearly().withColumns({"month": F.month("date").cast("double"), "weekday": F.dayofweek("date").cast("double")})
+    metrics, _summary = models.yearly_rolling_cv(cut_lineage(days), ["month", "weekday"], range(1996, 2001), params=SMALL)
+    return metrics.select("fold", "n_predictions")
 
 
 @query("compare_models")
@@ -151,12 +163,19 @@ def _(lake):
     return models.holdout_eval(rows, folds, FEATURES, params=SMALL)
 
 
+def blocks_of(rows):
+    """The (province, fold) pairs to hold out: two per province."""
+    return rows.where("fold IS NOT NULL AND province IS NOT NULL").select("province", "fold").distinct().collect()
+
+
 @query("spatial_block_eval")
 def _(lake):
     blocks = splits.spatial_block_folds(lake.stations(), 2).select("sensor_id", "fold")
     rows = cut_lineage(_rows(lake).join(blocks, "sensor_id"))
-    asia = F.col("province") == "ASIA"
-    folds = [(f"ASIA block {i}", ~(asia & (F.col("fold") == i)), asia & (F.col("fold") == i)) for i in range(2)]
+    folds = []
+    for name, i in sorted(tuple(r) for r in blocks_of(rows)):
+        held = F.coalesce((F.col("province") == name) & (F.col("fold") == i), F.lit(False))
+        folds.append((f"{name} block {i}", ~held, held))
     return models.holdout_eval(rows, folds, FEATURES, params=SMALL)
 
 
@@ -171,7 +190,9 @@ def _(lake):
 
 @query("score_grid")
 def _(lake):
-    fitted = models.train_gbt(_rows(lake), FEATURES, params=SMALL)
+    path = scratch_path(lake.spark, "model")
+    models.train_gbt(_rows(lake), FEATURES, params=SMALL).save(path)
+    fitted = models.load_fitted(lake.spark, path)
     e = F.col("event_id")
     cells = (
         lake.met_readings()

@@ -392,3 +392,34 @@ def test_master_build_and_yearly_training(spark, folder):
     assert {r.scope for r in report.metrics.collect()} == {"overall", "month", "season"}
     skill = report.skill.first()
     assert skill.mae > 0 and skill.mae_climatology > 0
+
+
+def test_saved_models_predict_the_same(spark, folder):
+    lake = Lake(spark, folder)
+    rows = lake.met_daily().join(lake.station_daily(), ["sensor_id", "date"]).join(lake.stations(), "sensor_id")
+    params = models.TreeParams(rounds=2, depth=2)
+    for i, fitted in enumerate(
+        [models.train_gbt(rows, ["WS10", "RH"], categories=["province"], params=params), models.train_forest(rows, ["WS10", "RH"], trees=2, depth=2)]
+    ):
+        path = scratch_path(spark, f"saved{i}")
+        fitted.save(path)
+        loaded = models.load_fitted(spark, path)
+        assert loaded is not fitted and loaded.features == fitted.features
+        assert loaded.predict(rows).exceptAll(fitted.predict(rows)).count() == 0
+
+
+def test_sampled_parameters_and_failing_models(spark, folder):
+    drawn = models.sample_params(8, seed=3)
+    assert len(set(drawn)) == 8 and drawn == models.sample_params(8, seed=3)
+    assert len(models.sample_params(99, {"depth": (2, 3)}, rounds=5)) == 2
+    lake = Lake(spark, folder)
+    rows = lake.met_daily().join(lake.station_daily(), ["sensor_id", "date"])
+
+    def broken(_):
+        raise ValueError("no such library")
+
+    params = models.TreeParams(rounds=2, depth=2)
+    good = lambda d: models.train_gbt(d, ["WS10"], params=params)
+    with pytest.warns(UserWarning, match="no such library"):
+        ranked = models.compare_models(rows, rows, {"broken": broken, "good": good}).collect()
+    assert [r.model for r in ranked] == ["good", "broken"] and ranked[1].mae is None
