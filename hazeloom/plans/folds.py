@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import models, splits
+from ..operators import splits
 from .registry import query
 
 
