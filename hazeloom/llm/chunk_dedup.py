@@ -13,10 +13,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .common import fresh
 
@@ -25,6 +25,9 @@ WINDOW = 16
 BLANKS, OTHERS = 5, 2048
 LONGEST = 8000
 START_BITS, LENGTH_BITS = 31, 13
+#: Rows that a task has in hand at a time.
+SLICE_ROWS = 500
+RESULT = StructType().add("text", "string").add("n_runs", "integer").add("n_words", "long").add("n_bytes", "long")
 
 
 def _gear() -> np.ndarray:
@@ -78,9 +81,9 @@ def _chunks(rows: DataFrame) -> DataFrame:
         digest_of = xxhash.xxh3_64_intdigest
         for batch in batches:
             texts, ids, hashes = batch.column("text"), batch.column("id"), batch.column("hash").to_numpy(zero_copy_only=False)
-            for first in range(0, len(batch), 500):
+            for first in range(0, len(batch), SLICE_ROWS):
                 digests, ats, sizes = [], [], []
-                for i in range(first, min(first + 500, len(batch))):
+                for i in range(first, min(first + SLICE_ROWS, len(batch))):
                     raw = texts[i].as_buffer().to_pybytes()
                     cuts = cut_points(np.frombuffer(raw, np.uint8))
                     starts = np.concatenate([[0], cuts[:-1]]).astype(np.int64)
@@ -146,10 +149,19 @@ def without_repeats(df: DataFrame, key: str, text: str, result: str = "dedup", m
     )
     repeats = repeats.groupBy(i, h).agg(F.collect_list("at").alias(ats))
 
-    @F.pandas_udf("text string, n_runs int, n_words bigint, n_bytes bigint")
-    def cut(texts: pd.Series, places: pd.Series) -> pd.DataFrame:
-        done = [(None, 0, 0, 0) if t is None else _cut(t, a, min_words) for t, a in zip(texts, places)]
-        return pd.DataFrame(done, columns=["text", "n_runs", "n_words", "n_bytes"])
+    names = df.columns
 
-    joined = df.withColumns({i: ident, h: text_hash}).join(repeats, [i, h], "left")
-    return joined.select(*df.columns, cut(F.col(text), F.col(ats)).alias(result))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fields = [("text", pa.string()), ("n_runs", pa.int32()), ("n_words", pa.int64()), ("n_bytes", pa.int64())]
+        for batch in batches:
+            for first in range(0, len(batch), SLICE_ROWS):
+                part = batch.slice(first, SLICE_ROWS)
+                texts, places = part.column(text).to_pylist(), part.column(ats).to_pylist()
+                done = [(None, 0, 0, 0) if t is None else _cut(t, a, min_words) for t, a in zip(texts, places)]
+                columns = [pa.array(c, kind) for c, (_, kind) in zip(zip(*done), fields)]
+                taken = pa.StructArray.from_arrays(columns, [f for f, _ in fields])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], taken], [*names, result])
+
+    joined = df.withColumns({i: ident, h: text_hash}).join(repeats, [i, h], "left").select(*names, ats)
+    # the struct is made once, whatever is asked of it
+    return joined.mapInArrow(cut, StructType([*df.schema.fields, StructField(result, RESULT)]))

@@ -29,8 +29,8 @@ SPACE_MARK = "▁"
 THETA = 5e-4
 #: Pieces without a score of their own (runs of blanks) have one below this; they weigh as the rarest piece.
 UNSCORED = -1e8
-MOST_EDGES = 2_500_000
-BLOCK_CHARS = 500_000
+MOST_EDGES = 1_000_000
+BLOCK_CHARS = 250_000
 
 
 def _mix(z: np.ndarray) -> np.ndarray:
