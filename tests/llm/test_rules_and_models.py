@@ -6,9 +6,6 @@ from pyspark.sql import functions as F
 from hazeloom.llm import license_scan, quality_model, url_rules
 from hazeloom.llm.queries import URL_RULES
 
-from ..compare import duck
-from ..compare import sql_result
-
 
 @pytest.mark.parametrize(
     "url,host,path,rule,verdict",
@@ -78,7 +75,6 @@ def test_fold_is_crc32(spark):
     ids = list(range(50))
     got = spark.createDataFrame([(i,) for i in ids], "i bigint").select(quality_model.fold(F.col("i")).alias("f")).collect()
     assert [r.f for r in got] == [zlib.crc32(str(i).encode()) % 5 for i in ids]
-    assert duck("/root/testdata/sf0.001") and sql_result
 
 
 def longest_common(a, b):
@@ -118,7 +114,7 @@ def test_licenses_with_edits(spark):
         assert longest_common(wanted, own) - 3 <= hits[0].matched_words <= longest_common(wanted, own)
         assert hits[0].coverage == pytest.approx(hits[0].matched_words / len(wanted))
         span = texts[i][hits[0].start_char : hits[0].end_char]
-        assert len(span) >= 0.85 * len(text) - 12 and span.split()[3:-3][:5] == text.split()[text.split().index(span.split()[3]) :][:5] if len(span.split()) > 20 else span
+        assert len(span) >= 0.85 * len(text) - 12 and span in text
 
 
 def test_licenses_of_odd_rows(spark, odd_docs, no_docs):
