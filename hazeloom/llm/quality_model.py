@@ -32,6 +32,7 @@ VOCABULARY, DIMENSION, NONZERO, NEIGHBOURS = 8192, 64, 6, 2
 WIDTH = 2 * DIMENSION + 3
 HIDDEN, EPOCHS, RATE, BATCH = 32, 40, 0.003, 128
 SAMPLE_ROWS = 20_000
+TASKS = 8
 SEED = 5
 DIGIT = re.compile(r"\d+")
 
@@ -154,8 +155,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, sam
     known = labels.where(F.col(label).isin(0, 1) & (fold(F.col(key)) != 0)).groupBy(F.col(key).cast("long").alias("id"))
     known = known.agg(F.min(label).alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     texts = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    sample = texts.join(known, "id").withColumn("train", fold(F.col("id")) != 1)
-    sample = stored(sample.repartition(8, "id"), "sample")
+    # at most sample_rows pairs of numbers are broadcast
+    sample = texts.join(F.broadcast(known), "id").withColumn("train", fold(F.col("id")) != 1)
+    sample = stored(sample, "sample")
     train = sample.where("train").select("text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,10 +183,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, sam
                 for gap in range(1, NEIGHBOURS + 1):
                     np.add.at(total, rows[:-gap], index[rows[gap:]])
                     np.add.at(total, rows[gap:], index[rows[:-gap]])
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
+        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.int32).tobytes()], pa.binary())], ["total"])
 
-    parts = train.mapInArrow(context, "total binary").collect()  # one matrix of fixed size for each of 8 partitions
-    total = sum(np.frombuffer(r.total, np.int64).reshape(-1, DIMENSION) for r in parts).astype(float)
+    # one matrix of fixed size for each of at most TASKS tasks, whatever the number of partitions
+    parts = train.coalesce(TASKS).mapInArrow(context, "total binary").collect()
+    total = sum(np.frombuffer(r.total, np.int32).astype(np.int64).reshape(-1, DIMENSION) for r in parts).astype(float)
     total += index_vectors([*vocabulary, "\x02"])  # a token without neighbours is still itself
     vectors = total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
     model = Model(vocabulary, vectors, [], np.zeros(1), np.ones(1))
@@ -193,13 +196,14 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, sam
         lookup = Tokens(vocabulary)
         for batch in batches:
             found = model.features(batch.column("text").to_pylist(), lookup)
-            flat = pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), WIDTH).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), batch.column("train"), flat], ["id", "y", "train", "x"])
-
-    rows = sample.mapInArrow(features, "id bigint, y int, train boolean, x array<double>").collect()
-    rows = sorted(rows, key=lambda r: (r.id, r.x))
-    x, y = np.array([r.x for r in rows]).reshape(-1, WIDTH), np.array([r.y for r in rows], float)
-    use = np.array([r.train for r in rows], bool)
+            ids, y, use = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("id", "y", "train"))
+            yield pa.RecordBatch.from_arrays([pa.array([np.column_stack([ids, y, use, found]).tobytes()], pa.binary())], ["rows"])
+
+    # sample_rows rows of numbers, as they are in memory
+    blocks = [np.frombuffer(r.rows).reshape(-1, WIDTH + 3) for r in sample.mapInArrow(features, "rows binary").collect()]
+    rows = np.concatenate(blocks) if blocks else np.empty((0, WIDTH + 3))
+    rows = rows[np.lexsort(rows.T[::-1])]  # by id, then by all numbers
+    y, use, x = rows[:, 1], rows[:, 2] > 0, rows[:, 3:]
     model.center, model.scale = x[use].mean(axis=0), x[use].std(axis=0) + 1e-6
     model.layers = _network((x[use] - model.center) / model.scale, y[use])
     if (~use).any():
