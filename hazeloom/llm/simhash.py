@@ -10,6 +10,8 @@
    tree at once, so a dense group costs one search for most of its members, and a task emits one link per
    fingerprint to a member of its group, never all pairs.
 4. Connected components of these links.
+5. Where a similarity is asked for, fingerprints only propose: the distinct shingle sets of each component are
+   compared themselves, and components are formed again from the pairs that are similar enough.
 
 The trees are shuffled to the tasks that search them, shard by shard, not broadcast: fingerprints grow with the
 data and have no size bound. A shard of more than ``block_rows`` fingerprints is dealt into blocks, and each pair of
@@ -66,8 +68,18 @@ def _majority(h: np.ndarray) -> int:
     return int(np.packbits((2 * ones > len(h)).astype(np.uint8), bitorder="little").view("<i8")[0])
 
 
-def fingerprint(text: Column, words: int = 3, bits: int = 64) -> Column:
-    """array<bigint> of bits / 64 words; a text that is null or has no word gives zero."""
+def _set_name(shingles: np.ndarray) -> int:
+    """64 bits that name a set of distinct sorted shingle hashes; the empty set is zero."""
+    import xxhash
+
+    return int(np.array(xxhash.xxh64_intdigest(shingles.tobytes(), SEED), np.uint64).view(np.int64)) if len(shingles) else 0
+
+
+def fingerprint(text: Column, words: int = 3, bits: int = 64, sets: bool = False) -> Column:
+    """array<bigint> of bits / 64 words; a text that is null or has no word gives zero.
+
+    With ``sets`` each distinct shingle counts once, and a last word names the set of shingles.
+    """
 
     @F.pandas_udf("array<bigint>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -75,7 +87,9 @@ def fingerprint(text: Column, words: int = 3, bits: int = 64) -> Column:
             out = []
             for t in texts:
                 h = _shingle_hashes(t, words)
-                out.append([_majority(h if i == 0 else _remix(h, i)) for i in range(bits // 64)] if len(h) else [0] * (bits // 64))
+                h = np.unique(h) if sets else h
+                found = [_majority(h if i == 0 else _remix(h, i)) for i in range(bits // 64)] if len(h) else [0] * (bits // 64)
+                out.append(found + [_set_name(h)] if sets else found)
             yield pd.Series(out)
 
     return run(F.coalesce(text, F.lit("")))
@@ -221,6 +235,75 @@ def _search(keyed: DataFrame, radius: int, words: int) -> DataFrame:
     return keyed.mapInArrow(run, "u bigint, v bigint")
 
 
+def similar_links(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (row, row) of pairs whose Jaccard similarity is reached; they join the same rows as all such pairs would."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    values, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    waiting, marked, left, right = np.arange(len(sets)), np.zeros(len(values), bool), [], []
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    own = [codes[a:b] for a, b in zip(at[:-1], at[1:])]
+    while len(waiting) > 1:
+        todo, waiting = [int(waiting[0])], waiting[1:]
+        rest, n = np.concatenate([own[i] for i in waiting]), sizes[waiting]
+        while todo and len(waiting):
+            row = todo.pop()
+            marked[own[row]] = True
+            shared = np.add.reduceat(marked[rest], np.cumsum(n) - n, dtype=np.int64)
+            marked[own[row]] = False
+            near = shared >= similarity * (n + sizes[row] - shared)
+            if near.any():
+                left.append(np.full(near.sum(), row))
+                right.append(waiting[near])
+                todo.extend(waiting[near].tolist())
+                rest, waiting, n = rest[np.repeat(~near, n)], waiting[~near], n[~near]
+    return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def _compare(dealt: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links (u, v) of similar texts in runs of equal (head, pair); the input is clustered and sorted by them."""
+
+    def links(held: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if len(held) > 1:
+            node = np.array(list(held), np.int64)
+            left, right = similar_links(list(held.values()), similarity)
+            if len(left):
+                yield pa.RecordBatch.from_arrays([pa.array(node[left]), pa.array(node[right])], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, {}
+        for batch in batches:
+            for head, pair, node, text in zip(*(batch.column(c).to_pylist() for c in ("head", "pair", "node", "text"))):
+                if (head, pair) != last:
+                    yield from links(held)
+                    last, held = (head, pair), {}
+                shingles = np.unique(_shingle_hashes(text or "", words))
+                if len(shingles) and _set_name(shingles) == node:  # else another text of a repeated key
+                    held[node] = shingles
+        yield from links(held)
+
+    return dealt.mapInArrow(run, "u bigint, v bigint")
+
+
+def _verified(links: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similarity: float, block_sets: int) -> DataFrame:
+    """Components (u, v) by similarity of shingle sets, inside the components ``links``; ``texts`` has key and text.
+
+    A component of more than ``block_sets`` sets is dealt into blocks, and each pair of blocks is compared by a task
+    of its own.
+    """
+    members = links.select(F.col("u").alias("node"), F.col("v").alias("head"))
+    members = members.union(links.select("v", "v").distinct())
+    blocks = members.groupBy("head").agg(F.ceil(F.count("*") / block_sets).cast("int").alias("blocks"))
+    members = members.join(blocks, "head").join(nodes.select("node", F.col("low").alias("key")), "node")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    pairs = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda i: F.least(i.cast("long"), block) * F.col("blocks") + F.greatest(i.cast("long"), block),
+    )
+    dealt = members.join(texts, "key").select("head", "node", "text", F.explode(pairs).alias("pair"))
+    dealt = dealt.repartition("head", "pair").sortWithinPartitions("head", "pair")
+    return connected(_compare(dealt, words, similarity))
+
+
 def classes(
     df: DataFrame,
     key: str,
@@ -230,20 +313,27 @@ def classes(
     radius: int = 3,
     recall: float = 0.9,
     block_rows: int = 20_000,
+    similarity: float | None = None,
+    block_sets: int = 2_000,
 ) -> DataFrame:
     """Rows (key, prints, component) for every row of ``df``: the smallest key that is reachable over links.
 
     Fingerprints link at ``radius`` or fewer differing bits. ``recall`` matters only where bands would be too short
     for the radius: it is the chance that a pair at the very radius meets in a shard; closer pairs meet more surely.
+    With ``similarity`` they only propose pairs: those link whose sets of distinct shingles have that Jaccard similarity
+    or more, and ``prints`` gets a last word that names the set.
     ``key`` is an integer column. A null key takes part and gets its component, but is never the name of one unless
     all its class has no key: then the component is null. Repeated rows and keys get a row each.
     """
-    rows = df.select(F.col(key).cast("long").alias("key"), fingerprint(F.col(text), words, bits).alias("prints"))
+    rows = df.select(F.col(key).cast("long").alias("key"), fingerprint(F.col(text), words, bits, similarity is not None).alias("prints"))
     rows = stored(rows, "prints")
-    name = F.col("prints")[0] if bits == 64 else F.xxhash64("prints")
+    if similarity is not None:
+        name = F.col("prints")[bits // 64]
+    else:
+        name = F.col("prints")[0] if bits == 64 else F.xxhash64("prints")
     nodes = stored(rows.groupBy("prints").agg(F.min("key").alias("low")).withColumn("node", name), "nodes")
     n = nodes.count()
-    keyed = _keyed(nodes.select("node", "prints"), bit_tables(n, bits, radius, recall))
+    keyed = _keyed(nodes.select("node", F.slice("prints", 1, bits // 64).alias("prints")), bit_tables(n, bits, radius, recall))
 
     # shards beyond the bound are dealt into blocks, each pair of blocks to a task of its own
     crowded = stored(
@@ -264,6 +354,9 @@ def classes(
         )
     keyed = keyed.repartition("key", "pair").sortWithinPartitions("key", "pair")
     links = connected(_search(keyed, radius, bits // 64))
+    if similarity is not None:
+        texts = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+        links = _verified(links, nodes, texts, words, similarity, block_sets)
 
     # names of components: the smallest key among their fingerprints
     member = nodes.join(links.select(F.col("u").alias("node"), F.col("v").alias("head")), "node", "left")
@@ -274,17 +367,25 @@ def classes(
 
 
 def one_of_each(
-    df: DataFrame, key: str, text: str, words: int = 5, bits: int = 192, radius: int = 45, recall: float = 0.8
+    df: DataFrame,
+    key: str,
+    text: str,
+    words: int = 5,
+    bits: int = 192,
+    radius: int = 45,
+    recall: float = 0.8,
+    similarity: float = 0.8,
 ) -> DataFrame:
     """The row with the smallest key of each class; other rows go. Columns and their order stay.
 
-    The default radius is a cosine of 0.74 between the shingle counts, which leaves room for texts that share four
-    fifths of their shingles; with 192 bits, texts that have nothing in common do not come that near. Rows without a
+    A class is a chain of texts, each with a Jaccard similarity of ``similarity`` or more to the next between their sets
+    of distinct shingles. The default radius is a cosine of 0.74 between the sets; texts that share four fifths of their
+    shingles have 0.89, so they are well within it, and what else is within it is compared and stays. Rows without a
     key stay, as nothing says which of them to keep. Of several rows with the kept key and the same text one stays.
     """
     (k,) = fresh(df, "_key")
     keyed = df.where(F.col(key).isNotNull())
-    found = classes(keyed, key, text, words, bits, radius, recall)
+    found = classes(keyed, key, text, words, bits, radius, recall, similarity=similarity)
     kept = found.where("key = component").select(F.col("key").alias(k)).distinct()
     first = keyed.withColumn(k, F.col(key).cast("long")).join(kept, k, "left_semi").dropDuplicates([k, text])
     return first.select(*df.columns).unionByName(df.where(F.col(key).isNull()).select(*df.columns))

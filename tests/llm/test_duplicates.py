@@ -73,6 +73,28 @@ def test_one_of_each_group_of_near_copies(spark):
     assert lone <= kept and pairs
 
 
+def shared_passage_texts():
+    """Texts of their own words around one passage (similarity 0.6 to 0.7), and a chain whose neighbours alone have 0.8."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(8))
+    passage = [word() for _ in range(160)]
+    texts = [" ".join([word() for _ in range(20)] + passage + [word() for _ in range(20)]) for _ in range(30)]
+    chain = [word() for _ in range(500)]
+    return texts + [" ".join(chain[i * 20 : i * 20 + 300]) for i in range(8)]
+
+
+def test_links_are_checked_by_similarity(spark):
+    texts = shared_passage_texts()
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    expected = groups(range(len(texts)), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    assert sorted(set(expected.values())) == list(range(31))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r.doc_id for r in simhash.one_of_each(df, "doc_id", "text").collect()} == set(range(31))
+    for block_sets in (2_000, 3):  # three: every component is dealt into blocks
+        found = simhash.classes(df, "doc_id", "text", 5, 192, 45, 0.99, similarity=0.8, block_sets=block_sets)
+        assert {r.key: r.component for r in found.collect()} == expected
+
+
 def test_tree_search_is_complete():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, (40, 1), dtype=np.int64)
