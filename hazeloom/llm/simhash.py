@@ -4,7 +4,8 @@
    node, so copies cost nothing further.
 2. Shards. With a small radius the bits are cut into radius + 1 bands; two fingerprints within the radius agree on
    a whole band, so a shard of equal bands loses no link. With a wide radius a shard is a set of equal sampled bits,
-   and the number of samples follows from the wanted chance that a pair at the very radius shares a shard.
+   and the number of samples follows from the wanted chance that a pair at the very radius, or a pair of the wanted
+   similarity, shares a shard.
 3. In each shard a BK-tree (children keyed by their distance to the parent, leaves of a few fingerprints) answers
    which fingerprints lie within the radius, following only edges within it. What was found is taken out of the
    tree at once, so a dense group costs one search for most of its members, and a task emits one link per
@@ -34,6 +35,7 @@ from .common import fresh, stored
 from .components import connected
 
 LEAF = 96
+MATRIX = 384
 SEED = 42
 
 
@@ -141,16 +143,18 @@ class BKTree:
 
 def shard_links(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (row, row) that join the same fingerprints as all pairs within the radius would."""
-    n = len(prints)
-    if n <= LEAF:  # one leaf
+    n, waiting, left, right = len(prints), np.ones(len(prints), bool), [], []
+    if n <= MATRIX:  # all distances at once, no tree
         near = distances(prints[:, None], prints[None]) <= radius
-        if near.sum() == n:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-    tree, waiting, left, right = BKTree(prints), np.ones(n, bool), [], []
-    for start in range(n):
+        starts = np.flatnonzero(near.sum(axis=1) > 1).tolist()
+        take = lambda row: [np.flatnonzero(near[row] & waiting)]
+    else:
+        tree, starts = BKTree(prints), range(n)
+        take = lambda row: tree.take(prints[row], radius)
+    for start in starts:
         todo = [start] if waiting[start] else []
-        while todo and tree.live:
-            for rows in tree.take(prints[todo.pop()], radius):
+        while todo:
+            for rows in take(todo.pop()):
                 rows = rows[rows != start]
                 waiting[rows] = False
                 todo.extend(rows.tolist())
@@ -159,12 +163,13 @@ def shard_links(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray
     return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
-def bit_tables(n: int, bits: int, radius: int, recall: float) -> list[np.ndarray]:
+def bit_tables(n: int, bits: int, radius: int, recall: float, similarity: float | None = None) -> list[np.ndarray]:
     """Bit positions per table; fingerprints that agree on all positions of a table share a shard.
 
     Exact where up to 64 tables do it: of m equal pieces a pair within the radius agrees on m - radius at least, so
     every choice of m - radius pieces is a table, and m grows with ``n`` until the shards are small. Else seeded
-    samples, as many as the recall asks for.
+    samples for shards of some 256, as many as the recall asks for: of pairs at the very radius, or with ``similarity``
+    of pairs with that Jaccard similarity, whose distances are spread as the sum of independent bits.
     """
     wanted = max(8, math.ceil(math.log2(max(n, 2) / 32)))
     for m in range(radius + 1, bits + 1):
@@ -173,9 +178,18 @@ def bit_tables(n: int, bits: int, radius: int, recall: float) -> list[np.ndarray
         pieces = np.array_split(np.arange(bits), m)
         if (m - radius) * (bits // m) >= wanted:
             return [np.concatenate([pieces[i] for i in c]) for c in itertools.combinations(range(m), m - radius)]
-    share = math.prod((bits - radius - i) / (bits - i) for i in range(wanted))
+    wanted = max(8, math.ceil(math.log2(max(n, 2) / 256)))
+    share = lambda d: math.prod((bits - d - i) / (bits - i) for i in range(wanted))
+    if similarity is None:
+        spread = {radius: 1.0}
+    else:
+        p = math.acos(2 * similarity / (1 + similarity)) / math.pi  # that a bit differs, for sets of one size
+        spread = {d: math.comb(bits, d) * p**d * (1 - p) ** (bits - d) for d in range(radius + 1)}
+    count = 1
+    while sum(w * (1 - share(d)) ** count for d, w in spread.items()) > 1 - recall:
+        count += 1
     rng = np.random.default_rng(SEED)
-    return [rng.permutation(bits)[:wanted] for _ in range(math.ceil(math.log(1 - recall) / math.log(1 - share)))]
+    return [rng.permutation(bits)[:wanted] for _ in range(count)]
 
 
 def _keyed(nodes: DataFrame, tables: list[np.ndarray]) -> DataFrame:
@@ -320,7 +334,7 @@ def classes(
 
     Fingerprints link at ``radius`` or fewer differing bits. ``recall`` matters only where bands would be too short
     for the radius: it is the chance that a pair at the very radius meets in a shard; closer pairs meet more surely.
-    With ``similarity`` they only propose pairs: those link whose sets of distinct shingles have that Jaccard similarity
+    With ``similarity`` it is the chance for a pair of that similarity, and fingerprints only propose: pairs link whose sets of distinct shingles have that Jaccard similarity
     or more, and ``prints`` gets a last word that names the set.
     ``key`` is an integer column. A null key takes part and gets its component, but is never the name of one unless
     all its class has no key: then the component is null. Repeated rows and keys get a row each.
@@ -333,7 +347,7 @@ def classes(
         name = F.col("prints")[0] if bits == 64 else F.xxhash64("prints")
     nodes = stored(rows.groupBy("prints").agg(F.min("key").alias("low")).withColumn("node", name), "nodes")
     n = nodes.count()
-    keyed = _keyed(nodes.select("node", F.slice("prints", 1, bits // 64).alias("prints")), bit_tables(n, bits, radius, recall))
+    keyed = _keyed(nodes.select("node", F.slice("prints", 1, bits // 64).alias("prints")), bit_tables(n, bits, radius, recall, similarity))
 
     # shards beyond the bound are dealt into blocks, each pair of blocks to a task of its own
     crowded = stored(
@@ -373,7 +387,7 @@ def one_of_each(
     words: int = 5,
     bits: int = 192,
     radius: int = 45,
-    recall: float = 0.8,
+    recall: float = 0.999,
     similarity: float = 0.8,
 ) -> DataFrame:
     """The row with the smallest key of each class; other rows go. Columns and their order stay.

@@ -1,3 +1,4 @@
+import inspect
 import random
 
 import numpy as np
@@ -124,6 +125,19 @@ def test_tables_of_bits():
         assert any(not flipped & set(t.tolist()) for t in finer)
 
 
+def test_sampled_tables_miss_few_pairs_of_the_similarity():
+    rng = np.random.default_rng(6)
+    on = lambda x: np.unpackbits(np.array([simhash._majority(simhash._remix(x, i)) for i in (1, 2, 3)]).view(np.uint8), bitorder="little")
+    pairs = []
+    for _ in range(400):  # 160 of 200 shingles are shared
+        h = rng.integers(0, 2**63, 200).astype(np.uint64)
+        pairs.append(on(h[:180]) == on(h[20:]))
+    defaults = dict(zip(list(inspect.signature(simhash.one_of_each).parameters)[5:], simhash.one_of_each.__defaults__[2:]))
+    for n in (7_631, 10**7):
+        tables = simhash.bit_tables(n, 192, **defaults)
+        assert sum(not any(same[t].all() for t in tables) for same in pairs) <= 2
+
+
 def test_components_of_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
     got = {r.u: r.v for r in components.connected(spark.createDataFrame(chain, "u bigint, v bigint")).collect()}
