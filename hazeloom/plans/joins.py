@@ -545,7 +545,6 @@ def stations_pairs(lake, season):
 def _(lake):
     daily = lake.station_daily().join(lake.stations(), "sensor_id")
     daily = daily.withColumn("provider", F.when(F.col("n") > 3, "lowcost").otherwise(F.col("provider")))
-    shared = daily.groupBy(F.round("lat", 5).alias("lat"), F.round("lon", 5).alias("lon")).agg(F.countDistinct("sensor_id").alias("k")).where("k = 1")
-    return stations.provider_dimension(daily).join(shared.drop("k"), ["lat", "lon"])
+    return stations.provider_dimension(daily)
 
 

@@ -1,9 +1,13 @@
 """Every registered query against its SQL, and the ones without SQL for rows."""
 
+import datetime as dt
+
 import pytest
 
 import __spark_entry__ as entry
 
+from hazeloom.plans import REGISTRY
+
 from .compare import differences, duck, spark_result, sql_result
 
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
@@ -30,5 +34,19 @@ def test_flagship(spark):
     assert rows
 
 
+def test_provider_dimension_keeps_shared_coordinates(spark, tmp_path):
+    at = dt.datetime(2024, 1, 1, 12)
+    repeat = 141 * 175  # users so far apart share a coordinate
+    users = [(1, at), (1 + repeat, at + dt.timedelta(days=1)), (5, at), (5 + repeat, at), (2, at)]
+    rows = [(i, u, t, "view", 1.0, None) for i, (u, t) in enumerate(users)]
+    types = spark.read.parquet("/root/testdata/sf0.001/events.parquet").schema
+    made = {"event_id": 0, "user_id": 1, "ts": 2, "event_type": 3, "value": 4}
+    events = spark.createDataFrame([tuple(r[made.get(f.name, 5)] for f in types) for r in rows], types)
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    spark.read.parquet("/root/testdata/sf0.001/region.parquet").write.parquet(str(tmp_path / "region.parquet"))
+    got = [r.provider for r in REGISTRY["provider_dimension"].run(spark, str(tmp_path)).collect()]
+    assert sorted(got) == ["lowcost", "regulatory", "regulatory"]  # the later day's; of one day's the greater name; the lone one's
+
+
 def test_sql_only_for_registered():
     assert set(SQL) <= set(QUERIES)
