@@ -197,7 +197,8 @@ class Lattices:
         while len(active):
             draw = _mix(stream[active] + np.uint64((len(steps) + 1) * 0xD1B54A32D192ED03 % 2**64))
             draw = (draw >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            edge = np.searchsorted(self.reach, state[active] + draw, side="right")
+            at = np.minimum(state[active] + draw, np.nextafter(state[active] + 1.0, 0.0))  # rounding stays in the state
+            edge = np.searchsorted(self.reach, at, side="right")
             steps.append((active, self.symbol[edge]))
             state[active] = self.origin[edge]
             active = active[state[active] != first[active]]

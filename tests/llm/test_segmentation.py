@@ -57,6 +57,15 @@ def test_rows_are_reproducible_in_any_batch(spark):
     assert all(r.text == r.t for r in back.collect())
 
 
+def test_draws_next_to_one_stay_in_their_state(monkeypatch):
+    table = segmentation.Lattices(TABLE.pieces, 5e-4)
+    table.sample([f"word{i} other thing" for i in range(200)], np.arange(200, dtype=np.uint64))
+    monkeypatch.setattr(segmentation, "_mix", lambda x: np.full(len(x), 2**64 - 1, np.uint64))
+    for text in ("word7 other", "thing word150 other", "these new things"):
+        (ids,) = table.sample([text], np.array([7], np.uint64))
+        assert table.pieces.decode(ids.tolist()) == text
+
+
 def test_forgetting_changes_nothing(monkeypatch):
     texts, seeds = [f"word{i} other{i % 7} thing" for i in range(60)], np.arange(60, dtype=np.uint64)
     whole = segmentation.Lattices(TABLE.pieces, 5e-4).sample(texts, seeds)
