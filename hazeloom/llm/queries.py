@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 
 from . import (
     chunk_dedup,
+    divergence,
     license_scan,
     mixing,
     quality_lines,
     quality_model,
     segmentation,
     simhash,
+    table_kmeans,
     token_counts,
     url_rules,
     vptree,
@@ -198,6 +200,90 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("key", "doc_id").withColumnRenamed("template", "license")
 
 
+def op11_table_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table_kmeans.clusters(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    digest = table_kmeans.centroid_digest(F.col("centroid")).alias("centroid_sha256")
+    return found.select(F.col("key").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", digest)
+
+
+OP11_ROUND = """,
+n@i@ AS MATERIALIZED (
+    SELECT r, arg_min(c, struct_pack(d := d, c := c)) AS c, min(d) AS d
+    FROM (SELECT r, c, list_sum([(q[i] - m[i]) * (q[i] - m[i]) FOR i IN range(1, 65)])::BIGINT AS d FROM kept, c@i@)
+    GROUP BY r
+)"""
+OP11_MOVE = """,
+c@j@ AS MATERIALIZED (
+    SELECT c, coalesce(new, m) AS m FROM c@i@ LEFT JOIN (
+        SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS new
+        FROM (SELECT c, i, sum(q[i])::BIGINT AS s, count(*) AS n FROM n@i@ JOIN kept USING (r), range(1, 65) AS t(i) GROUP BY c, i)
+        GROUP BY c
+    ) USING (c)
+)"""
+OP11_SQL = """
+WITH raw AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+kept AS MATERIALIZED (
+    SELECT r, vec_id, [floor(1024 * x)::BIGINT FOR x IN e] AS q FROM raw
+    WHERE len(e) = 64 AND len([x FOR x IN e IF x IS NULL OR NOT isfinite(x)]) = 0
+),
+c0 AS MATERIALIZED (
+    SELECT (row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, q) - 1)::INT AS c, q AS m
+    FROM kept QUALIFY c < 8
+)@ROUNDS@
+SELECT vec_id, c AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+    (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM n10 JOIN kept USING (r) JOIN c10 USING (c)
+""".replace(
+    "@ROUNDS@",
+    "".join(
+        (OP11_ROUND + (OP11_MOVE if i < 10 else "")).replace("@i@", str(i)).replace("@j@", str(i + 1)) for i in range(11)
+    ),
+)
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), "lang", "source", "text")
+
+
+OP12_SQL = """
+WITH d AS (
+    SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents
+),
+w AS (
+    SELECT r, lang, source, translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+    FROM (SELECT r, lang, source, unnest(terms) AS t FROM d)
+),
+kept AS MATERIALIZED (SELECT lang, term, count(*) AS n FROM w GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+cnt AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+gp AS MATERIALIZED (
+    SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+        1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (coalesce(t.total, 0) + v.v) AS p,
+        1 + 1000000000::HUGEINT * (k.n + 1) // (v.total + v.v) AS q
+    FROM g JOIN v USING (lang) JOIN kept k USING (lang)
+        LEFT JOIN cnt c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+        LEFT JOIN (SELECT lang, source, sum(n) AS total FROM cnt GROUP BY ALL) t ON t.lang = g.lang AND t.source = g.source
+),
+f AS (
+    SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+    FROM gp a JOIN gp b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+),
+parts AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value
+    FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+    UNION ALL
+    SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM gp WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value, rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INT AS rank FROM parts
+) WHERE part = 'pair' OR rank <= 200
+"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -211,7 +297,9 @@ QUERIES = {
         op8_token_counts,
         op9_quality_model,
         op10_license_scan,
+        op11_table_kmeans,
+        op12_divergence,
     )
 }
 #: The others draw at random, hash with functions that SQL lacks, or search approximately.
-ORACLE_SQL = {"op1_quality_lines": OP1_SQL, "op4_url_rules": OP4_SQL}
+ORACLE_SQL = {"op1_quality_lines": OP1_SQL, "op4_url_rules": OP4_SQL, "op11_table_kmeans": OP11_SQL, "op12_divergence": OP12_SQL}
