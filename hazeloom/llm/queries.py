@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import (
     chunk_dedup,
+    crf_language,
     divergence,
     license_scan,
     mixing,
@@ -284,6 +285,24 @@ SELECT lang, source, part, item, value, rank FROM (
 """
 
 
+def op13_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    field = crf_language.fit(docs, "doc_id", "text", "lang")
+    labelled = docs.select(
+        "doc_id",
+        F.coalesce(crf_language.fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"),
+        crf_language.language(F.col("text"), field).alias("found"),
+    )
+    return labelled.select(
+        "doc_id",
+        "held_out",
+        F.col("found.lang").alias("lang_pred"),
+        "found.score",
+        "found.n_words",
+        F.size("found.spans").cast("long").alias("n_spans"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -299,6 +318,7 @@ QUERIES = {
         op10_license_scan,
         op11_table_kmeans,
         op12_divergence,
+        op13_crf_language,
     )
 }
 #: The others draw at random, hash with functions that SQL lacks, or search approximately.
