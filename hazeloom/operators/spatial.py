@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..constants import GRID_COLS, GRID_LAT_MAX, GRID_LON_MIN, GRID_RES, GRID_ROWS, KM_PER_DEG_SPLAT
 from ..functions.geo import haversine_km
 from ..functions.ids import cell_id
+from .cells import places_in_cover, polygon_cover
 
 
 @dataclass(frozen=True)
@@ -230,41 +231,37 @@ def bilinear_raster_sample(
     )
 
 
-def point_in_polygon(
-    points: DataFrame, edges: DataFrame, key: str, lat: str = "lat", lon: str = "lon", band_degrees: float = 0.5
-) -> DataFrame:
+def point_in_polygon(points: DataFrame, edges: DataFrame, key: str, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Rows (key, poly_id, name) for every polygon that contains the point.
 
-    Edges are cut into latitude bands, so a point meets only the edges of its own band; the parity of
-    edge crossings to its east decides.
+    Distinct places meet the cell cover of the polygons (``cells``); points then take the answer of their place.
+    A point without a latitude or longitude is in no polygon.
     """
-    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
-    bands = F.sequence(F.floor(low / band_degrees), F.floor(high / band_degrees))
-    banded = edges.where(F.col("y1") != F.col("y2")).withColumn("_band", F.explode(bands))
-    pts = points.select(key, F.col(lat).alias("_y"), F.col(lon).alias("_x")).withColumn(
-        "_band", F.floor(F.col("_y") / band_degrees)
-    )
-    at = F.col("x1") + (F.col("x2") - F.col("x1")) * (F.col("_y") - F.col("y1")) / (F.col("y2") - F.col("y1"))
-    crosses = ((F.col("y1") > F.col("_y")) != (F.col("y2") > F.col("_y"))) & (F.col("_x") < at)
-    return (
-        pts.join(banded, "_band")
-        .where(crosses)
-        .groupBy(key, "poly_id", "name")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") % 2 == 1)
-        .select(key, "poly_id", "name")
-    )
+    places = points.select(F.col(lat).alias("_y"), F.col(lon).alias("_x")).where("_y IS NOT NULL AND _x IS NOT NULL")
+    found = places_in_cover(places.distinct(), polygon_cover(edges))
+    at = points.select(key, F.col(lat).alias("_y"), F.col(lon).alias("_x"))
+    return at.join(found, ["_y", "_x"]).select(key, "poly_id", "name")
 
 
-def province_join(points: DataFrame, edges: DataFrame, key: str = "sensor_id", out: str = "province", default: str = "Unknown"):
+def _with_place(points: DataFrame, edges: DataFrame, lat: str, lon: str, found: Column) -> DataFrame:
+    """``points`` with ``_p``, an aggregate over the polygons of each point's place."""
+    places = points.select(F.col(lat).alias("_y"), F.col(lon).alias("_x")).where("_y IS NOT NULL AND _x IS NOT NULL")
+    inside = places_in_cover(places.distinct(), polygon_cover(edges)).groupBy("_y", "_x").agg(found.alias("_p"))
+    return points.join(inside, (F.col(lat) == F.col("_y")) & (F.col(lon) == F.col("_x")), "left").drop("_y", "_x")
+
+
+def province_join(
+    points: DataFrame, edges: DataFrame, out: str = "province", default: str = "Unknown", lat: str = "lat", lon: str = "lon"
+) -> DataFrame:
     """Polygon name per point (lowest polygon number wins on overlaps), else the default."""
-    inside = point_in_polygon(points, edges, key).groupBy(key).agg(F.min_by("name", "poly_id").alias("_p"))
-    return points.join(inside, key, "left").withColumn(out, F.coalesce("_p", F.lit(default))).drop("_p")
+    placed = _with_place(points, edges, lat, lon, F.min_by("name", "poly_id"))
+    return placed.withColumn(out, F.coalesce("_p", F.lit(default))).drop("_p")
 
 
-def country_mask(cells: DataFrame, edges: DataFrame, key: str = "cell_id", out: str = "inside") -> DataFrame:
-    inside = point_in_polygon(cells, edges, key).select(key).distinct().withColumn("_in", F.lit(True))
-    return cells.join(inside, key, "left").withColumn(out, F.coalesce("_in", F.lit(False))).drop("_in")
+def country_mask(cells: DataFrame, edges: DataFrame, out: str = "inside", lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """Whether each point lies in any of the polygons."""
+    placed = _with_place(cells, edges, lat, lon, F.count(F.lit(1)))
+    return placed.withColumn(out, F.col("_p").isNotNull()).drop("_p")
 
 
 def lag1_prior(

@@ -416,7 +416,7 @@ def _(lake):
         (F.lit(37.3) - 14 * ((e * 7 % 1000) / F.lit(999.0))).alias("lat"),
         (F.lit(60.5) + F.lit(18.5) * ((e * 13 % 997) / F.lit(996.0))).alias("lon"),
     )
-    return spatial.country_mask(pts, lake.polygon_edges(), "event_id").select("event_id", "inside")
+    return spatial.country_mask(pts, lake.polygon_edges()).select("event_id", "inside")
 
 
 @query(

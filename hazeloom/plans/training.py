@@ -203,7 +203,7 @@ def _(lake):
         .withColumn("cell", F.concat_ws("_", F.col("iy").cast("string"), F.col("ix").cast("string")))
     )
     # the mask depends on the cell alone, so it is worked out once per cell, not per day
-    mask = spatial.country_mask(cells.select("cell", "lat", "lon").distinct(), lake.polygon_edges(), "cell")
+    mask = spatial.country_mask(cells.select("cell", "lat", "lon").distinct(), lake.polygon_edges())
     masked = cells.join(mask.select("cell", "inside"), "cell")
     return models.score_grid(fitted, masked, F.col("inside")).select("date", "iy", "ix", "pm25")
 
