@@ -16,6 +16,7 @@ from ..constants import GRID_COLS, GRID_LAT_MAX, GRID_LON_MIN, GRID_RES, GRID_RO
 from ..functions.geo import haversine_km
 from ..functions.ids import cell_id
 from .cells import places_in_cover, polygon_cover
+from .nearest import nearest_cells
 
 
 @dataclass(frozen=True)
@@ -77,47 +78,14 @@ def valid_cell_mask(cube: DataFrame, time: str, variables: Sequence[str]) -> Dat
     return cube.where(F.col(time) == first).where(known)
 
 
-def snap_to_valid(
-    points: DataFrame,
-    cells: DataFrame,
-    key: str = "sensor_id",
-    lat: str = "lat",
-    lon: str = "lon",
-    bucket_degrees: Sequence[float] = (1.5, 6.0, 24.0, 400.0),
-) -> DataFrame:
-    """Nearest valid cell of every point, in latitude and longitude scaled by the median latitude.
+def snap_to_valid(points: DataFrame, cells: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """Nearest valid cell of every point, in latitude and longitude scaled by the median latitude of the cells.
 
-    A point looks at its own and the eight surrounding buckets; a hit no farther than one bucket width
-    is final, everything else moves on to larger buckets, the last of which spans the globe.  ``cells``
-    has columns ``cell_lat`` and ``cell_lon``.
+    ``cells`` has columns ``cell_lat`` and ``cell_lon``. Points that share a place are searched once
+    (``nearest.nearest_cells``); a point without coordinates gets no cell.
     """
-    # percentile counts distinct values: as many as the grid has rows
-    middle = cells.agg(F.percentile("cell_lat", 0.5)).scalar()
-    scale = F.greatest(F.cos(F.radians(middle)), F.lit(1e-3))
-    pts = points.select(key, F.col(lat).alias("_y"), (F.col(lon) * scale).alias("_x"))
-    cel = cells.select("cell_lat", "cell_lon", F.col("cell_lat").alias("_cy"), (F.col("cell_lon") * scale).alias("_cx"))
-
-    state = pts.withColumn("_hit", F.lit(None).cast("struct<d2:double,cell_lat:double,cell_lon:double>"))
-    for i, width in enumerate(bucket_degrees):
-        final = i == len(bucket_degrees) - 1
-        nine = f"""transform(sequence(0, 8), i -> named_struct(
-            '_by', floor(_y / {width}D) + (i div 3) - 1, '_bx', floor(_x / {width}D) + (i % 3) - 1))"""
-        nowhere = "array(named_struct('_by', CAST(NULL AS BIGINT), '_bx', CAST(NULL AS BIGINT)))"
-        near = state.withColumn("_b", F.expr(f"explode(CASE WHEN _hit IS NULL THEN {nine} ELSE {nowhere} END)"))
-        bucketed = cel.select("*", F.floor(F.col("_cy") / width).alias("_by"), F.floor(F.col("_cx") / width).alias("_bx"))
-        d2 = F.pow(F.col("_cy") - F.col("_y"), 2) + F.pow(F.col("_cx") - F.col("_x"), 2)
-        # rounded, so that equally distant cells tie and the southern, then western one wins
-        candidate = F.when(d2.isNotNull(), F.struct(F.round(d2, 12).alias("d2"), "cell_lat", "cell_lon"))
-        # points already placed travel along unmatched, so the plan grows by one join per bucket size
-        best = (
-            near.select(key, "_y", "_x", "_hit", "_b.*")
-            .join(bucketed, ["_by", "_bx"], "left")
-            .groupBy(key, "_y", "_x")
-            .agg(F.min("_hit").alias("_hit"), F.min(candidate).alias("_c"))
-        )
-        accepted = F.col("_c") if final else F.when(F.sqrt("_c.d2") <= width, F.col("_c"))
-        state = best.select(key, "_y", "_x", F.coalesce("_hit", accepted).alias("_hit"))
-    out = points.join(state.select(key, "_hit.cell_lat", "_hit.cell_lon"), key, "left")
+    found = nearest_cells(points.select(F.col(lat).alias("_y"), F.col(lon).alias("_x")), cells)
+    out = points.join(found, (F.col(lat) == F.col("_y")) & (F.col(lon) == F.col("_x")), "left").drop("_y", "_x")
     distance = haversine_km(F.col(lat), F.col(lon), F.col("cell_lat"), F.col("cell_lon"))
     return out.withColumn("snap_dist_km", distance)
 
