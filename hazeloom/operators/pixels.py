@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from ..constants import AOD_VALID_RANGE, MIN_VALID_PIXELS
 from ..functions.quality import in_range_or_null, mode_in_range, qa_bits, qa_filter, qa_pass
 from .quantile import array_median, sorted_quantile
+from .summed import summed_area, window_sums
 
 
 def window_offsets(points: DataFrame, radius: int, height: int, width: int) -> DataFrame:
@@ -243,12 +244,16 @@ def raster_decimate(pixels: DataFrame, factor: int, keys: Sequence[str], nodata:
 def grid_window_stat(
     grid: DataFrame, keys: Sequence[str], radius: int, stat: str, height: int, width: int, value: str = "value"
 ) -> DataFrame:
-    """Statistic of the (2r+1)^2 window of each cell with the border replicated outwards.
+    """Statistic of the (2r+1)^2 window of each cell with the border replicated outwards; works for any key columns.
 
-    Each cell is sent to the windows that read it; a border cell is read once per replicated copy.
-    Works for any key columns (date, product), one shuffle.
+    ``sum``, ``count`` and ``mean`` are differences of a summed-area table, whatever the radius. ``max``, ``min`` and
+    ``std`` are not; there each cell is sent to the windows that read it, a border cell once per replicated copy.
     """
-    aggregate = {"mean": F.avg, "max": F.max, "min": F.min, "std": F.stddev_pop}[stat]
+    if stat in ("sum", "count", "mean"):
+        sums = window_sums(summed_area(grid, keys, height, width, value), grid, keys, radius, height, width, replicate=True)
+        found = {"sum": F.col("total"), "count": F.col("n"), "mean": F.col("total") / F.col("n")}[stat]
+        return sums.select(*keys, "prow", "pcol", F.when(F.col("n") > 0, found).alias(value) if stat != "count" else found.alias(value))
+    aggregate = {"max": F.max, "min": F.min, "std": F.stddev_pop}[stat]
     steps = F.sequence(F.lit(-radius), F.lit(radius))
 
     def clamp(c: Column, n: int) -> Column:
