@@ -226,10 +226,15 @@ def _sample(docs: DataFrame, key: str, text: str, lang: str, per_language: int)
     """Distinct (id, lang, h, text) of at most ``per_language`` texts a language that may be learned from."""
     rows = docs.select(F.col(key).cast("string").alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & (F.length("text") > 0) & (fold(F.col("id")) != 2)).withColumn("h", F.xxhash64("text"))
+    each = stored(rows.select("id", "lang", "h").distinct(), "ids")
+    # a hash thins every language to little more than is wanted, so that no window holds a whole language
+    counts = each.groupBy("lang").agg(F.count("*").alias("of"))
+    thinned = F.pmod(F.xxhash64("id", "h"), F.lit(1_000_000)) * F.col("of") <= 1_000_000 * (1.1 * per_language + 50)
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("id", "h"), "id", "h")
-    few = rows.select("id", "lang", "h").distinct().withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= per_language)
+    few = each.join(counts, "lang").where(thinned).withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= per_language)
     # per_language rows of three short values for each language
-    return stored(rows.join(F.broadcast(few.drop("r")), ["id", "lang", "h"]).dropDuplicates(["id", "lang", "h"]), "sample")
+    sample = rows.join(F.broadcast(few.select("id", "lang", "h")), ["id", "lang", "h"])
+    return stored(sample.dropDuplicates(["id", "lang", "h"]), "sample")
 
 
 def fit(docs: DataFrame, key: str, text: str, lang: str, per_language: int = PER_LANGUAGE) -> Field | None:
