@@ -93,6 +93,13 @@ class FeatureStore:
         writer.mode("overwrite").parquet(self.path(stage))
         return sum(n.startswith("date=") for n in set(self._listing(stage)) - before)
 
+    def remove_dates(self, stage: str, dates: Iterable) -> None:
+        """Deletes the partitions of these dates; dates that are not there do not matter."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for date in dates:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.path(stage)}/date={date}")
+            path.getFileSystem(conf).delete(path, True)
+
     def write_grid(self, stage: str, df: DataFrame, overwrite: bool = False, expected_rows: int = GRID_CELLS) -> DataFrame:
         """Grid stage with cell ids; returns the dates whose row count is not the grid's."""
         dated = ensure_date_column(df)

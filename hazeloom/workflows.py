@@ -9,17 +9,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .functions.timecols import ensure_date_column
 from .operators.assemble import join_stages
 from .operators.evaluate import METRICS, metrics_by_period, skill_against, with_baselines
 from .operators.models import Fitted, TreeParams, score_grid, train_gbt
 from .operators.splits import year_split
-from .session import cut_lineage
-from .sources.store import FeatureStore, missing_dates
+from .session import cut_lineage, stored
+from .sources.store import FeatureStore
 
 # rows that the longest window or lag looks back
 HISTORY_ROWS = 14
 
 
+@dataclass(frozen=True)
+class Refreshed:
+    """Dates of a stage that a refresh added, wrote anew and removed."""
+
+    added: int
+    rewritten: int
+    removed: int
+
+
+def _fingerprints(observations: DataFrame, key: str) -> DataFrame:
+    """Rows (date, key, digest) that change when an observation of the key and date does, whatever their order."""
+    hashed = F.xxhash64(*[F.col(c) for c in sorted(observations.columns)]).cast("decimal(38,0)")
+    return observations.groupBy("date", F.col(key).alias("key")).agg(F.sum(hashed).alias("digest"), F.count("*").alias("n"))
+
+
 def refresh_stage(
     store: FeatureStore,
     stage: str,
@@ -27,23 +43,62 @@ def refresh_stage(
     compute: Callable[[DataFrame], DataFrame],
     history_rows: int = HISTORY_ROWS,
     key: str = "sensor_id",
-) -> int:
-    """Computes and writes the dates a stage lacks.
-
-    Each key brings its last ``history_rows`` rows before the first missing date, however old they are, as history
-    only; so lags, gaps and rolling values equal those of a full run for a station that was silent for long, too.
-    Returns the number of dates added.
+    since: str | None = None,
+) -> Refreshed:
+    """Brings a stage up to date with its observations and writes no date that need not change.
+
+    Beside the stage the store keeps a fingerprint of each key's observations per date. A (key, date) that is new,
+    gone or different from its fingerprint changes that date, and the next ``history_rows`` rows of the key, which may
+    look back at it; the dates of all these rows are computed and written again, any others are left alone. So late
+    days, backfilled days, corrections and retractions end in the store that a full run would write, for every feature
+    that looks back at most ``history_rows`` rows. A stage without fingerprints takes its stored dates as up to date.
+
+    ``compute`` keeps a row for every date it is given. With ``since`` only observations from that date on are compared, so older partitions are read for history alone.
+    A refresh that is interrupted is repeated by the next: fingerprints are written last.
     """
-    todo = observations
-    if store.exists(stage):
-        todo = missing_dates(observations, store.dates(stage))
-    days = todo.select("date").distinct()
-    first = days.agg(F.min("date")).scalar()
-    latest = Window.partitionBy(key).orderBy(F.desc("date"))
-    history = observations.where(F.col("date") < first).withColumn("_r", F.row_number().over(latest))
-    scanned = observations.where(F.col("date") >= first).unionByName(history.where(F.col("_r") <= history_rows).drop("_r"))
-    fresh = compute(scanned).join(days, "date", "left_semi")
-    return store.write(stage, fresh)
+    spark, marks = store.spark, f"{stage}__inputs"
+    observations = ensure_date_column(observations)
+    recent = observations if since is None else observations.where(F.col("date") >= F.lit(since).cast("date"))
+    now = stored(_fingerprints(recent, key), "fingerprints")
+    if store.exists(marks):
+        known = store.read(marks, since).select("date", "key", "digest", "n")
+    else:
+        kept = store.dates(stage) if store.exists(stage) else spark.createDataFrame([], "date date")
+        known = now.join(kept, "date", "left_semi")
+    known = known.select(F.col("date").alias("_date"), F.col("key").alias("_key"), F.col("digest").alias("_digest"), F.col("n").alias("_n"))
+    both = now.join(known, F.expr("date <=> _date AND key <=> _key"), "full").where("NOT (digest <=> _digest AND n <=> _n)")
+    changed = stored(both.select(F.coalesce("date", "_date").alias("date"), F.coalesce("key", "_key").alias("key")), "changed")
+
+    # one time line per key of its rows and its changes: a row is touched if a change is among the rows it may look back at
+    line = observations.select("date", F.col(key).alias("key"), F.lit(False).alias("change")).union(changed.select("date", "key", F.lit(True)))
+    line = line.groupBy("key", "date").agg(F.max("change").alias("change"), F.count_if(~F.col("change")).alias("rows"))
+    by_key = Window.partitionBy("key").orderBy("date")
+    line = line.withColumn("seen", F.sum("rows").over(by_key))
+    last = F.max(F.when(F.col("change"), F.col("seen"))).over(by_key.rowsBetween(Window.unboundedPreceding, 0))
+    touched = line.where("change").select("date").union(line.withColumn("last", last).where(f"rows > 0 AND seen - rows < last + {history_rows}").select("date"))
+    touched = stored(touched.distinct(), "touched")  # at most one row per calendar day
+    if touched.isEmpty():
+        if not store.exists(marks):
+            store.write(marks, now, overwrite=True)
+        return Refreshed(0, 0, 0)
+
+    # of each key the rows of these dates, and the rows before them that they look back at
+    wanted = observations.join(touched.withColumn("_touched", F.lit(True)), "date", "left")
+    ahead = Window.partitionBy(key).orderBy("date").rowsBetween(0, history_rows)
+    scanned = wanted.withColumn("_needed", F.max("_touched").over(ahead)).where("_needed").drop("_touched", "_needed")
+    fresh = compute(scanned).join(touched, "date", "left_semi")
+    before = {r.date for r in store.dates(stage).collect()} if store.exists(stage) else set()
+    written = {r.date for r in touched.collect()}
+    store.write(stage, fresh, overwrite=True)
+    left = {r.date for r in observations.join(touched, "date", "left_semi").select("date").distinct().collect()}
+    gone = sorted(written - left)
+    store.remove_dates(stage, gone)
+    if store.exists(marks):
+        store.write(marks, now.join(changed.select("date").distinct(), "date", "left_semi"), overwrite=True)
+        store.remove_dates(marks, gone)
+    else:
+        store.write(marks, now, overwrite=True)
+    return Refreshed(len(left - before), len(left & before), len(before & set(gone)))
 
 
 def build_master(

@@ -364,17 +364,56 @@ def test_prediction_keeps_the_rows_and_gaps(spark, folder):
     assert out.where("y_pred IS NULL").count() == 0
 
 
+def files_by_date(store, stage):
+    out = {}
+    for f in store.spark.read.parquet(store.path(stage)).inputFiles():
+        out.setdefault(f.split("date=")[1].split("/")[0], set()).add(f)
+    return out
+
+
 def test_refresh_writes_missing_dates_with_their_history(spark, folder):
     daily = Lake(spark, folder).met_daily()
     store = FeatureStore(spark, scratch_path(spark, "r"))
     whole = workflows.refresh_stage(store, "all", daily, temporal.met_level2)
-    assert whole == 30
+    assert whole == workflows.Refreshed(30, 0, 0)
     workflows.refresh_stage(store, "met", daily.where("date < '2024-01-20'"), temporal.met_level2)
     later = workflows.refresh_stage(store, "met", daily, temporal.met_level2)
-    assert later == 11
+    assert later == workflows.Refreshed(11, 0, 0)
     names = ["sensor_id", "date", F.round("blh_rollmean_14d", 6).alias("b"), "WS10_lag3d", "calm7_count"]
     assert store.read("met").select(*names).exceptAll(store.read("all").select(*names)).count() == 0
-    assert workflows.refresh_stage(store, "met", daily, temporal.met_level2) == 0
+    assert workflows.refresh_stage(store, "met", daily, temporal.met_level2) == workflows.Refreshed(0, 0, 0)
+
+
+def test_refresh_reaches_the_dates_that_depend_on_a_change(spark):
+    days = [dt.date(2024, 1, 1) + dt.timedelta(days=i) for i in range(60)]
+    rng = random.Random(4)
+    values = {(s, d): rng.uniform(0, 9) for s in (1, 2, 3) for d in days if rng.random() < 0.8 or s == 3}
+    frame = lambda v: spark.createDataFrame([(s, d, x) for (s, d), x in v.items()], "sensor_id long, date date, WS10 double")
+    compute = lambda df: temporal.apply_specs(temporal.time_segments(df), [temporal.Lag("WS10", 3), temporal.Roll("WS10", "mean", 7)], temporal.within_segment()).drop("segment")
+    store = FeatureStore(spark, scratch_path(spark, "b"))
+    early = {k: x for k, x in values.items() if k[1] != days[20] and k != (2, days[30])}
+    early[1, days[58]] = -1.0
+    early.setdefault((2, days[45]), 3.0)
+    workflows.refresh_stage(store, "s", frame(early), compute, history_rows=7)
+    before = files_by_date(store, "s")
+
+    # a whole date in the middle, a late row of one key, a correction near the end, and a row that is taken back
+    values.pop((2, days[45]), None)
+    got = workflows.refresh_stage(store, "s", frame(values), compute, history_rows=7)
+    workflows.refresh_stage(store, "full", frame(values), compute, history_rows=7)
+    same = ["sensor_id", "date", "WS10", F.round("WS10_lag3d", 9).alias("a"), F.round("WS10_rollmean_7d", 9).alias("b")]
+    assert store.read("s").select(*same).exceptAll(store.read("full").select(*same)).count() == 0
+    assert store.read("full").select(*same).exceptAll(store.read("s").select(*same)).count() == 0
+    after = files_by_date(store, "s")
+    kept = {d for d in before if after.get(d) == before[d]}
+    assert got.added == 1 and got.removed == 0 and got.rewritten == len(before) - len(kept)
+    assert {str(d) for d in days[:20]} <= kept and str(days[57]) in kept and str(days[44]) in kept
+
+    # a date that is taken back altogether leaves the store
+    fewer = {k: x for k, x in values.items() if k[1] != days[59]}
+    assert workflows.refresh_stage(store, "s", frame(fewer), compute, history_rows=7, since="2024-02-20") == workflows.Refreshed(0, 0, 1)
+    assert store.dates("s").count() == 59
+    assert workflows.refresh_stage(store, "s", frame(fewer), compute, history_rows=7) == workflows.Refreshed(0, 0, 0)
 
 
 def test_master_build_and_yearly_training(spark, folder):
