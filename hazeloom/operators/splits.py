@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geo import latlon_to_km
 from ..semantics import flag
-from ..session import cut_lineage
+from ..session import stored
+from .keyed_kmeans import keyed_kmeans
 
 
 def hash_bucket(key: Column, k: int, seed: int) -> Column:
@@ -104,12 +103,12 @@ def grid_block_id(x: Column, y: Column, size: Column | float) -> Column:
 
 def grid_blocks(
     sites: DataFrame, key: str = "sensor_id", by: str = "province", grid_km: float = 75.0, shrink: float = 0.7, least_km: float = 5.0,
-    kmeans: int = 12, seed: int = 42,
+    kmeans: int = 12,
 ) -> DataFrame:
     """Square blocks per province at the largest size of the shrinking sequence that gives two or more.
 
-    A province whose sites lie too close for that gets up to ``kmeans`` clusters instead, ``grid_km`` NULL; one
-    with a single place is one block.
+    Provinces whose sites lie too close for that get up to ``kmeans`` clusters instead, ``grid_km`` NULL, all of them
+    in the same jobs; one with a single place is one block.
     """
     sizes, g = [], grid_km
     while g >= least_km:
@@ -130,25 +129,30 @@ def grid_blocks(
         .select(by, "_c.*")
     )
     squares = sized.join(chosen, [by, "grid_km"]).select(key, by, "grid_km", "n_blocks", "block_id")
-    reference = sites.select(by).distinct().join(chosen.select(F.col(by).alias("_by")), F.col(by).eqNullSafe(F.col("_by")), "left_anti")
-    for name in [r[0] for r in reference.collect()]:  # one name per province without squares
-        inside = sites.where(F.col(by).eqNullSafe(F.lit(name)))
-        places = inside.select("lat", "lon").distinct().limit(kmeans).count()
-        clusters = kmeans_blocks(inside, max(1, places), seed, key)
-        near = clusters.select(key, F.lit(name).cast(sites.schema[by].dataType).alias(by), F.lit(None).cast("double").alias("grid_km"), F.lit(places).cast("long").alias("n_blocks"), "block_id")
-        squares = squares.unionByName(near)
-    return squares
+    rest = sites.join(chosen.select(F.col(by).alias("_by")), F.col(by).eqNullSafe(F.col("_by")), "left_anti")
+    rest = stored(rest.select(key, by, "lat", "lon"), "unsquared")
+    if rest.isEmpty():
+        return squares
+    none = F.lit(None).cast("double").alias("grid_km")
+    return squares.unionByName(_clustered(rest, by, kmeans).select(key, by, none, "n_blocks", "block_id"))
 
 
-def kmeans_blocks(sites: DataFrame, n_blocks: int = 12, seed: int = 42, key: str = "sensor_id") -> DataFrame:
+def _clustered(sites: DataFrame, by: str, k: int) -> DataFrame:
+    """Sites with ``block_id`` and ``n_blocks`` from k-means in km inside every group of ``by``, all groups together."""
+    middle = sites.groupBy(F.col(by).alias("_by")).agg(F.avg("lat").alias("_ref"))
+    x, y = latlon_to_km(F.col("lat"), F.col("lon"), F.col("_ref"))
+    placed = sites.join(middle, F.col(by).eqNullSafe(F.col("_by"))).drop("_by").withColumns({"_x": x, "_y": y})
+    placed = stored(placed, "placed")  # the same numbers for both sides of the join below
+    found = keyed_kmeans(placed, by, k, "_x", "_y").withColumnsRenamed({by: "_by", "_x": "_cx", "_y": "_cy"})
+    same = F.col(by).eqNullSafe(F.col("_by")) & (F.col("_x") == F.col("_cx")) & (F.col("_y") == F.col("_cy"))
+    block = F.concat(F.lit("c"), F.col("cluster").cast("string"))
+    return placed.join(found, same).select(*sites.columns, block.alias("block_id"), F.col("n_clusters").alias("n_blocks"))
+
+
+def kmeans_blocks(sites: DataFrame, n_blocks: int = 12, key: str = "sensor_id") -> DataFrame:
     """Blocks of sites by distance in km, for regions a square grid cannot divide."""
-    if n_blocks < 2:
-        return sites.select(key, F.lit("c0").alias("block_id"))
-    x, y = latlon_to_km(F.col("lat"), F.col("lon"), sites.agg(F.avg("lat")).scalar())
-    placed = cut_lineage(sites.select(key, x.alias("x"), y.alias("y")))
-    vectors = VectorAssembler(inputCols=["x", "y"], outputCol="_xy").transform(placed)
-    model = KMeans(k=n_blocks, seed=seed, featuresCol="_xy", predictionCol="_k", maxIter=30).fit(vectors)
-    return model.transform(vectors).select(key, F.concat(F.lit("c"), F.col("_k").cast("string")).alias("block_id"))
+    one = sites.select(key, "lat", "lon", F.lit("all").alias("_of"))
+    return _clustered(one, "_of", n_blocks).select(key, "block_id")
 
 
 def spatial_block_folds(sites: DataFrame, k: int, seed: int = 42, key: str = "sensor_id", by: str = "province") -> DataFrame:
@@ -156,7 +160,7 @@ def spatial_block_folds(sites: DataFrame, k: int, seed: int = 42, key: str = "se
 
     The windows run over distinct blocks, not over sites.  A province that is one block has no fold: it trains always.
     """
-    blocks = grid_blocks(sites, key, by, seed=seed)
+    blocks = grid_blocks(sites, key, by)
     unique = blocks.select(by, "block_id").distinct()
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), by, "block_id"))
     w = Window.partitionBy(by)
