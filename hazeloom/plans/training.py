@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..constants import SEASONS
-from ..operators import models, spatial, splits
+from ..operators import backtest, models, spatial, splits
 from ..operators.models import TreeParams
 from ..operators.temporal import target_lags
 from ..session import cut_lineage, scratch_path
@@ -218,3 +218,66 @@ def _(lake):
     fitted = models.train_gbt(dropped, [*FEATURES, *history], "log_pm25", params=SMALL)
     out = models.score_validation_pair(fitted, test, history)
     return out.select("sensor_id", "date", "pm25", "pred_with_history", "pred_no_history")
+
+
+def _again(predictions, by):
+    """Metrics of stored predictions, written out in SQL."""
+    return lambda spark: spark.sql(
+        f"""SELECT {by}, avg(abs(y_pred - y)) AS mae2, sqrt(avg((y_pred - y) * (y_pred - y))) AS rmse2, count(*) AS n2,
+          1 - sum((y_pred - y) * (y_pred - y)) / nullif(sum(y * y) - sum(y) * sum(y) / count(*), 0) AS r22
+        FROM {{p}} GROUP BY ALL""", p=predictions
+    )
+
+
+def _close(a, b):
+    return F.coalesce(F.abs(F.col(a) - F.col(b)) <= 1e-6 * (1 + F.abs(F.col(a))), F.col(a).isNull() & F.col(b).isNull())
+
+
+_YEARLY = "WITH y AS (SELECT * FROM yearly), m AS (SELECT range::DATE AS ref FROM range(DATE '1996-01-01', DATE '1998-02-01', INTERVAL 1 MONTH))"
+
+
+@query(
+    "monthly_backtest",
+    f"""{_YEARLY},
+      s AS (SELECT ref, ref - 90 AS waterline, ref - 180 AS val_start, count(*) FILTER (date < ref - 180) AS n_train,
+        count(*) FILTER (date BETWEEN ref - 180 AND ref - 90) AS n_val, count(DISTINCT CASE WHEN date < ref - 180 THEN year(date) END)::INTEGER AS train_years,
+        count(DISTINCT CASE WHEN date BETWEEN ref - 180 AND ref - 90 THEN sensor_id END) AS n_stations
+        FROM m, y WHERE pm25 IS NOT NULL GROUP BY 1),
+      o AS (SELECT *, train_years >= 2 AND n_val > 0 AS ok FROM s)
+      SELECT ref::VARCHAR AS reference_date, waterline, val_start, CASE WHEN ok THEN 'ok' ELSE 'skipped' END AS status, n_train, n_val, train_years,
+        CASE WHEN ok THEN n_stations END AS n_stations, CASE WHEN ok THEN n_val END AS n_predictions, CASE WHEN ok THEN true END AS metrics_agree FROM o""",
+)
+def _(lake):
+    days = lake.yearly().withColumns({"month": F.month("date").cast("double"), "weekday": F.dayofweek("date").cast("double")})
+    metrics, predictions = backtest.monthly_backtest(days, ["month", "weekday"], "1996-01-01", "1998-01-01", params=SMALL)
+    again = _again(predictions, "fold AS reference_date")(lake.spark)
+    agree = _close("mae", "mae2") & _close("rmse", "rmse2") & _close("r2", "r22")
+    names = ["reference_date", "waterline", "val_start", "status", "n_train", "n_val", "train_years", "n_stations"]
+    return metrics.join(again, "reference_date", "left").select(*names, F.col("n2").alias("n_predictions"), F.when(F.col("status") == "ok", agree).alias("metrics_agree"))
+
+
+_DAYS = """SELECT d.sensor_id, d.date, d.pm25, s.province FROM station_daily d JOIN met_daily USING (sensor_id, date) JOIN stations s ON s.sensor_id = d.sensor_id
+  WHERE d.pm25 IS NOT NULL"""
+_FOLD = "(('0x' || substr(md5('42:' || sensor_id), 1, 8))::BIGINT % 5)::INTEGER"
+
+
+@query(
+    "province_block_eval",
+    f"""WITH d AS ({_DAYS}), p AS (SELECT province, count(DISTINCT sensor_id) AS k, max(date) - 7 AS cutoff FROM d GROUP BY 1),
+      b AS (SELECT province, 'stations' AS split_mode, i::INTEGER AS block, cutoff FROM p, range(5) t(i) WHERE k >= 5
+        UNION ALL SELECT province, 'time', 0, cutoff FROM p),
+      x AS (SELECT b.province, b.split_mode, b.block,
+        CASE WHEN split_mode = 'time' THEN d.date <= b.cutoff ELSE NOT (d.province = b.province AND {_FOLD} = b.block) END AS train,
+        d.province = b.province AND CASE WHEN split_mode = 'time' THEN d.date > b.cutoff ELSE {_FOLD} = b.block END AS test FROM b, d)
+      SELECT province, split_mode, block, count(*) FILTER (train) AS n_train, count(*) FILTER (test) AS n_test,
+        count(*) FILTER (test) AS n_base, count(*) FILTER (test) AS n_pool, true AS metrics_agree FROM x GROUP BY 1, 2, 3 HAVING count(*) FILTER (test) >= 1""",
+)
+def _(lake):
+    per_fold, predictions = backtest.province_block_eval(_rows(lake), FEATURES, test_days=7, min_test_rows=1, params=SMALL)
+    again = _again(predictions, "fold, variant")(lake.spark).groupBy("fold").agg(
+        *[F.max(F.when(F.col("variant") == v, F.col(f"{m}2"))).alias(f"{m}_{v}2") for v in ("base", "pool") for m in ("mae", "rmse", "n")]
+    )
+    joined = per_fold.join(again, F.concat_ws("|", "province", "split_mode", F.col("block").cast("string")) == F.col("fold"), "left")
+    agree = _close("mae_base", "mae_base2") & _close("mae_pool", "mae_pool2") & _close("rmse_base", "rmse_base2") & _close("rmse_pool", "rmse_pool2")
+    same = F.abs(F.col("mae_pool2") - F.col("mae_base2") - F.col("d_mae")) < 1e-6
+    return joined.select("province", "split_mode", "block", "n_train", "n_test", F.col("n_base2").alias("n_base"), F.col("n_pool2").alias("n_pool"), (agree & same).alias("metrics_agree"))
