@@ -1,11 +1,14 @@
 """Substring dedup by content-defined chunks.
 
-A gear hash rolls over the UTF-8 bytes of a text; a chunk ends at a blank where the hash says so, so boundaries
-follow the content and an insertion moves only those next to it. A chunk is known by a digest; all but its first
-occurrence are repeats, and a run of repeated chunks with ``min_words`` words or more is taken out of the text.
-
-Only digests and positions are shuffled to find repeats. Occurrences of a digest are counted before the shuffle,
-and the join back is a plain equi-join that adaptive execution splits where a passage is very frequent.
+A gear hash rolls over the UTF-8 bytes of a text; a chunk ends at a blank where the hash says so, or where the text
+repeats itself within a few words, so boundaries follow the content and an insertion moves only those next to it. Two
+chunks in a row are known by the digest of both; all but its first occurrence are repeats. Repeated pairs make a run as
+long as their first occurrences follow each other too, so a run as a whole stands in one earlier place; runs of
+``min_words`` words or more are taken out of the text. A long chunk is a run by itself.
+
+Only digests and the numbers of chunks are shuffled to find repeats; positions are found again where the text is cut.
+Occurrences of a digest are counted before the shuffle, and the join back is a plain equi-join that adaptive execution
+splits where a passage is very frequent.
 """
 
 from __future__ import annotations
@@ -24,7 +27,10 @@ WINDOW = 16
 #: One in so many blanks ends a chunk, and one in so many other bytes, for texts without blanks.
 BLANKS, OTHERS = 5, 2048
 LONGEST = 8000
-START_BITS, LENGTH_BITS = 31, 13
+#: A text that repeats itself within so many blanks, with the last WINDOW bytes the same, ends a chunk at each of them.
+PERIOD_BLANKS = 4
+#: Runs without blanks count by their bytes.
+BYTES_PER_WORD = 15
 #: Rows that a task has in hand at a time.
 SLICE_ROWS = 500
 RESULT = StructType().add("text", "string").add("n_runs", "integer").add("n_words", "long").add("n_bytes", "long")
@@ -58,6 +64,9 @@ def cut_points(data: np.ndarray) -> np.ndarray:
     h = rolling(data)
     blank = (data == 32) | ((data >= 9) & (data <= 13))
     ends = (blank & (h < 2**32 // BLANKS)) | (h < 2**32 // OTHERS)
+    places = np.flatnonzero(blank)
+    for lag in range(1, PERIOD_BLANKS + 1):
+        ends[places[lag:][h[places[lag:]] == h[places[:-lag]]]] = True
     ends[:-1] &= (data[1:] & 0xC0) != 0x80  # never inside a character
     cuts = np.flatnonzero(ends) + 1
     if not len(cuts) or cuts[-1] != n:
@@ -72,53 +81,83 @@ def cut_points(data: np.ndarray) -> np.ndarray:
     return cuts
 
 
-def _chunks(rows: DataFrame) -> DataFrame:
-    """(digest, id, at): at packs 20 bits of the text's hash, the start and the length, so that it is one number."""
+def _long(raw: bytes, min_words: int) -> bool:
+    return len(raw.split()) >= min_words or len(raw) >= BYTES_PER_WORD * min_words
+
+
+def _units(raw: bytes, min_words: int) -> tuple[np.ndarray, list[bytes]]:
+    """Numbers and contents of what is looked up: chunk i with the next as 2 i, a long chunk alone as 2 i + 1."""
+    cuts = cut_points(np.frombuffer(raw, np.uint8)).tolist()
+    starts = [0, *cuts[:-1]]
+    alone = [i for i, (a, b) in enumerate(zip(starts, cuts)) if b - a >= min_words and _long(raw[a:b], min_words)]
+    # the place of the border is part of a pair
+    pairs = [raw[a:c] + (b - a).to_bytes(2, "little") for a, b, c in zip(starts, cuts, cuts[1:])]
+    numbers = np.concatenate([2 * np.arange(len(pairs)), 2 * np.array(alone, np.int64) + 1])
+    return numbers, pairs + [raw[starts[i] : cuts[i]] for i in alone]
+
+
+def _chunks(rows: DataFrame, min_words: int) -> DataFrame:
+    """(digest, id, hash, at) of every unit of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         digest_of = xxhash.xxh3_64_intdigest
         for batch in batches:
-            texts, ids, hashes = batch.column("text"), batch.column("id"), batch.column("hash").to_numpy(zero_copy_only=False)
+            texts = batch.column("text")
             for first in range(0, len(batch), SLICE_ROWS):
                 digests, ats, sizes = [], [], []
                 for i in range(first, min(first + SLICE_ROWS, len(batch))):
-                    raw = texts[i].as_buffer().to_pybytes()
-                    cuts = cut_points(np.frombuffer(raw, np.uint8))
-                    starts = np.concatenate([[0], cuts[:-1]]).astype(np.int64)
-                    digests += [digest_of(raw[a:b]) for a, b in zip(starts.tolist(), cuts.tolist())]
-                    ats.append((hashes[i] << (START_BITS + LENGTH_BITS)) | (starts << LENGTH_BITS) | (cuts - starts))
-                    sizes.append(len(cuts))
+                    numbers, units = _units(texts[i].as_buffer().to_pybytes(), min_words)
+                    digests += map(digest_of, units)
+                    ats.append(numbers)
+                    sizes.append(len(units))
                 if digests:
-                    part = np.repeat(np.arange(first, first + len(sizes)), sizes)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.array(digests, np.uint64).view(np.int64)),
-                            ids.take(pa.array(part)),
-                            pa.array(np.concatenate(ats)),
-                        ],
-                        ["digest", "id", "at"],
-                    )
+                    part = pa.array(np.repeat(np.arange(first, first + len(sizes)), sizes))
+                    columns = [pa.array(np.array(digests, np.uint64).view(np.int64))]
+                    columns += [batch.column(c).take(part) for c in ("id", "hash")] + [pa.array(np.concatenate(ats))]
+                    yield pa.RecordBatch.from_arrays(columns, ["digest", "id", "hash", "at"])
+
+    return rows.mapInArrow(run, "digest bigint, id bigint, hash bigint, at bigint")
 
-    return rows.mapInArrow(run, "digest bigint, id bigint, at bigint")
 
+def _runs(found: dict[int, tuple[int, int]]) -> list[tuple[int, int]]:
+    """(first chunk, end chunk) of runs whose first occurrences follow each other, from unit -> (text, unit there).
 
-def _cut(text: str, ats, min_words: int) -> tuple[str, int, int, int]:
+    Where the text repeats itself, so may the first occurrences.
+    """
+    runs = [(at // 2, at // 2 + 1) for at in found if at % 2]
+    pairs = sorted(at for at in found if not at % 2)
+    start, recent = 0, []
+    for i, at in enumerate(pairs):
+        text, there = found[at]
+        goes_on = i and at == pairs[i - 1] + 2 and text == recent[-1][0] and (there == recent[-1][1] + 2 or (text, there) in recent[-8:])
+        if i and not goes_on:
+            runs.append((pairs[start] // 2, pairs[i - 1] // 2 + 2))
+            start, recent = i, []
+        recent.append((text, there))
+    if pairs:
+        runs.append((pairs[start] // 2, pairs[-1] // 2 + 2))
+    return runs
+
+
+def _cut(text: str, found: list[dict] | None, min_words: int) -> tuple[str, int, int, int]:
     """The text without its long runs of repeated chunks; removed runs, words and bytes."""
-    if ats is None or not len(ats):
+    if not found:
         return text, 0, 0, 0
     raw = text.encode("utf-8", "surrogatepass")
-    at = np.unique(np.asarray(ats, np.int64))
-    starts = (at >> LENGTH_BITS) & (2**START_BITS - 1)
-    ends = starts + (at & (2**LENGTH_BITS - 1))
-    new = np.flatnonzero(np.concatenate([[True], starts[1:] != ends[:-1]]))
+    cuts = [0, *cut_points(np.frombuffer(raw, np.uint8)).tolist()]
+    spans = [(cuts[a], cuts[b]) for a, b in _runs({f["at"]: (f["text"], f["there"]) for f in found})]
     kept, last, runs, words = [], 0, 0, 0
-    for a, b in zip(starts[new].tolist(), ends[np.append(new[1:] - 1, len(ends) - 1)].tolist()):
-        n = len(raw[a:b].split())
-        if n >= min_words:
-            kept.append(raw[last:a])
-            last, runs, words = b, runs + 1, words + n
+    merged: list[list[int]] = []
+    for a, b in sorted(s for s in spans if _long(raw[s[0] : s[1]], min_words)):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(b, merged[-1][1])
+        else:
+            merged.append([a, b])
+    for a, b in merged:
+        kept.append(raw[last:a])
+        last, runs, words = b, runs + 1, words + len(raw[a:b].split())
     kept.append(raw[last:])
     left = b"".join(kept)
     return left.decode("utf-8", "surrogatepass"), runs, words, len(raw) - len(left)
@@ -128,26 +167,26 @@ def without_repeats(df: DataFrame, key: str, text: str, result: str = "dedup", m
     """Adds a struct column ``result`` (text, n_runs, n_words, n_bytes: what is left, and what was taken out).
 
     The first occurrence, by smallest key, then text hash, then position, stays; so every passage is left once. A null
-    key comes last. Rows with the same key and text count as one document and get the same result. A null text stays
-    null, an empty one empty. Repeats inside one text are taken out too.
+    key comes last. Rows with the same key and text count as one document and get the same result; rows with the same
+    key, or none, and different texts are documents of their own. A null text stays null, an empty one empty. Repeats
+    inside one text are taken out too. What is taken out stands in one piece in an earlier text, or earlier in this one.
     """
     if result.lower() in {c.lower() for c in df.columns}:
         raise ValueError(f"column {result} exists")
     i, h, ats = fresh(df, "_id", "_hash", "_ats")
-    ident = F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1))
-    text_hash = F.shiftrightunsigned(F.xxhash64(F.col(text)), 44)
+    ident, text_hash = F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)), F.xxhash64(F.col(text))
     rows = df.where(F.length(text) > 0).select(ident.alias("id"), text_hash.alias("hash"), F.col(text).alias("text"))
-    chunks = _chunks(rows)
+    chunks = _chunks(rows, min_words)
     first = (
         chunks.groupBy("digest")
-        .agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("n"))
+        .agg(F.min(F.struct("id", "hash", "at")).alias("first"), F.count("*").alias("n"))
         .where("n > 1")
         .select("digest", "first")
     )
-    repeats = chunks.join(first, "digest").where("struct(id, at) > first").select(
-        F.col("id").alias(i), F.shiftrightunsigned("at", START_BITS + LENGTH_BITS).alias(h), "at"
+    repeats = chunks.join(first, "digest").where("struct(id, hash, at) > first").select(
+        F.col("id").alias(i), F.col("hash").alias(h), F.struct("at", F.xxhash64("first.id", "first.hash").alias("text"), F.col("first.at").alias("there")).alias("unit")
     )
-    repeats = repeats.groupBy(i, h).agg(F.collect_list("at").alias(ats))
+    repeats = repeats.groupBy(i, h).agg(F.collect_list("unit").alias(ats))
 
     names = df.columns
 

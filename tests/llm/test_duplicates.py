@@ -180,24 +180,30 @@ def test_passages_stay_once_and_clean_texts_stay(spark):
 
 
 def brute_force(texts, min_words):
-    """First occurrences by key and place over all chunks of all texts, then runs of the others."""
-    seen, out = set(), {}
+    """First occurrences of chunk pairs by key and place; runs of pairs whose first occurrences follow each other."""
+    seen, out = {}, {}
     for key in sorted(texts):
         raw = texts[key].encode()
-        at, kept, run = 0, [], []
-        for end in [*chunk_dedup.cut_points(np.frombuffer(raw, np.uint8)).tolist(), None]:
-            chunk = raw[at:end] if end is not None else None
-            if chunk is not None and chunk in seen:
-                run.append(chunk)
+        cuts = [0, *chunk_dedup.cut_points(np.frombuffer(raw, np.uint8)).tolist()]
+        chunks = [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+        gone, runs = [False] * len(chunks), []
+        for i, chunk in enumerate(chunks):
+            if len(chunk.split()) >= min_words and seen.setdefault((chunk,), (key, i)) != (key, i):
+                gone[i] = True
+        for i, pair in enumerate(zip(chunks, chunks[1:])):
+            there = seen.setdefault(pair, (key, i))
+            if there == (key, i):
+                continue
+            if runs and runs[-1][-1][0] == i - 1 and runs[-1][-1][1] == (there[0], there[1] - 1):
+                runs[-1].append((i, there))
             else:
-                joined = b"".join(run)
-                kept += [] if len(joined.split()) >= min_words else [joined]
-                kept += [chunk] if chunk is not None else []
-                run = []
-            if chunk is not None:
-                seen.add(chunk)
-            at = end
-        out[key] = b"".join(kept).decode()
+                runs.append([(i, there)])
+        for run in runs:
+            places = range(run[0][0], run[-1][0] + 2)
+            if sum(len(chunks[j].split()) for j in places) >= min_words:
+                for j in places:
+                    gone[j] = True
+        out[key] = b"".join(c for c, g in zip(chunks, gone) if not g).decode()
     return out
 
 
@@ -207,7 +213,39 @@ def test_chunks_against_brute_force(spark):
     texts = {i: " ".join(rng.choice(parts) if rng.random() < 0.5 else prose(100 + 10 * i + j, 40) for j in range(4)) for i in range(25)}
     df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
     got = {r.doc_id: r.dedup.text for r in chunk_dedup.without_repeats(df, "doc_id", "text", min_words=15).collect()}
-    assert got == brute_force(texts, 15)
+    assert got == brute_force(texts, 15) and sum(got[i] != texts[i] for i in texts) > 10
+
+
+def test_what_goes_stands_in_an_earlier_place_in_one_piece(spark):
+    rng = random.Random(12)
+    phrases = [prose(i, 6) for i in range(60)]  # every phrase is seen everywhere, in ever other orders
+    rows = [(i, " ".join(rng.choice(phrases) for _ in range(30))) for i in range(60)]
+    rows += [(100 + i, f"{prose(500 + i)} {PASSAGE} {prose(700 + i)}") for i in range(3)]
+    got = {r.doc_id: r.dedup.text for r in chunk_dedup.without_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text").collect()}
+    assert all(got[i] == text for i, text in rows[:61])
+    assert all(len(got[100 + i].split()) < 250 for i in (1, 2))
+
+
+def test_texts_without_a_key_or_with_the_same_key_do_not_mix(spark):
+    long = prose(1, 120)
+    for key in (None, 7):
+        rows = [(1, long), (key, f"{prose(2, 40)} {long}"), (key, f"{prose(3, 90)} {long} {prose(4, 30)}")]
+        df = spark.createDataFrame(rows, "doc_id bigint, text string")
+        out = [r.dedup for r in chunk_dedup.without_repeats(df, "doc_id", "text").collect() if r.doc_id == key]
+        assert all(d.n_words >= 100 for d in out)
+        left = sorted(d.text for d in out)
+        assert any(t.startswith(prose(2, 40)[:200]) for t in left) and any(t.startswith(prose(3, 90)[:400]) and t.endswith(prose(4, 30)[-150:]) for t in left)
+
+
+def test_periodic_and_unspaced_passages(spark):
+    rng, periodic = random.Random(3), "and the " * 60
+    rows = [(i, f"{prose(i)} {periodic} {prose(50 + i)}") for i in range(3)]
+    unspaced = "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(3000))
+    rows += [(10 + i, f"{prose(90 + i)} {unspaced}") for i in range(2)]
+    got = {r.doc_id: r.dedup.text for r in chunk_dedup.without_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text").collect()}
+    for i in range(3):
+        assert got[i].count("and the") < (30 if i == 0 else 12)
+    assert len(got[10]) == len(rows[3][1]) and len(got[11]) < len(rows[4][1]) - 1000
 
 
 def test_boundaries_follow_the_content():
