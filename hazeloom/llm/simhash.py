@@ -2,14 +2,14 @@
 
 1. A fingerprint per document: the majority bits of the hashes of its word shingles. Equal fingerprints become one
    node, so copies cost nothing further.
-2. Shards. With a small radius the bits are cut into radius + 1 bands; two fingerprints within the radius agree on
-   a whole band, so a shard of equal bands loses no link. With a wide radius a shard is a set of equal sampled bits,
-   and the number of samples follows from the wanted chance that a pair at the very radius, or a pair of the wanted
-   similarity, shares a shard.
+2. Shards of some hundred thousand fingerprints, 8 bytes each. With a small radius two fingerprints within it agree on
+   one of radius + 1 pieces, so a shard of equal leading bits of a piece loses no link. With a wide radius a shard is a
+   set of equal sampled bits, and the number of samples follows from the wanted chance that a pair at the very radius,
+   or a pair of the wanted similarity, shares a shard.
 3. In each shard a BK-tree (children keyed by their distance to the parent, leaves of a few fingerprints) answers
-   which fingerprints lie within the radius, following only edges within it. What was found is taken out of the
-   tree at once, so a dense group costs one search for most of its members, and a task emits one link per
-   fingerprint to a member of its group, never all pairs.
+   which fingerprints lie within the radius, following only edges within it. All queries go down the tree together, so
+   each node is compared with all that reach it at once. Pairs are united as they are found, and a task emits one link
+   per fingerprint to the first of its set, never all pairs.
 4. Connected components of these links.
 5. Where a similarity is asked for, fingerprints only propose: the distinct shingle sets of each component are
    compared themselves, and components are formed again from the pairs that are similar enough.
@@ -34,8 +34,10 @@ from pyspark.sql import functions as F
 from .common import fresh, stored
 from .components import connected
 
-LEAF = 96
-MATRIX = 384
+#: Rows of a leaf, and queries that are compared with a leaf at a time.
+LEAF, QUERIES = 24, 8192
+#: Fingerprints of a shard where bands are exact: large enough that the tree, and not the band, does the pruning.
+SHARD_ROWS = 100_000
 SEED = 42
 
 
@@ -103,81 +105,104 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class BKTree:
-    """Children keyed by integer distance to their parent's fingerprint; small sets stay unsplit as leaves."""
+    """Children keyed by integer distance to their parent's fingerprint; sets of up to LEAF rows stay together.
 
-    def __init__(self, prints: np.ndarray, rows: np.ndarray | None = None):
-        rows = np.arange(len(prints)) if rows is None else rows
-        self.prints, self.rows, self.children, self.live = prints, rows, {}, len(rows)
+    ``prints`` are distinct fingerprints as (rows, words). ``compared`` counts the distances that searches computed.
+    """
+
+    def __init__(self, prints: np.ndarray):
+        self.prints, self.compared = prints, 0
+        self.root = self._node(np.arange(len(prints)))
+
+    def _node(self, rows: np.ndarray):
+        """A leaf's rows, or (row of the parent, its children by distance)."""
         if len(rows) <= LEAF:
-            return
-        self.root, rest = rows[0], rows[1:]
-        d = distances(prints[rest], prints[self.root])
-        if d.min() == d.max():  # cannot be split further
-            return
+            return rows
+        d = distances(self.prints[rows[1:]], self.prints[rows[0]])
         order = np.argsort(d, kind="stable")
         edges, at = np.unique(d[order], return_index=True)
-        self.rows = rows[:1]
-        self.children = {int(e): BKTree(prints, part) for e, part in zip(edges, np.split(rest[order], at[1:]))}
-
-    def take(self, query: np.ndarray, radius: int) -> list[np.ndarray]:
-        """Rows within the radius, which leave the tree."""
-        if not self.live:
-            return []
-        found = []
-        if not self.children:
-            near = distances(self.prints[self.rows], query) <= radius
-            if near.any():
-                found.append(self.rows[near])
-                self.rows = self.rows[~near]
-        else:
-            to_root = int(distances(self.prints[self.root], query))
-            if len(self.rows) and to_root <= radius:
-                found.append(self.rows)
-                self.rows = self.rows[:0]
-            for edge, child in self.children.items():
-                if abs(edge - to_root) <= radius:
-                    found += child.take(query, radius)
-        self.live -= sum(map(len, found))
-        return found
-
-
-def shard_links(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (row, row) that join the same fingerprints as all pairs within the radius would."""
-    n, waiting, left, right = len(prints), np.ones(len(prints), bool), [], []
-    if n <= MATRIX:  # all distances at once, no tree
-        near = distances(prints[:, None], prints[None]) <= radius
-        starts = np.flatnonzero(near.sum(axis=1) > 1).tolist()
-        take = lambda row: [np.flatnonzero(near[row] & waiting)]
-    else:
-        tree, starts = BKTree(prints), range(n)
-        take = lambda row: tree.take(prints[row], radius)
-    for start in starts:
-        todo = [start] if waiting[start] else []
-        while todo:
-            for rows in take(todo.pop()):
-                rows = rows[rows != start]
-                waiting[rows] = False
-                todo.extend(rows.tolist())
-                left.append(np.full(len(rows), start))
-                right.append(rows)
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, np.int64), np.empty(0, np.int64))
+        parts = np.split(rows[1:][order], at[1:])
+        return rows[0], {int(e): self._node(part) for e, part in zip(edges, parts)}
+
+    def within(self, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, row) pairs within the radius, node by node: all queries that reach a node are compared with it at
+        once, and each goes on along the edges within the radius of its own distance."""
+        waiting = [(self.root, np.arange(len(queries)))]
+        while waiting:
+            node, q = waiting.pop()
+            if isinstance(node, tuple):
+                parent, children = node
+                d = distances(queries[q], self.prints[parent])
+                self.compared += len(q)
+                near = q[d <= radius]
+                if len(near):
+                    yield near, np.full(len(near), parent)
+                for edge, child in children.items():
+                    part = q[np.abs(d - edge) <= radius]
+                    if len(part):
+                        waiting.append((child, part))
+                continue
+            for first in range(0, len(q), QUERIES):
+                part = q[first : first + QUERIES]
+                found, row = np.nonzero(distances(queries[part][:, None], self.prints[node][None]) <= radius)
+                self.compared += len(part) * len(node)
+                if len(found):
+                    yield part[found], node[row]
+
+
+class Sets:
+    """Disjoint sets of rows, united many pairs at a time; a set is named by its smallest row."""
+
+    def __init__(self, n: int):
+        self.parent = np.arange(n)
+
+    def names(self, rows: np.ndarray) -> np.ndarray:
+        out = self.parent[rows]
+        while True:
+            up = self.parent[out]
+            if (up == out).all():
+                self.parent[rows] = out
+                return out
+            out = up
+
+    def unite(self, left: np.ndarray, right: np.ndarray) -> None:
+        while len(left):
+            a, b = self.names(left), self.names(right)
+            differ = a != b
+            left, right, a, b = left[differ], right[differ], a[differ], b[differ]
+            np.minimum.at(self.parent, np.maximum(a, b), np.minimum(a, b))
+
+
+def shard_links(prints: np.ndarray, radius: int, tree: BKTree | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links (row, smallest row of its set) that join the same fingerprints as all pairs within the radius would."""
+    tree, sets = tree or BKTree(prints), Sets(len(prints))
+    for query, row in tree.within(prints, radius):
+        sets.unite(query, row)
+    names = sets.names(np.arange(len(prints)))
+    linked = np.flatnonzero(names != np.arange(len(prints)))
+    return linked, names[linked]
 
 
 def bit_tables(n: int, bits: int, radius: int, recall: float, similarity: float | None = None) -> list[np.ndarray]:
     """Bit positions per table; fingerprints that agree on all positions of a table share a shard.
 
-    Exact where up to 64 tables do it: of m equal pieces a pair within the radius agrees on m - radius at least, so
-    every choice of m - radius pieces is a table, and m grows with ``n`` until the shards are small. Else seeded
-    samples for shards of some 256, as many as the recall asks for: of pairs at the very radius, or with ``similarity``
-    of pairs with that Jaccard similarity, whose distances are spread as the sum of independent bits.
+    Exact for a radius that is small against the bits: of radius + 1 equal pieces a pair within the radius agrees on
+    one at least. A table takes as many bits of its piece as leave shards of some SHARD_ROWS; up to that number of
+    fingerprints there is one shard of all. Past what a piece can tell apart the pieces are more and a table is every
+    choice of m - radius of m.
+
+    A wide radius leaves neither such pieces nor edges to skip. There tables are seeded samples for shards of some 256,
+    as many as the recall asks for: of pairs at the very radius, or with ``similarity`` of pairs with that Jaccard
+    similarity, whose distances are spread as the sum of independent bits.
     """
-    wanted = max(8, math.ceil(math.log2(max(n, 2) / 32)))
-    for m in range(radius + 1, bits + 1):
-        if math.comb(m, radius) > 64:
-            break
-        pieces = np.array_split(np.arange(bits), m)
-        if (m - radius) * (bits // m) >= wanted:
-            return [np.concatenate([pieces[i] for i in c]) for c in itertools.combinations(range(m), m - radius)]
+    if 8 * radius <= bits:
+        wanted = max(0, math.ceil(math.log2(max(n, 1) / SHARD_ROWS)))
+        if not wanted:
+            return [np.empty(0, np.int64)]
+        for m in range(radius + 1, bits + 1):
+            pieces = np.array_split(np.arange(bits), m)
+            if (m - radius) * (bits // m) >= wanted:
+                return [np.concatenate([pieces[i] for i in c])[:wanted] for c in itertools.combinations(range(m), m - radius)]
     wanted = max(8, math.ceil(math.log2(max(n, 2) / 256)))
     share = lambda d: math.prod((bits - d - i) / (bits - i) for i in range(wanted))
     if similarity is None:
@@ -326,7 +351,7 @@ def classes(
     bits: int = 64,
     radius: int = 3,
     recall: float = 0.9,
-    block_rows: int = 20_000,
+    block_rows: int = 2 * SHARD_ROWS,
     similarity: float | None = None,
     block_sets: int = 2_000,
 ) -> DataFrame:

@@ -102,27 +102,55 @@ def test_tree_search_is_complete():
     near = np.concatenate([base ^ (np.int64(1) << rng.integers(0, 62, (40, 1))) for _ in range(12)])
     x = np.unique(np.concatenate([base, near]), axis=0)
     for radius in (1, 2, 3, 12):
-        tree = simhash.BKTree(x)
-        for q in (x[0], x[len(x) // 2]):
-            want = set(np.flatnonzero(simhash.distances(x, q) <= radius))
-            fresh_tree = simhash.BKTree(x)
-            assert set(np.concatenate(fresh_tree.take(q, radius))) == want
-        assert tree.live == len(x)
+        got = set()
+        for query, row in simhash.BKTree(x).within(x, radius):
+            got |= set(zip(query.tolist(), row.tolist()))
+        want = {(i, j) for i in range(len(x)) for j in np.flatnonzero(simhash.distances(x, x[i]) <= radius)}
+        assert got == want
         left, right = simhash.shard_links(x, radius)
         linked = {(int(a), int(b)) for a, b in zip(left, right)}
         near_pairs = lambda a, b: simhash.distances(x[a], x[b]) <= radius
         assert groups(range(len(x)), near_pairs) == groups(range(len(x)), lambda a, b: (a, b) in linked or (b, a) in linked)
+        assert len(left) == len(set(left.tolist())) < len(x)
+
+
+def test_the_tree_does_the_pruning():
+    """A shard of twenty thousand without any band: few distances are computed, and no link is lost."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(-(2**63), 2**63 - 1, (20_000, 1), dtype=np.int64)
+    for i in range(0, 3000, 3):  # chains of near fingerprints
+        x[i + 1] = x[i] ^ np.int64(0b101 << (i % 60))
+        x[i + 2] = x[i + 1] ^ np.int64(0b111 << (i % 50))
+    tree = simhash.BKTree(x)
+    left, right = simhash.shard_links(x, 3, tree)
+    assert tree.compared < 0.12 * len(x) ** 2
+    wide = simhash.BKTree(x[:4000])
+    list(wide.within(x[:4000], 40))
+    assert wide.compared > 0.9 * 4000**2  # where the radius is wide, no edge is skipped
+    assert {(int(a), int(b)) for a, b in zip(left, right)} == {(i + j, i) for i in range(0, 3000, 3) for j in (1, 2)}
 
 
 def test_tables_of_bits():
-    exact = simhash.bit_tables(1000, 64, 3, 0.9)
-    assert len(exact) == 4 and all(len(t) == 16 for t in exact)
-    finer = simhash.bit_tables(10**9, 64, 3, 0.9)
-    assert all(len(t) >= 25 for t in finer)
+    assert [len(t) for t in simhash.bit_tables(1000, 64, 3, 0.9)] == [0]  # one shard, one tree
+    some = simhash.bit_tables(10**6, 64, 3, 0.9)
+    assert len(some) == 4 and all(len(t) == 4 for t in some)
     rng = random.Random(5)
-    for _ in range(200):  # no choice of three bits touches every table
-        flipped = set(rng.sample(range(64), 3))
-        assert any(not flipped & set(t.tolist()) for t in finer)
+    for n in (10**6, 10**9, 10**14):
+        tables = simhash.bit_tables(n, 64, 3, 0.9)
+        assert all(n / 2 ** len(t) <= simhash.SHARD_ROWS for t in tables)
+        for _ in range(200):  # no choice of three bits touches every table
+            flipped = set(rng.sample(range(64), 3))
+            assert any(not flipped & set(t.tolist()) for t in tables)
+
+
+def test_shards_of_leading_bits_lose_no_link(spark, monkeypatch):
+    texts = sample_texts(2, 300)
+    own = {i: prints(t, 3) for i, t in enumerate(texts)}
+    expected = groups(own, lambda a, b: bin(own[a] ^ own[b]).count("1") <= 3)
+    monkeypatch.setattr(simhash, "SHARD_ROWS", 30)
+    assert [len(t) for t in simhash.bit_tables(len(set(own.values())), 64, 3, 0.9)][0] >= 2
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r["key"]: r.component for r in simhash.classes(df, "doc_id", "text").collect()} == expected
 
 
 def test_sampled_tables_miss_few_pairs_of_the_similarity():
