@@ -1,6 +1,9 @@
+import inspect
 import math
 import random
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from hazeloom.llm import vptree
@@ -59,6 +62,32 @@ def test_recall_of_the_default(spark):
     assert sum(hits) >= 9 * len(hits)
 
 
+def test_distances_computed_and_recall():
+    """Uniform directions in 64 dimensions, the hardest case: neighbours at 1.1, strangers at 1.4."""
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(6000, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    ids, asked = np.arange(len(v)), np.arange(0, len(v), 100)
+    full = np.sqrt(np.maximum(2 - 2 * v[asked] @ v.T, 0))
+    full[np.arange(len(asked)), asked] = np.inf
+    want = np.argsort(full, axis=1)[:, :10]
+    share, recall = {}, {}
+    recall_asked = inspect.signature(vptree.nearest).parameters["recall"].default
+    for factor in (1.0, vptree.calibrated(v[: vptree.SAMPLE_ROWS], 10, vptree.VANTAGES * 7, recall_asked)):
+        bound = vptree.first_bounds(v[asked], asked, v[: vptree.SAMPLE_ROWS], ids[: vptree.SAMPLE_ROWS], 10)
+        got = vptree.Search(v, ids, v[asked], asked, 10, factor, bound)
+        share[factor] = got.compared / full.size
+        recall[factor] = np.mean([len(set(a) & set(b)) / 10 for a, b in zip(got.found.tolist(), want.tolist())])
+    exact, default = share
+    assert recall[exact] == 1.0 and recall[default] >= 0.9 and share[default] <= 0.85
+    # where vectors have few dimensions in truth, exact search computes few distances
+    low = np.concatenate([rng.uniform(size=(6000, 3)), np.zeros((6000, 61))], axis=1)
+    full = np.sqrt(((low[asked][:, None] - low[None]) ** 2).sum(axis=2))
+    full[np.arange(len(asked)), asked] = np.inf
+    got = vptree.Search(low, ids, low[asked], asked, 10, 1.0)
+    assert got.compared < 0.1 * full.size and (got.found == np.argsort(full, axis=1, kind="stable")[:, :10]).all()
+
+
 def test_odd_rows(spark):
     rows = vectors(40, 3) + [(100, None), (200, []), (300, [0.0, 0.0, 0.0]), (400, [1.0, None, 2.0]), (500, [math.nan, 1.0, 1.0])]
     rows += [(600, [math.inf, 1.0, 1.0]), (None, [1.0, 1.0, 1.0]), (700, [1.0, 2.0]), (0, [0.5, 0.5, 0.5]), (7, [0.5, 0.5, 0.5])]
