@@ -31,6 +31,8 @@ LONGEST = 8000
 PERIOD_BLANKS = 4
 #: Runs without blanks count by their bytes.
 BYTES_PER_WORD = 15
+#: Stands for the text itself among the hashes that name the texts of first occurrences.
+OWN = -1
 #: Rows that a task has in hand at a time.
 SLICE_ROWS = 500
 RESULT = StructType().add("text", "string").add("n_runs", "integer").add("n_words", "long").add("n_bytes", "long")
@@ -97,7 +99,7 @@ def _units(raw: bytes, min_words: int) -> tuple[np.ndarray, list[bytes]]:
 
 
 def _chunks(rows: DataFrame, min_words: int) -> DataFrame:
-    """(digest, id, hash, at) of every unit of every text."""
+    """(digest, id, hash, at) of every unit of every text, once: its own repeats in a text are known where it is cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -109,9 +111,10 @@ def _chunks(rows: DataFrame, min_words: int) -> DataFrame:
                 digests, ats, sizes = [], [], []
                 for i in range(first, min(first + SLICE_ROWS, len(batch))):
                     numbers, units = _units(texts[i].as_buffer().to_pybytes(), min_words)
-                    digests += map(digest_of, units)
-                    ats.append(numbers)
-                    sizes.append(len(units))
+                    once = dict(zip(reversed(units), reversed(numbers.tolist())))
+                    digests += map(digest_of, once)
+                    ats.append(np.fromiter(once.values(), np.int64, len(once)))
+                    sizes.append(len(once))
                 if digests:
                     part = pa.array(np.repeat(np.arange(first, first + len(sizes)), sizes))
                     columns = [pa.array(np.array(digests, np.uint64).view(np.int64))]
@@ -143,11 +146,21 @@ def _runs(found: dict[int, tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _cut(text: str, found: list[dict] | None, min_words: int) -> tuple[str, int, int, int]:
     """The text without its long runs of repeated chunks; removed runs, words and bytes."""
-    if not found:
-        return text, 0, 0, 0
     raw = text.encode("utf-8", "surrogatepass")
+    if not _long(raw, min_words):
+        return text, 0, 0, 0
+    places = {f["at"]: (f["text"], f["there"]) for f in found or ()}
+    numbers, units = _units(raw, min_words)
+    if len(set(units)) < len(units):
+        first: dict[bytes, int] = {}
+        for at, unit in zip(numbers.tolist(), units):
+            own = first.setdefault(unit, at)
+            if own != at:  # where the first one in this text is from, or that one itself
+                places[at] = places.get(own, (OWN, own))
+    if not places:
+        return text, 0, 0, 0
     cuts = [0, *cut_points(np.frombuffer(raw, np.uint8)).tolist()]
-    spans = [(cuts[a], cuts[b]) for a, b in _runs({f["at"]: (f["text"], f["there"]) for f in found})]
+    spans = [(cuts[a], cuts[b]) for a, b in _runs(places)]
     kept, last, runs, words = [], 0, 0, 0
     merged: list[list[int]] = []
     for a, b in sorted(s for s in spans if _long(raw[s[0] : s[1]], min_words)):
