@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
+from ..operators.temporal import Lag, Roll
 from ..session import scratch_path
-from ..streaming import streams
+from ..streaming import rolling, streams
 from .registry import query
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -21,6 +24,17 @@ def _live(lake):
     )
 
 
+@contextmanager
+def _rocksdb(spark):
+    """The state store that transformWithState needs, while a stream starts; later queries keep the session's own."""
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, streams.ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(STATE_STORE, before)
+
+
 def _run(lake, rows, name):
     base = scratch_path(lake.spark, name)
     return streams.run_to_table(rows, f"{base}/table", f"{base}/checkpoint")
@@ -81,9 +95,30 @@ def _(lake):
     # the stored days arrive twice, as a resent file would
     raw = lake.spark.readStream.schema(schema).parquet(store.path("station"))
     daily = raw.select("sensor_id", F.col("date").cast("timestamp").alias("ts"), "pm25")
-    before = lake.spark.conf.get(STATE_STORE)
-    lake.spark.conf.set(STATE_STORE, streams.ROCKSDB)
-    try:
+    with _rocksdb(lake.spark):
         return _run(lake, streams.stream_lag_features(daily.union(daily)), "lags")
-    finally:  # later queries keep the session's own setting
-        lake.spark.conf.set(STATE_STORE, before)
+
+
+_SPECS = [Lag("pm25", 1), Lag("pm25", 3), Roll("pm25", "mean", 3), Roll("pm25", "std", 7), Roll("pm25", "max", 14)]
+
+
+def _rolled(f, n):
+    frame = f"OVER (PARTITION BY sensor_id, seg ORDER BY date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    return f"CASE WHEN count(pm25) {frame} >= {max(1, n // 2)} THEN {f}(pm25) {frame} END"
+
+
+@query(
+    "stream_rolling_features",
+    f"""WITH g AS (SELECT sensor_id, date, pm25, CASE WHEN date - lag(date) OVER (PARTITION BY sensor_id ORDER BY date) <= 2 THEN 0 ELSE 1 END AS s FROM sparse_daily),
+      i AS (SELECT *, sum(s) OVER (PARTITION BY sensor_id ORDER BY date) AS seg FROM g)
+      SELECT sensor_id, date, pm25, lag(pm25, 1) OVER w AS pm25_lag1d, lag(pm25, 3) OVER w AS pm25_lag3d, {_rolled('avg', 3)} AS pm25_rollmean_3d,
+        {_rolled('stddev_samp', 7)} AS pm25_rollstd_7d, {_rolled('max', 14)} AS pm25_rollmax_14d FROM i WINDOW w AS (PARTITION BY sensor_id, seg ORDER BY date)
+      QUALIFY date + 1 <= (SELECT max(date) FROM sparse_daily) - 10""",
+    doubles="pm25 pm25_lag1d pm25_lag3d pm25_rollmean_3d pm25_rollstd_7d pm25_rollmax_14d",
+)
+def _(lake):
+    path = scratch_path(lake.spark, "days")
+    lake.sparse_daily().select("sensor_id", F.col("date").cast("timestamp").alias("ts"), "pm25").write.parquet(path)
+    daily = lake.spark.readStream.schema("sensor_id bigint, ts timestamp, pm25 double").parquet(path)
+    with _rocksdb(lake.spark):
+        return _run(lake, rolling.stream_rolling_features(daily, _SPECS), "rolling")
