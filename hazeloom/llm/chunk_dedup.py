@@ -25,7 +25,7 @@ from .common import fresh
 
 WINDOW = 16
 #: One in so many blanks ends a chunk, and one in so many other bytes, for texts without blanks.
-BLANKS, OTHERS = 5, 2048
+BLANKS, OTHERS = 6, 2048
 LONGEST = 8000
 #: A text that repeats itself within so many blanks, with the last WINDOW bytes the same, ends a chunk at each of them.
 PERIOD_BLANKS = 4
