@@ -84,7 +84,8 @@ def daily_affine_fit(
     All days are fitted together: every step reweights the rows with the day's current line and scale and sums the
     weighted moments per day, which combines map-side, so the number of anchors of a day does not matter.  The
     anchors are read once, as counted pairs, and stored; the steps go on until no line moves by more than
-    ``tolerance`` of its size, which is asked every fifth step, and ``most`` steps in any case.
+    ``tolerance`` of its size, which is asked every fifth step, and ``most`` steps in any case; ``converged`` tells the
+    days whose line has come to rest from those that still moved then.
     The scale follows from the joint Huber objective: squared residuals of the inliers over
     ``n - n_outliers * epsilon^2``.
     """
@@ -110,12 +111,14 @@ def daily_affine_fit(
         )
         if not (params.agg(F.max(moved)).first()[0] or 0.0) > tolerance:
             break
+    still = F.coalesce(moved <= tolerance, F.lit(True))
     usable = (F.col("n") >= min_rows) & F.col("slope").isNotNull()
     return params.select(
         date,
         "n",
         F.when(usable, F.col("slope")).otherwise(1.0).alias("slope"),
         F.when(usable, F.col("intercept")).otherwise(0.0).alias("intercept"),
+        (~usable | still).alias("converged"),
     )
 
 

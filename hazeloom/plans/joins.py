@@ -538,8 +538,8 @@ def stations_pairs(lake, season):
 
 @query(
     "provider_dimension",
-    """SELECT round(s.lat, 5) AS lat, round(s.lon, 5) AS lon, arg_max(CASE WHEN d.n > 3 THEN 'lowcost' ELSE s.provider END, d.date) AS provider
-    FROM station_daily d JOIN stations s USING (sensor_id) GROUP BY 1, 2 HAVING count(DISTINCT s.sensor_id) = 1""",
+    """SELECT round(d.lat, 5) AS lat, round(d.lon, 5) AS lon, arg_max(p, struct_pack(d := d.date, p := p)) AS provider
+    FROM (SELECT *, CASE WHEN n > 3 THEN 'lowcost' ELSE provider END AS p FROM station_daily JOIN stations USING (sensor_id)) d GROUP BY 1, 2""",
     doubles="lat lon",
 )
 def _(lake):

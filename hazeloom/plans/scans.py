@@ -118,9 +118,11 @@ def _(lake):
 @query(
     "file_catalog",
     """WITH d AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date, o_orderkey % 3 AS k FROM orders)
-      SELECT kind, date, h, v, count(*) AS n_files FROM (SELECT CASE k WHEN 0 THEN 'tile' WHEN 1 THEN 'day' ELSE 'month' END AS kind,
+      SELECT kind, date, h, v, min(path) AS path, count(*) AS n_files FROM (SELECT CASE k WHEN 0 THEN 'tile' WHEN 1 THEN 'day' ELSE 'month' END AS kind,
         CASE k WHEN 2 THEN date_trunc('month', date)::DATE ELSE date END AS date, CASE WHEN k = 0 THEN (20 + o_orderkey % 6)::INTEGER END AS h,
-        CASE WHEN k = 0 THEN (4 + o_orderkey % 3)::INTEGER END AS v FROM d) GROUP BY 1, 2, 3, 4""",
+        CASE WHEN k = 0 THEN (4 + o_orderkey % 3)::INTEGER END AS v,
+        CASE k WHEN 0 THEN format('lake/AOD.A{}.h{:02d}v{:02d}.061.{}.hdf', strftime(date, '%Y%j'), 20 + o_orderkey % 6, 4 + o_orderkey % 3, o_orderkey)
+          WHEN 1 THEN format('lake/no2_{}_{}.tif', strftime(date, '%Y-%m-%d'), o_orderkey) ELSE format('lake/{}/features_{}.nc', o_orderkey, strftime(date, '%Y_%m')) END AS path FROM d) GROUP BY 1, 2, 3, 4""",
 )
 def _(lake):
     k, d = F.col("o_orderkey"), F.col("o_orderdate")
@@ -131,12 +133,12 @@ def _(lake):
     day = F.concat(F.lit("lake/no2_"), F.date_format(d, "yyyy-MM-dd"), F.lit("_"), k.cast("string"), F.lit(".tif"))
     month = F.concat(F.lit("lake/"), k.cast("string"), F.lit("/features_"), F.date_format(d, "yyyy_MM"), F.lit(".nc"))
     paths = lake.table("orders").select(F.when(k % 3 == 0, tile).when(k % 3 == 1, day).otherwise(month).alias("path"))
-    return readers.file_catalog(paths).drop("path")
+    return readers.file_catalog(paths)
 
 
 @query(
     "granule_manifest",
-    """SELECT 'G' || doc_id AS title, 'N-' || doc_id AS native_id, source AS short_name, lang AS version, '2024-01-01T00:00:00Z' AS begin_datetime,
+    """SELECT CASE WHEN doc_id % 2 = 0 THEN 'G' || doc_id ELSE text END AS title, 'N-' || doc_id AS native_id, source AS short_name, lang AS version, '2024-01-01T00:00:00Z' AS begin_datetime,
     NULL::VARCHAR AS end_datetime, (doc_id % 4)::INTEGER AS n_related_urls FROM documents""",
 )
 def _(lake):
@@ -144,7 +146,7 @@ def _(lake):
     urls = F.transform(F.sequence(F.lit(0), (F.col("doc_id") % 4).cast("int")), lambda i: F.struct(F.when(i > 0, F.concat(F.lit("u"), i.cast("string"))).alias("URL")))
     doc = F.struct(
         F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("G"), d)).alias("GranuleUR"),
-        F.concat(F.lit("G"), d).alias("Title"),
+        F.col("text").alias("Title"),
         F.concat(F.lit("N-"), d).alias("NativeId"),
         F.struct(F.struct(F.lit("2024-01-01T00:00:00Z").alias("BeginningDateTime")).alias("RangeDateTime")).alias("TemporalExtent"),
         F.struct(F.col("source").alias("ShortName"), F.col("lang").alias("Version")).alias("CollectionReference"),
@@ -164,8 +166,7 @@ def _(lake):
     path = scratch_path(lake.spark, "quality")
     # one JSON file per day with the day in its folder's name
     report.withColumnRenamed("country_cells", readers.CELLS_FIELD).repartition("date").write.partitionBy("date").json(path)
-    docs = lake.spark.read.schema(readers.QUALITY_SCHEMA + ", date DATE").json(path)
-    flat = assemble.flatten_quality(docs.withColumnRenamed(readers.CELLS_FIELD, "country_cells"), list(_STAGES))
+    flat = assemble.flatten_quality(readers.read_quality_documents(lake.spark, path), list(_STAGES))
     return flat.select(
         "date", "total_features", "missing_features", "available_features",
         F.col("country_cells").cast("long").alias("country_cells"), "met_coverage", "met_features",
@@ -222,9 +223,8 @@ def _(lake):
 
 @query(
     "write_master",
-    """SELECT 'parquet' AS fmt, count(*) AS n, avg(pm25) AS mean FROM station_daily UNION ALL SELECT 'csv', count(*), avg(pm25) FROM station_daily
-    UNION ALL SELECT 'lake', count(*), avg(pm25) FROM station_daily""",
-    doubles="mean",
+    "SELECT fmt, sensor_id, date, pm25, n FROM station_daily, (VALUES ('parquet'), ('csv'), ('lake')) v(fmt)",
+    doubles="pm25",
     digits=9,
 )
 def _(lake):
@@ -238,9 +238,7 @@ def _(lake):
         "csv": lake.spark.read.schema(daily.schema).option("header", True).csv(store.path("csv")),
         "lake": store.read("lake"),
     }
-    parts = [
-        df.agg(F.count(F.lit(1)).alias("n"), F.avg("pm25").alias("mean")).withColumn("fmt", F.lit(f)) for f, df in back.items()
-    ]
+    parts = [df.select(F.lit(f).alias("fmt"), "sensor_id", "date", "pm25", "n") for f, df in back.items()]
     return assemble.union_partitions(parts)
 
 

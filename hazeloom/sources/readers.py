@@ -127,13 +127,14 @@ def granule_manifest(documents: DataFrame, text: str = "text") -> DataFrame:
 # Fields of a published quality document
 CELLS_FIELD = "pakistan_cells"
 QUALITY_SCHEMA = (
-    "total_features INT, missing_features INT, available_features INT, nan_fraction DOUBLE, " + f"{CELLS_FIELD} INT, "
+    "total_features INT, missing_features INT, available_features INT, nan_fraction DOUBLE, pakistan_cells INT, "
     "stage_coverage MAP<STRING, DOUBLE>, stage_nan_fraction MAP<STRING, DOUBLE>, stage_feature_count MAP<STRING, INT>"
 )
 
 
 def read_quality_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Per-day quality documents with the day taken from the file name."""
-    raw = spark.read.schema(QUALITY_SCHEMA).option("multiLine", True).json(path)
-    day = F.regexp_extract(F.col("_metadata.file_name"), DAY_NAME, 0)
+    """Per-day quality documents with the day taken from the file name, else from the folder's."""
+    raw = spark.read.schema(QUALITY_SCHEMA).option("multiLine", True).option("recursiveFileLookup", True).json(path)
+    own, folder = (F.nullif(F.regexp_extract(F.col(f"_metadata.{c}"), DAY_NAME, 0), F.lit("")) for c in ("file_name", "file_path"))
+    day = F.coalesce(own, folder)
     return raw.select(F.try_to_date(day).alias("date"), "*").withColumnRenamed(CELLS_FIELD, "country_cells")
