@@ -10,7 +10,7 @@ from ..operators.models import TreeParams
 from ..operators.temporal import target_lags
 from ..session import cut_lineage, scratch_path
 from .joins import CUBE_LAT, CUBE_LON
-from .registry import query
+from .registry import REGISTRY, query
 
 FEATURES = "WS10 blh RH WD10 sp t2m dT VC".split()
 SMALL = TreeParams(rounds=3, depth=3, step=0.3)
@@ -281,3 +281,84 @@ def _(lake):
     agree = _close("mae_base", "mae_base2") & _close("mae_pool", "mae_pool2") & _close("rmse_base", "rmse_base2") & _close("rmse_pool", "rmse_pool2")
     same = F.abs(F.col("mae_pool2") - F.col("mae_base2") - F.col("d_mae")) < 1e-6
     return joined.select("province", "split_mode", "block", "n_train", "n_test", F.col("n_base2").alias("n_base"), F.col("n_pool2").alias("n_pool"), (agree & same).alias("metrics_agree"))
+
+
+def _scored(df, predictions):
+    """A row for each test row, every prediction a number, and the errors smaller than those of one number for all."""
+    error = lambda c: F.avg(F.abs(F.col(c) - F.col("pm25")))
+    known = [F.count_if(F.col(c).isNotNull() & ~F.isnan(c)) == F.count(F.lit(1)) for c in predictions]
+    middle = df.agg(F.avg("pm25")).scalar()
+    ok = (F.countDistinct("sensor_id", "date") == F.count(F.lit(1))) & (error(predictions[0]) < F.avg(F.abs(F.col("pm25") - F.col("_m"))))
+    for k in known:
+        ok = ok & k
+    return df.withColumn("_m", middle).agg(F.count(F.lit(1)).alias("n_rows"), ok.alias("ok"))
+
+
+def _checked(df, condition):
+    """The number of rows, and whether all of them meet a condition."""
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.bool_and(F.coalesce(condition, F.lit(False))).alias("ok"))
+
+
+def _importances(df):
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), ((F.abs(F.sum("importance") - 1) < 1e-6) & (F.min("importance") >= 0)).alias("ok"))
+
+
+def _metrics(df):
+    return _checked(df, (F.col("mae") >= 0) & (F.col("rmse") >= F.col("mae") - 1e-9))
+
+
+def _ablation(df):
+    full = df.where("experiment = 'full'").select("scope", F.col("mae").alias("_f"))
+    zero = F.abs(F.col("delta_mae") - (F.col("mae") - F.col("_f"))) < 1e-9
+    return _checked(df.join(full, "scope", "left"), zero | F.col("mae").isNull())
+
+
+_TEST_ROWS = "(SELECT count(*) FROM d WHERE date >= DATE '2024-01-21')"
+_ALL_DAYS = "WITH d AS (SELECT s.sensor_id, s.date, s.pm25, t.province, t.provider FROM station_daily s JOIN met_daily USING (sensor_id, date) JOIN stations t ON t.sensor_id = s.sensor_id)"
+#: What each model query must satisfy, and the SQL of its number of rows.
+CHECKS = {
+    "train_gbt": (lambda d: _scored(d, ["y_pred"]), _TEST_ROWS),
+    "train_forest": (lambda d: _scored(d, ["y_pred"]), _TEST_ROWS),
+    "forest_quantiles": (lambda d: _checked(d, (F.col("q10") <= F.col("q50")) & (F.col("q50") <= F.col("q90"))), _TEST_ROWS),
+    "two_stage_predict": (lambda d: _scored(d, ["y_pred", "backbone_pred"]), _TEST_ROWS),
+    "global_model": (lambda d: _scored(d, ["y_pred"]), _TEST_ROWS),
+    "weighted_global": (lambda d: _scored(d, ["y_pred"]), _TEST_ROWS),
+    "anchor_only": (lambda d: _scored(d, ["y_pred"]), _TEST_ROWS),
+    "score_validation_pair": (lambda d: _scored(d, ["pred_with_history", "pred_no_history"]), _TEST_ROWS),
+    "feature_importance": (_importances, "8"),
+    "two_stage_fit": (_importances, "9"),
+    "random_search": (_metrics, "3"),
+    "compare_models": (_metrics, "2"),
+    "feature_ablation": (_ablation, "14"),
+    "alignment_cv": (lambda d: _checked(d, F.col("n") == F.col("_n")), "9"),
+    "lopo_eval": (_metrics, "(SELECT count(*) FROM (SELECT province FROM d GROUP BY 1 HAVING count(DISTINCT sensor_id) >= 2 AND count(*) >= 30))"),
+    "score_grid": (
+        lambda d: _checked(d, F.col("pm25").isNull() | (F.col("pm25") >= 0)),
+        "(SELECT count(*) FROM (SELECT DISTINCT CAST(ts AS DATE), event_id % 11, event_id % 13 FROM met_readings))",
+    ),
+}
+
+
+def _register_checks(title, names):
+    counts = " UNION ALL ".join(f"SELECT '{n}' AS model, {CHECKS[n][1]}::BIGINT AS n_rows, true AS ok" for n in names)
+
+    @query(title, f"{_ALL_DAYS} SELECT * FROM ({counts})")
+    def _(lake):
+        parts = []
+        for name in names:
+            found = REGISTRY[name].run(lake.spark, lake.folder)
+            if name == "alignment_cv":  # every regulatory row with a value is scored once by each approach
+                _low, reg = _networks(_rows(lake))
+                found = found.withColumn("_n", reg.where("pm25 IS NOT NULL").agg(F.count(F.lit(1))).scalar())
+            parts.append(cut_lineage(CHECKS[name][0](found).select(F.lit(name).alias("model"), "n_rows", "ok")))
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+
+_names = list(CHECKS)
+_register_checks("prediction_checks", _names[:4])
+_register_checks("network_checks", _names[4:8])
+_register_checks("importance_checks", _names[8:12])
+_register_checks("evaluation_checks", _names[12:])
