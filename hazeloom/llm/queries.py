@@ -114,19 +114,23 @@ t AS (
         ['query:' || lower(x) FOR x IN regexp_extract_all(url, '[?&]([^=&#]+)=', 1)])))) AS items
     FROM p
 ),
-sub AS (
-    SELECT r, array_to_string([items[i + 1] FOR i IN range(len(items)) IF (m >> i) & 1 = 1], chr(1)) AS s
-    FROM (SELECT r, items, unnest(range(1, (1 << len(items))::BIGINT)) AS m FROM t WHERE len(items) < 20)
-),
 lab AS (
     SELECT doc_id AS page_id, max((quality = 0 OR toxic = 1)::INT) AS bad FROM labels
     WHERE (quality = 0 OR toxic = 1) IS NOT NULL AND doc_id IS NOT NULL GROUP BY 1
 ),
 tx AS (SELECT r, bad FROM p JOIN lab USING (page_id)),
+least AS (SELECT ceil(greatest(0.002, 5.0 / count(*)) * count(*) - 1e-9) AS n FROM tx),
+often AS (
+    SELECT token FROM (SELECT r, unnest(items) AS token FROM t) JOIN tx USING (r) GROUP BY token HAVING sum(bad) >= (SELECT n FROM least)
+),
+f AS (SELECT r, list(token ORDER BY token) AS items FROM (SELECT r, unnest(items) AS token FROM t) SEMI JOIN often USING (token) GROUP BY r),
+sub AS (
+    SELECT r, array_to_string([items[i + 1] FOR i IN range(len(items)) IF (m >> i) & 1 = 1], chr(1)) AS s
+    FROM (SELECT r, items, unnest(range(1, (1 << len(items))::BIGINT)) AS m FROM f)
+),
 rules AS (
     SELECT s FROM sub JOIN tx USING (r) GROUP BY s
-    HAVING sum(bad) >= ceil(greatest(0.002, 5.0 / (SELECT count(*) FROM tx)) * (SELECT count(*) FROM tx) - 1e-9)
-        AND sum(bad) >= 0.6 * count(*)
+    HAVING sum(bad) >= (SELECT n FROM least) AND sum(bad) >= 0.6 * count(*)
 ),
 fire AS (SELECT DISTINCT r FROM sub JOIN rules USING (s)),
 given AS (
@@ -190,7 +194,7 @@ def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality_model.fit(docs, labels, "doc_id", "text", "quality")
     scored = docs.select(
         "doc_id",
-        (quality_model.fold(F.col("doc_id")) == 0).alias("held_out"),
+        F.coalesce(quality_model.fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"),
         quality_model.score(F.col("text"), model).alias("score"),
     )
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
