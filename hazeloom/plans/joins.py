@@ -391,13 +391,13 @@ def _(lake):
 
 
 _EDGES = "polygon_edges"
-_INSIDE = """SELECT p.k, e.poly_id, e.name FROM pts p JOIN polygon_edges e ON (e.y1 > p.lat) <> (e.y2 > p.lat)
+INSIDE = """SELECT p.k, e.poly_id, e.name FROM pts p JOIN polygon_edges e ON (e.y1 > p.lat) <> (e.y2 > p.lat)
   AND p.lon < e.x1 + (e.x2 - e.x1)*(p.lat - e.y1)/(e.y2 - e.y1) GROUP BY 1, 2, 3 HAVING count(*) % 2 = 1"""
 
 
 @query(
     "province_join",
-    f"""WITH pts AS (SELECT sensor_id AS k, lat, lon FROM stations), i AS ({_INSIDE})
+    f"""WITH pts AS (SELECT sensor_id AS k, lat, lon FROM stations), i AS ({INSIDE})
       SELECT s.sensor_id, coalesce((SELECT arg_min(name, poly_id) FROM i WHERE i.k = s.sensor_id), 'Unknown') AS province FROM stations s""",
 )
 def _(lake):
@@ -407,7 +407,7 @@ def _(lake):
 @query(
     "country_mask",
     f"""WITH pts AS (SELECT event_id AS k, 37.3::DOUBLE - 14*((event_id*7 % 1000)/999.0::DOUBLE) AS lat, 60.5::DOUBLE + 18.5*((event_id*13 % 997)/996.0::DOUBLE) AS lon FROM events),
-      i AS (SELECT DISTINCT k FROM ({_INSIDE})) SELECT p.k AS event_id, i.k IS NOT NULL AS inside FROM pts p LEFT JOIN i ON i.k = p.k""",
+      i AS (SELECT DISTINCT k FROM ({INSIDE})) SELECT p.k AS event_id, i.k IS NOT NULL AS inside FROM pts p LEFT JOIN i ON i.k = p.k""",
 )
 def _(lake):
     e = F.col("event_id")

@@ -9,7 +9,9 @@ from ..operators import backtest, models, spatial, splits
 from ..operators.models import TreeParams
 from ..operators.temporal import target_lags
 from ..session import cut_lineage, scratch_path
-from .joins import CUBE_LAT, CUBE_LON
+from ..sources.store import FeatureStore
+from ..workflows import score_range
+from .joins import CUBE_LAT, CUBE_LON, INSIDE
 from .registry import REGISTRY, query
 
 FEATURES = "WS10 blh RH WD10 sp t2m dT VC".split()
@@ -208,6 +210,32 @@ def _(lake):
     return models.score_grid(fitted, masked, F.col("inside")).select("date", "iy", "ix", "pm25")
 
 
+_CELL_POINTS = "SELECT DISTINCT event_id % 11 AS iy, event_id % 13 AS ix, iy || '_' || ix AS k, 37.3::DOUBLE - 1.4*iy AS lat, 60.5::DOUBLE + 1.45*ix AS lon FROM events"
+
+
+@query(
+    "score_range",
+    f"""WITH pts AS ({_CELL_POINTS}), i AS (SELECT DISTINCT k FROM ({INSIDE})),
+      d AS (SELECT DISTINCT CAST(ts AS DATE) AS date, event_id % 11 || '_' || event_id % 13 AS cell_id FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2024-01-20')
+      SELECT date, cell_id, i.k IS NOT NULL AS scored, true AS usable FROM d LEFT JOIN i ON i.k = d.cell_id""",
+)
+def _(lake):
+    """A stored grid, a saved model, one job for the range."""
+    e = F.col("event_id")
+    store, path = FeatureStore(lake.spark, scratch_path(lake.spark, "grid")), scratch_path(lake.spark, "model")
+    days = lake.met_readings().groupBy(F.to_date("ts").alias("date"), (e % 11).alias("iy"), (e % 13).alias("ix"))
+    days = cut_lineage(days.agg(*[F.avg(c).alias(c) for c in ("WS10", "blh", "RH", "WD10", "sp", "t2m", "d2m")]))
+    days = days.withColumn("cell_id", F.concat_ws("_", F.col("iy").cast("string"), F.col("ix").cast("string")))
+    store.write("met", days.select("date", "cell_id", "WS10", "blh", "RH", "WD10", "sp"))
+    store.write("heat", days.select("date", "cell_id", "t2m", (F.col("t2m") - F.col("d2m")).alias("dT"), (F.col("WS10") * F.col("blh")).alias("VC")))
+    models.train_gbt(_rows(lake), FEATURES, params=SMALL).save(path)
+    cells = days.select("cell_id", CUBE_LAT.value(F.col("iy")).alias("lat"), CUBE_LON.value(F.col("ix")).alias("lon")).distinct()
+    cells = spatial.country_mask(cells, lake.polygon_edges())
+    out = score_range(store, models.load_fitted(lake.spark, path), cells, ["met", "heat"], "2024-01-10", "2024-01-20")
+    usable = F.col("pm25").isNull() | ((F.col("pm25") >= 0) & ~F.isnan("pm25"))
+    return out.select("date", "cell_id", F.col("pm25").isNotNull().alias("scored"), usable.alias("usable"))
+
+
 @query("score_validation_pair")
 def _(lake):
     rows = _rows(lake)
