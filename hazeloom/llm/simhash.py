@@ -124,9 +124,12 @@ class BKTree:
         parts = np.split(rows[1:][order], at[1:])
         return rows[0], {int(e): self._node(part) for e, part in zip(edges, parts)}
 
-    def within(self, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def within(self, queries: np.ndarray, radius: int, sets: Sets | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(query, row) pairs within the radius, node by node: all queries that reach a node are compared with it at
-        once, and each goes on along the edges within the radius of its own distance."""
+        once, and each goes on along the edges within the radius of its own distance.
+
+        With ``sets`` of the rows, which are the queries then, a leaf that is all of one set is not compared with that
+        set's own rows; so a dense group is compared with its first leaf and hardly with itself."""
         waiting = [(self.root, np.arange(len(queries)))]
         while waiting:
             node, q = waiting.pop()
@@ -144,6 +147,10 @@ class BKTree:
                 continue
             for first in range(0, len(q), QUERIES):
                 part = q[first : first + QUERIES]
+                if sets is not None:
+                    names = sets.names(node)
+                    if (names == names[0]).all():
+                        part = part[sets.names(part) != names[0]]
                 found, row = np.nonzero(distances(queries[part][:, None], self.prints[node][None]) <= radius)
                 self.compared += len(part) * len(node)
                 if len(found):
@@ -176,7 +183,7 @@ class Sets:
 def shard_links(prints: np.ndarray, radius: int, tree: BKTree | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links (row, smallest row of its set) that join the same fingerprints as all pairs within the radius would."""
     tree, sets = tree or BKTree(prints), Sets(len(prints))
-    for query, row in tree.within(prints, radius):
+    for query, row in tree.within(prints, radius, sets):
         sets.unite(query, row)
     names = sets.names(np.arange(len(prints)))
     linked = np.flatnonzero(names != np.arange(len(prints)))

@@ -130,6 +130,16 @@ def test_the_tree_does_the_pruning():
     assert {(int(a), int(b)) for a, b in zip(left, right)} == {(i + j, i) for i in range(0, 3000, 3) for j in (1, 2)}
 
 
+def test_a_dense_group_is_hardly_compared_with_itself():
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.integers(-(2**63), 2**63 - 1, (1, 3), dtype=np.int64), 6000, axis=0)
+    x[np.arange(6000), rng.integers(0, 3, 6000)] ^= rng.integers(0, 2**16, 6000)  # all within 32 bits of each other
+    tree = simhash.BKTree(np.unique(x, axis=0))
+    left, right = simhash.shard_links(tree.prints, 45, tree)
+    assert len(left) == len(tree.prints) - 1 and (right == 0).all()
+    assert tree.compared < 0.25 * len(tree.prints) ** 2
+
+
 def test_tables_of_bits():
     assert [len(t) for t in simhash.bit_tables(1000, 64, 3, 0.9)] == [0]  # one shard, one tree
     some = simhash.bit_tables(10**6, 64, 3, 0.9)
