@@ -194,8 +194,8 @@ def bit_tables(n: int, bits: int, radius: int, recall: float, similarity: float
     """Bit positions per table; fingerprints that agree on all positions of a table share a shard.
 
     Exact for a radius that is small against the bits: of radius + 1 equal pieces a pair within the radius agrees on
-    one at least. A table takes as many bits of its piece as leave shards of some SHARD_ROWS; up to that number of
-    fingerprints there is one shard of all. Past what a piece can tell apart the pieces are more and a table is every
+    one at least. A table takes as many bits of its piece as leave shards of some SHARD_ROWS, one in any case, so that
+    every size works alike. Past what a piece can tell apart the pieces are more and a table is every
     choice of m - radius of m.
 
     A wide radius leaves neither such pieces nor edges to skip. There tables are seeded samples for shards of some 256,
@@ -203,9 +203,7 @@ def bit_tables(n: int, bits: int, radius: int, recall: float, similarity: float
     similarity, whose distances are spread as the sum of independent bits.
     """
     if 8 * radius <= bits:
-        wanted = max(0, math.ceil(math.log2(max(n, 1) / SHARD_ROWS)))
-        if not wanted:
-            return [np.empty(0, np.int64)]
+        wanted = max(1, math.ceil(math.log2(max(n, 1) / SHARD_ROWS)))
         for m in range(radius + 1, bits + 1):
             pieces = np.array_split(np.arange(bits), m)
             if (m - radius) * (bits // m) >= wanted:

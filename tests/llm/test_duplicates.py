@@ -141,7 +141,7 @@ def test_a_dense_group_is_hardly_compared_with_itself():
 
 
 def test_tables_of_bits():
-    assert [len(t) for t in simhash.bit_tables(1000, 64, 3, 0.9)] == [0]  # one shard, one tree
+    assert [len(t) for t in simhash.bit_tables(1000, 64, 3, 0.9)] == [1, 1, 1, 1]  # as at any size: halves of each piece
     some = simhash.bit_tables(10**6, 64, 3, 0.9)
     assert len(some) == 4 and all(len(t) == 4 for t in some)
     rng = random.Random(5)
