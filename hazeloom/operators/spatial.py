@@ -16,6 +16,7 @@ from ..constants import GRID_COLS, GRID_LAT_MAX, GRID_LON_MIN, GRID_RES, GRID_RO
 from ..functions.geo import haversine_km
 from ..functions.ids import cell_id
 from .cells import places_in_cover, polygon_cover
+from .nearby import bucket_x, buckets_around, near_differences
 from .nearest import nearest_cells
 
 
@@ -293,25 +294,14 @@ def near_pairs(sites: DataFrame, key: str, max_km: float) -> DataFrame:
     is an equi-join that adaptive execution splits where one bucket is crowded.
     """
     width = max_km / 100.0
-    # a degree of longitude shrinks polewards, so there are fewer buckets around the globe in higher bands, and one
-    # near the poles; they divide the circle evenly, so that the first is a neighbour of the last
-    def around(lat_bucket: Column) -> Column:
-        edge = (F.abs(lat_bucket) + 2) * width
-        shrunk = F.cos(F.radians(F.least(edge, F.lit(89.0))))
-        return F.when(edge < 88.0, F.greatest(F.floor(360.0 * shrunk / width), F.lit(1).cast("long"))).otherwise(F.lit(1).cast("long"))
-
-    def bucket_x(lat_bucket: Column, lon: Column) -> Column:
-        n = around(lat_bucket)
-        return F.pmod(F.floor(F.pmod(lon + 180.0, F.lit(360.0)) / 360.0 * n), n)
-
     site = sites.select(key, "lat", "lon").withColumn("_by", F.floor(F.col("lat") / width))
     right = site.select(
         F.col(key).alias("b"), F.col("lat").alias("_blat"), F.col("lon").alias("_blon"), "_by",
-        bucket_x(F.col("_by"), F.col("lon")).alias("_bx"),
+        bucket_x(F.col("_by"), F.col("lon"), width).alias("_bx"),
     )
     ring = F.sequence(F.lit(-1), F.lit(1))
     beside = F.array_distinct(
-        F.transform(ring, lambda d: F.pmod(bucket_x(F.col("_by"), F.col("_alon")) + d, around(F.col("_by"))))
+        F.transform(ring, lambda d: F.pmod(bucket_x(F.col("_by"), F.col("_alon"), width) + d, buckets_around(F.col("_by"), width)))
     )
     left = (
         site.select(F.col(key).alias("a"), F.col("lat").alias("_alat"), F.col("lon").alias("_alon"), "_by")
@@ -332,16 +322,12 @@ def pairwise_disagreement(
 ) -> DataFrame:
     """Mean absolute same-day difference of station pairs by distance band and season.
 
-    Pairs are formed once per site, then joined to the days; (key, date) is unique in ``daily``.
+    Neither pairs of stations nor their days are formed (``nearby.near_differences``); (key, date) is unique in
+    ``daily``, and ``season`` depends on the date alone.
     """
-    pairs = near_pairs(sites, key, bands[-1])
-    band = F.lit(None).cast("string")
-    for low, high in zip(bands, bands[1:]):
-        inside = (F.col("km") >= low) & (F.col("km") < high if high != bands[-1] else F.col("km") <= high)
-        band = F.when(inside, f"{low:g}-{high:g}").otherwise(band)
-    a = daily.select(F.col(key).alias("a"), "date", F.col("pm25").alias("_ya"))
-    b = daily.select(F.col(key).alias("b"), "date", F.col("pm25").alias("_yb"))
-    both = pairs.withColumn("band", band).join(a, "a").join(b, ["b", "date"])
-    return both.groupBy("band", season.alias("season")).agg(
-        F.count(F.lit(1)).alias("n_pairs"), F.avg(F.abs(F.col("_ya") - F.col("_yb"))).alias("mae")
+    at = daily.select(key, "date", F.col("pm25").alias("value")).join(sites.select(key, "lat", "lon"), key)
+    found = near_differences(at, bands)
+    names = F.array(*[F.lit(f"{low:g}-{high:g}") for low, high in zip(bands, bands[1:])])
+    return found.groupBy(F.get(names, F.col("band")).alias("band"), season.alias("season")).agg(
+        F.sum("n_pairs").alias("n_pairs"), F.try_divide(F.sum("total"), F.sum("n_known")).alias("mae")
     )

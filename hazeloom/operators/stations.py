@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..constants import MIN_VALID_HOURS
+from .nearby import near_sums
 from .quantile import exact_quantiles
-from .spatial import near_pairs
 from .temporal import series
 
 
@@ -146,27 +146,56 @@ def monitor_history(
 ) -> DataFrame:
     """Own values 1..n calendar days back and the mean of the other stations nearby on those days.
 
-    The neighbour mean leaves the station itself out.  (key, date) is unique.
+    The neighbour mean leaves the station itself out: it is the sum around the station's place (``nearby.near_sums``)
+    less the station's own part. (key, date) is unique.
     """
-    pairs = near_pairs(sites, key, radius_km)
-    both_ways = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    value = daily.select(F.col(key).alias("b"), "date", F.col(target).alias("_v"))
-    nearby = (
-        both_ways.join(value, "b")
-        .groupBy(F.col("a").alias(key), "date")
-        .agg(F.avg("_v").alias("_near"), F.count("_v").alias("_n"))
+    v = F.col(target).cast("double")
+    inf = float("inf")
+    finite = F.when(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < inf), v)
+    # sums and numbers of values; those that no sum can hold are counted
+    parts = {
+        "_total": F.coalesce(finite, F.lit(0.0)), "_n": v.isNotNull().cast("int"), "_nan": F.coalesce(F.isnan(v), F.lit(False)).cast("int"),
+        "_up": F.coalesce(v == inf, F.lit(False)).cast("int"), "_down": F.coalesce(v == -inf, F.lit(False)).cast("int"),
+        "_rows": F.lit(1),
+    }
+    placed = daily.select(key, "date", target, *[c.alias(n) for n, c in parts.items()]).join(
+        sites.select(key, "lat", "lon"), key, "left"
     )
-    shifts = F.explode(F.sequence(F.lit(1), F.lit(max_lag_days)))
-    own = (
-        daily.select(key, "date", F.col(target).alias("_own"))
-        .join(nearby, [key, "date"], "full")
-        .withColumn("_k", shifts)
-        .withColumn("date", F.date_add("date", F.col("_k")))
+    day = F.unix_date("date")
+
+    def back(window, k: int):
+        return window.orderBy(day).rangeBetween(-k, -k)
+
+    own = Window.partitionBy(key)
+    lags = range(1, max_lag_days + 1)
+    mine = placed.select(
+        key, "date", "lat", "lon",
+        *[F.max(target).over(back(own, k)).alias(f"{target}_own_lag{k}") for k in lags],
+        *[
+            F.coalesce(F.sum(n).over(back(own, k)), F.lit(0)).cast("double").alias(f"_own{n}{k}") for k in lags for n in parts
+        ],
     )
-    lagged = own.groupBy(key, "date").agg(
-        *[F.max(F.when(F.col("_k") == k, F.col("_own"))).alias(f"{target}_own_lag{k}") for k in range(1, max_lag_days + 1)],
-        *[F.max(F.when(F.col("_k") == k, F.col("_near"))).alias(f"{target}_near_lag{k}") for k in range(1, max_lag_days + 1)],
-        F.max(F.when(F.col("_k") == 1, F.col("_n"))).alias("n_near_lag1"),
+    # the days looked back at are asked for at each place, whether it has rows on them or not
+    asked = placed.select("lat", "lon", "date").distinct().withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(max_lag_days))))
+    asked = asked.select("lat", "lon", F.date_sub("date", F.col("_k")).alias("date"), *[F.lit(0).cast(placed.schema[n].dataType).alias(n) for n in parts])
+    around = near_sums(placed.select("lat", "lon", "date", *parts).union(asked), radius_km, list(parts))
+    place = Window.partitionBy("lat", "lon")
+    around = around.select("lat", "lon", "date", *[F.max(n).over(back(place, k)).alias(f"_near{n}{k}") for k in lags for n in parts])
+    both = mine.join(around, ["lat", "lon", "date"], "left")
+
+    def others(n: str, k: int) -> Column:
+        return F.col(f"_near{n}{k}") - F.col(f"_own{n}{k}")
+
+    def mean(k: int) -> Column:
+        nan = (others("_nan", k) > 0) | ((others("_up", k) > 0) & (others("_down", k) > 0))
+        total = F.when(nan, float("nan")).when(others("_up", k) > 0, inf).when(others("_down", k) > 0, -inf).otherwise(others("_total", k))
+        return F.when(others("_n", k) > 0, total / others("_n", k))
+
+    lagged = both.select(
+        key, "date",
+        *[f"{target}_own_lag{k}" for k in lags],
+        *[mean(k).alias(f"{target}_near_lag{k}") for k in lags],
+        F.when(others("_rows", 1) > 0, others("_n", 1).cast("long")).alias("n_near_lag1"),
     )
     return daily.join(lagged, [key, "date"], "left")
 
