@@ -6,13 +6,9 @@ sink, which starts a query.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from ..constants import MIN_VALID_HOURS
 
@@ -64,64 +60,33 @@ def stream_store_sink(rows: DataFrame, path: str, checkpoint: str) -> StreamingQ
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-DAY_MS = 86_400_000
-
-
-class PreviousDay(StatefulProcessor):
-    """Holds a station's days until the watermark has passed them, then answers each with the day before.
+def finished_days(daily: DataFrame, delay: str, **values: Column) -> DataFrame:
+    """Rows (sensor_id, ts, values), one per station and day, once the watermark has passed the whole day.
 
-    A day is kept for one day more after its answer, for its successor, and then dropped; so the state is as long as
-    the watermark's delay, and a day that comes late or before its predecessor is answered like any other.
+    Of several values the first to arrive that is not null counts. Rows without a station or a day are left out.
+    ``delay`` counts from the start of the day, so the day itself comes on top.
     """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.values = handle.getMapState("values", "day int", "pm25 double")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for chunk in rows:
-            for day, value in zip(chunk["day"].astype(int), chunk["pm25"].astype(float)):
-                self.values.updateValue((int(day),), (float(value),))
-                self.handle.registerTimer((int(day) + 1) * DAY_MS)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        day = expiredTimerInfo.getExpiryTimeInMs() // DAY_MS - 1
-        before = self.values.getValue((day - 1,)) if self.values.containsKey((day - 1,)) else None
-        if before is not None:
-            self.values.removeKey((day - 1,))
-        if not self.values.containsKey((day,)):
-            return  # the timer that drops the day before
-        self.handle.registerTimer((day + 2) * DAY_MS)
-        lag = None if before is None else before[0]
-        yield pd.DataFrame({"sensor_id": [int(key[0])], "day": [day], "pm25": [self.values.getValue((day,))[0]], "pm25_lag1": [lag]})
-
-    def close(self) -> None:
-        pass
-
-
-LAG_SCHEMA = T.StructType(
-    [
-        T.StructField("sensor_id", T.LongType()),
-        T.StructField("day", T.IntegerType()),
-        T.StructField("pm25", T.DoubleType()),
-        T.StructField("pm25_lag1", T.DoubleType()),
-    ]
-)
+    known = daily.where("sensor_id IS NOT NULL AND ts IS NOT NULL").withColumn("ts", F.date_trunc("day", "ts"))
+    marked = known.withWatermark("ts", f"{delay} 1 day")
+    return marked.groupBy("sensor_id", "ts").agg(*[F.first(v, ignorenulls=True).alias(c) for c, v in values.items()])
 
 
 def stream_lag_features(daily: DataFrame, delay: str = "10 days") -> DataFrame:
     """Previous-day value per station, for days that the watermark has passed; a resent (station, day) counts once.
 
-    ``daily`` has (sensor_id, ts, pm25) with ``ts`` the day's timestamp.  Needs the RocksDB state store.
+    ``daily`` has (sensor_id, ts, pm25) with ``ts`` the day's timestamp. Every row goes to its own day and, as the value
+    before, to the next one; both meet in the state of that day, which is dropped with its answer. A value that arrives
+    when its own day has been answered still counts for a next day that has not.
     """
-    once = daily.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["sensor_id", "ts"])
-    days = once.select("sensor_id", "ts", F.unix_date(F.to_date("ts")).alias("day"), "pm25")
-    return (
-        days.groupBy("sensor_id")
-        .transformWithStateInPandas(PreviousDay(), LAG_SCHEMA, "Append", "EventTime")
-        .select("sensor_id", F.date_from_unix_date("day").alias("date"), "pm25", "pm25_lag1")
+    value, none = F.coalesce("pm25", F.lit(float("nan"))), F.lit(None).cast("double")  # an unknown value is one that arrived
+    next_day = F.date_trunc("day", "ts") + F.make_interval(days=F.lit(1))
+    both = F.array(
+        F.struct("ts", value.alias("own"), none.alias("before")), F.struct(next_day.alias("ts"), none.alias("own"), value.alias("before"))
     )
+    spread = daily.select("sensor_id", F.inline(both))
+    # the next day's rows are a day ahead of the readings, and so is the watermark they carry
+    days = finished_days(spread, f"{delay} 1 day", own=F.col("own"), before=F.col("before")).where("own IS NOT NULL")
+    return days.select("sensor_id", F.to_date("ts").alias("date"), F.nullif("own", F.lit(float("nan"))).alias("pm25"), F.nullif("before", F.lit(float("nan"))).alias("pm25_lag1"))
 
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
