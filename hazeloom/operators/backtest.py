@@ -11,23 +11,20 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
+from functools import partial
 
-from pyspark import inheritable_thread_target
 from pyspark.ml.feature import Bucketizer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import scratch_path, stored
+from ..session import PARALLEL, scratch_path, side_by_side, stored
 from .evaluate import METRICS, metric_aggregates, persistence_baseline, skill_score
 from .models import TreeParams
 from .quantile import array_median
 from .splits import hash_bucket
 
 BINS = 32
-#: Fits that run at the same time.
-PARALLEL = 3
 
 
 @dataclass(frozen=True)
@@ -108,11 +105,7 @@ def fold_predictions(table: FoldTable, params: TreeParams = TreeParams(), parall
         scored.write.parquet(f"{root}/job={variant}-{i}")
 
     jobs = [(i, v) for i, name in enumerate(table.names) if name in usable for v in table.variants]
-    pool = ThreadPool(max(1, min(parallel, len(jobs) or 1)))
-    try:
-        pool.map(inheritable_thread_target(spark)(run), jobs, chunksize=1)
-    finally:
-        pool.close()
+    side_by_side(spark, [partial(run, job) for job in jobs], parallel)
     if not jobs:
         none = [F.lit(None).cast("double").alias("y_pred"), F.lit("").alias("variant"), F.lit("").alias("fold")]
         return table.rows.where("false").select(*kept, *none)

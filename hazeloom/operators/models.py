@@ -11,6 +11,7 @@ import random
 import warnings
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
+from functools import partial
 
 from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressionModel, RandomForestRegressor
@@ -18,10 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.aqi import group_weights
-from ..session import cut_lineage
+from ..session import cut_lineage, side_by_side, stored
 from .assemble import fit_medians, median_impute
 from .calibrate import daily_affine_apply, daily_affine_fit, daily_offset_apply, daily_offset_fit
 from .evaluate import METRICS, cv_aggregate, evaluate_predictions
+from .quantile import fold_medians
 from .splits import hash_bucket
 
 FEATURES_COL = "_features"
@@ -103,8 +105,13 @@ def train_gbt(
     params: TreeParams = TreeParams(),
     medians: DataFrame | None = None,
 ) -> Fitted:
-    """Boosted trees with absolute loss; rows flagged by ``val`` decide when to stop."""
+    """Boosted trees with absolute loss; rows flagged by ``val`` decide when to stop.
+
+    Where none of the rows with a target is flagged, or all are, every round is fitted on all of them.
+    """
     rows, shell = _training_table(train, features, target, weight, val, categories, medians)
+    if val and any(rows.where(side).isEmpty() for side in ("_val", "NOT _val")):
+        val = None
     trainer = GBTRegressor(
         labelCol="_y",
         featuresCol=FEATURES_COL,
@@ -183,6 +190,12 @@ def _scores(predicted: DataFrame, target: str, **labels) -> DataFrame:
     return cut_lineage(table)
 
 
+def _medians_of_folds(rows: DataFrame, features: Sequence[str], trains: Sequence[Column]) -> list[DataFrame]:
+    """The training medians of each fold, all from the same passes over the rows."""
+    found = stored(fold_medians(rows, list(features), trains), "medians")
+    return [found.where(F.col("fold") == i).drop("fold") for i in range(len(trains))]
+
+
 #: What the random search draws from.
 SEARCH_SPACE = {
     "depth": (4, 5, 6, 8, 10),
@@ -214,12 +227,15 @@ def random_search(
     target: str = "pm25",
 ) -> DataFrame:
     """Candidates over (train, validation) folds, best mean R2 first and lower MAE on ties."""
-    tables = []
-    for i, params in enumerate(candidates):
-        for j, (train, val) in enumerate(folds):
-            fitted = train_gbt(rows.where(train), features, target, params=params)
-            tables.append(_scores(fitted.predict(rows.where(val)), target, candidate=i, fold=j))
-    means = _union(tables).groupBy("candidate").agg(*[F.avg(m).alias(m) for m in ("r2", "mae", "rmse")])
+    medians = _medians_of_folds(rows, features, [train for train, _ in folds])
+
+    def run(i: int, j: int) -> DataFrame:
+        train, val = folds[j]
+        fitted = train_gbt(rows.where(train), features, target, params=candidates[i], medians=medians[j])
+        return _scores(fitted.predict(rows.where(val)), target, candidate=i, fold=j)
+
+    jobs = [partial(run, i, j) for i in range(len(candidates)) for j in range(len(folds))]
+    means = _union(side_by_side(rows.sparkSession, jobs)).groupBy("candidate").agg(*[F.avg(m).alias(m) for m in ("r2", "mae", "rmse")])
     return means.orderBy(F.desc("r2"), "mae", "candidate")
 
 
@@ -257,12 +273,14 @@ def feature_ablation(
     for name, cols in families.items():
         grown = [*grown, *cols]
         runs[f"up_to_{name}"] = list(grown)
-    tables = []
-    for run, cols in runs.items():
-        predicted = cut_lineage(train_gbt(train, cols, target, params=params).predict(test))
-        tables.append(_scores(predicted, target, experiment=run, scope="overall"))
-        tables.append(_scores(predicted.where(winter), target, experiment=run, scope="winter"))
-    table = _union(tables)
+    medians = stored(fit_medians(train, everything), "medians")
+
+    def measure(run: str) -> DataFrame:
+        predicted = train_gbt(train, runs[run], target, params=params, medians=medians).predict(test)
+        predicted = stored(predicted.select(target, "y_pred", winter.alias("_winter")), "predicted")
+        return _union([_scores(predicted, target, experiment=run, scope="overall"), _scores(predicted.where("_winter"), target, experiment=run, scope="winter")])
+
+    table = _union(side_by_side(train.sparkSession, [partial(measure, run) for run in runs]))
     full = table.where("experiment = 'full'").select(
         "scope", F.col("mae").alias("_mae"), F.col("r2").alias("_r2"), F.col("f1_150").alias("_f1")
     )
@@ -383,15 +401,15 @@ def alignment_fold(
     """
     common = {"target": target, "params": params, "medians": backbone.medians}
     features = list(backbone.features)
-    plain = {
-        "two_stage": two_stage_fit(lowcost, train, features, row_key, target=target, params=params, backbone=backbone),
-        "anchor_only": anchor_only(train, features, **common),
-    }
-    calibrated = {
-        "backbone": backbone,
-        "global": global_model(lowcost, train, features, row_key, **common),
-        "weighted_global": weighted_global(lowcost, train, features, row_key, **common),
+    fits = {
+        "two_stage": partial(two_stage_fit, lowcost, train, features, row_key, target=target, params=params, backbone=backbone),
+        "anchor_only": partial(anchor_only, train, features, **common),
+        "global": partial(global_model, lowcost, train, features, row_key, **common),
+        "weighted_global": partial(weighted_global, lowcost, train, features, row_key, **common),
     }
+    models = dict(zip(fits, side_by_side(train.sparkSession, list(fits.values()))))
+    plain = {name: models[name] for name in ("two_stage", "anchor_only")}
+    calibrated = {"backbone": backbone, "global": models["global"], "weighted_global": models["weighted_global"]}
     answers = {name: model.predict(test).select(target, "y_pred") for name, model in plain.items()}
     for name, model in calibrated.items():
         predicted = cut_lineage(model.predict(test).select("date", target, "y_pred"))
@@ -476,11 +494,14 @@ def holdout_eval(
     params: TreeParams = TreeParams(),
 ) -> DataFrame:
     """One fit per (name, train, test) fold and its metrics: provinces, spatial blocks or stations held out."""
-    tables = []
-    for name, train, test in folds:
-        fitted = train_gbt(rows.where(train), features, target, categories=categories, params=params)
-        tables.append(_scores(fitted.predict(rows.where(test)), target, fold=name))
-    return _union(tables)
+    medians = _medians_of_folds(rows, features, [train for _, train, _ in folds])
+
+    def run(i: int) -> DataFrame:
+        name, train, test = folds[i]
+        fitted = train_gbt(rows.where(train), features, target, categories=categories, params=params, medians=medians[i])
+        return _scores(fitted.predict(rows.where(test)), target, fold=name)
+
+    return _union(side_by_side(rows.sparkSession, [partial(run, i) for i in range(len(folds))]))
 
 
 def yearly_rolling_cv(

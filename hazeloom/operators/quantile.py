@@ -10,6 +10,7 @@ per group, are written to the shared folder, so the planner knows their size bef
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
@@ -25,6 +26,8 @@ BUCKETS_PER_E_FOLD = 1024
 PARTS = 4096
 #: Of the sketches that bracket a column's quantile, as a share of its values.
 SKETCH_ERROR = 1e-4
+#: Bins of a column when the medians of many folds are looked for at once.
+FOLD_BINS = 1024
 
 
 def _bucket(v: Column) -> Column:
@@ -158,6 +161,88 @@ def column_medians(df: DataFrame, columns: Sequence[str], p: float = 0.5) -> Dat
     return ends.where("_at >= 0").select(F.get(labels, F.col("i")).alias("column"), middle.alias("median"))
 
 
+def _edges(values: DataFrame, names: Sequence[str]) -> list[np.ndarray]:
+    """Borders of about ``FOLD_BINS`` equally full bins of each column, from one sketch of all of them."""
+    at = [i / FOLD_BINS for i in range(1, FOLD_BINS)]
+    row = values.agg(*[F.percentile_approx(c, at, 4 * FOLD_BINS).alias(c) for c in names]).first()
+    return [np.unique(np.array(row[c] or [], float)) for c in names]
+
+
+def fold_medians(df: DataFrame, columns: Sequence[str], folds: Sequence[Column], p: float = 0.5) -> DataFrame:
+    """Exact interpolated quantile (by default the median) of each column over the rows of each fold, as rows (fold,
+    column, median), ``fold`` being the number of its condition; a column without a value in a fold does not appear.
+
+    ``df`` is read three times, whatever the number of folds; the first two run when this is called. The first sketches
+    bins of all rows. The second counts each bin's values for every set of folds that rows are in, which tells the bins
+    that hold the wanted ranks. The third counts the values in these bins, and only those few are shuffled. The counts
+    that come to the driver are as many as columns, bins and sets of folds; folds that overlap in ever new ways are not
+    for this.
+    """
+    names = [f"_c{i}" for i in range(len(columns))]
+    within = F.concat(*[F.when(f, "1").otherwise("0") for f in folds]).alias("_in")
+    values = df.select(within, *[finite(F.col(c)).alias(n) for c, n in zip(columns, names)])
+    edges = _edges(values, names) if names else []
+    empty = df.sparkSession.createDataFrame([], "fold int, column string, median double")
+    if not names:
+        return empty
+
+    def run(batches: Iterator[pa.RecordBatch], wanted: Sequence[np.ndarray] | None) -> Iterator[pa.RecordBatch]:
+        """Counts by column, set of folds and bin, or the values themselves of the wanted bins."""
+        for batch in batches:
+            sets = batch.column(0).dictionary_encode()
+            found = []
+            for i, borders in enumerate(edges):
+                column = batch.column(i + 1)
+                known = column.is_valid().to_numpy(zero_copy_only=False)
+                v, group = column.drop_null().to_numpy(zero_copy_only=False), sets.indices.to_numpy()[known]
+                at = np.searchsorted(borders, v, side="right")
+                if wanted is None:
+                    counts = np.bincount(group * (FOLD_BINS + 1) + at)
+                    here = counts.nonzero()[0]
+                    group, at = np.divmod(here, FOLD_BINS + 1)
+                    v, n = np.zeros(len(here)), counts[here]
+                else:
+                    inside = np.isin(at, wanted[i])
+                    v, group, at = v[inside], group[inside], at[inside]
+                    n = np.ones(len(v), np.int64)
+                found.append((np.full(len(v), i), group, at, v, n))
+            i, group, at, v, n = (np.concatenate(x) for x in zip(*found))
+            kinds = [pa.array(x, t) for x, t in ((i, pa.int32()), (at, pa.int32()), (v, pa.float64()), (n, pa.int64()))]
+            parts = [kinds[0], sets.dictionary.take(pa.array(group, pa.int64())), *kinds[1:]]
+            yield pa.RecordBatch.from_arrays(parts, ["i", "sets", "bin", "v", "n"])
+
+    schema = "i int, sets string, bin int, v double, n bigint"
+    counted = values.mapInArrow(lambda batches: run(batches, None), schema).groupBy("i", "sets", "bin").agg(F.sum("n").alias("n"))
+    counts = np.zeros((len(names), len(folds), FOLD_BINS + 1), np.int64)
+    for r in counted.collect():
+        counts[r.i, [f for f, held in enumerate(r.sets) if held == "1"], r.bin] += r.n
+
+    targets, wanted = [], [set() for _ in names]
+    for i in range(len(names)):
+        for f in range(len(folds)):
+            stop = counts[i, f].cumsum()
+            if stop[-1] == 0:
+                continue
+            at = (int(stop[-1]) - 1) * p
+            for rank in {math.floor(at), math.ceil(at)}:
+                b = int(np.searchsorted(stop, rank, side="right"))
+                wanted[i].add(b)
+                targets.append((i, b, f, int(stop[b] - counts[i, f, b]), rank, at))
+    if not targets:
+        return empty
+    picked = [np.array(sorted(w), int) for w in wanted]
+    inside = values.mapInArrow(lambda batches: run(batches, picked), schema).groupBy("i", "sets", "bin", "v").agg(F.sum("n").alias("n"))
+    # at most two rows per column and fold
+    table = df.sparkSession.createDataFrame(targets, "i int, bin int, fold int, before long, rank long, at double")
+    held = inside.join(F.broadcast(table), ["i", "bin"]).where(F.substring("sets", F.col("fold") + 1, F.lit(1)) == "1")
+    held = held.groupBy("fold", "i", "rank", "v").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("before", "at")])
+    stop = F.sum("n").over(Window.partitionBy("fold", "i", "rank").orderBy("v")) + F.col("before")
+    hit = held.withColumn("_stop", stop).where("_stop - n <= rank AND rank < _stop")
+    ends = hit.groupBy("fold", "i").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.first("at").alias("_at"))
+    middle = F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("_at") - F.floor("_at"))
+    return ends.select("fold", F.get(F.array(*[F.lit(c) for c in columns]), F.col("i")).alias("column"), middle.alias("median"))
+
+
 def sorted_quantile(ordered: Column, p: float) -> Column:
     """Interpolated quantile of a small sorted array (a window of pixels); NULL if it is empty."""
     at = (F.size(ordered) - 1) * F.lit(float(p))

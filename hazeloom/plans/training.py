@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import SEASONS
-from ..operators import backtest, models, spatial, splits
+from ..operators import assemble, backtest, models, spatial, splits
 from ..operators.models import TreeParams
 from ..operators.temporal import target_lags
-from ..session import cut_lineage, scratch_path
+from ..session import cut_lineage, scratch_path, stored
 from ..sources.store import FeatureStore
 from ..workflows import score_range
 from .joins import CUBE_LAT, CUBE_LON, INSIDE
@@ -18,15 +19,21 @@ FEATURES = "WS10 blh RH WD10 sp t2m dT VC".split()
 SMALL = TreeParams(rounds=3, depth=3, step=0.3)
 
 
-def _rows(lake):
-    """Station-days with weather features, province and provider, cut from their lineage."""
-    table = (
-        lake.station_daily()
-        .drop("n")
-        .join(lake.met_daily().select("sensor_id", "date", *FEATURES), ["sensor_id", "date"])
-        .join(lake.stations().select("sensor_id", "province", "provider"), "sensor_id")
-    )
-    return cut_lineage(table)
+_STORED: dict[tuple[str, str], DataFrame] = {}
+
+
+def _rows(lake) -> DataFrame:
+    """Station-days with weather features, province and provider; stored once per application and folder."""
+    slot = (lake.spark.sparkContext.applicationId, lake.folder)
+    if slot not in _STORED:
+        table = (
+            lake.station_daily()
+            .drop("n")
+            .join(lake.met_daily().select("sensor_id", "date", *FEATURES), ["sensor_id", "date"])
+            .join(lake.stations().select("sensor_id", "province", "provider"), "sensor_id")
+        )
+        _STORED[slot] = stored(table, "rows")
+    return _STORED[slot]
 
 
 def _early(rows):
@@ -90,9 +97,10 @@ def _(lake):
 @query("compare_models")
 def _(lake):
     train, test = _early(_rows(lake))
+    medians = stored(assemble.fit_medians(train, FEATURES), "medians")
     trainers = {
-        "gbt": lambda d: models.train_gbt(d, FEATURES, params=SMALL),
-        "forest": lambda d: models.train_forest(d, FEATURES, trees=8, depth=5),
+        "gbt": lambda d: models.train_gbt(d, FEATURES, params=SMALL, medians=medians),
+        "forest": lambda d: models.train_forest(d, FEATURES, trees=8, depth=5, medians=medians),
     }
     return models.compare_models(train, test, trainers)
 
@@ -173,7 +181,7 @@ def blocks_of(rows):
 @query("spatial_block_eval")
 def _(lake):
     blocks = splits.spatial_block_folds(lake.stations(), 2).select("sensor_id", "fold")
-    rows = cut_lineage(_rows(lake).join(blocks, "sensor_id"))
+    rows = stored(_rows(lake).join(blocks, "sensor_id"), "blocks")
     folds = []
     for name, i in sorted(tuple(r) for r in blocks_of(rows)):
         held = F.coalesce((F.col("province") == name) & (F.col("fold") == i), F.lit(False))
