@@ -174,19 +174,20 @@ def _(lake):
 
 
 def blocks_of(rows):
-    """The (province, fold) pairs to hold out: two per province."""
+    """The (province, fold) pairs to hold out."""
     return rows.where("fold IS NOT NULL AND province IS NOT NULL").select("province", "fold").distinct().collect()
 
 
 @query("spatial_block_eval")
 def _(lake):
-    blocks = splits.spatial_block_folds(lake.stations(), 2).select("sensor_id", "fold")
+    """Five folds of blocks in every province, each fitted with the operator's own settings."""
+    blocks = splits.spatial_block_folds(lake.stations(), 5).select("sensor_id", "fold")
     rows = stored(_rows(lake).join(blocks, "sensor_id"), "blocks")
     folds = []
     for name, i in sorted(tuple(r) for r in blocks_of(rows)):
         held = F.coalesce((F.col("province") == name) & (F.col("fold") == i), F.lit(False))
         folds.append((f"{name} block {i}", ~held, held))
-    return models.holdout_eval(rows, folds, FEATURES, params=SMALL)
+    return models.holdout_eval(rows, folds, FEATURES)
 
 
 @query("sensor_block_eval")
